@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import global_rank, partitions_for, word_count, written
@@ -70,6 +70,22 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
                          F.coalesce(copies, F.lit(0)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **rules) -> DataFrame:
+    """The rows of docs, each as often as mix_sources() takes it.
+
+    Copies are looked up by id and size. Rows that share both are taken as often as all of them together, dealt by turns.
+    """
+    plan = mix_sources(docs, doc_id, text, source, **rules).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows").filter("_copies > 0")
+    rows = docs.withColumn("_n", word_count(F.col(text)))
+    taken = rows.join(plan, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    # one row, as a rule; else the k-th of n rows gets the k-th share
+    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(text))
+    many = taken.withColumn("_k", nth)
+    share = F.floor(F.col("_copies") * F.col("_k") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_k") - 1) / F.col("_rows"))
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(0)).cast("int")))).filter(share > 0).select(*docs.columns)
+
+
 #: DuckDB SQL for op8's rows: the level is that of the smallest prefix, by size a weight, that may be capped.
 MIX_SQL = r"""
 WITH sized AS (

@@ -26,7 +26,7 @@ class Settings:
     branches: int = 8
     leaf: int = 100
     tested: int = 200
-    recall: float = 0.97
+    recall: float = 0.985
     chunk: int = 4_096
     seed: int = 7
 

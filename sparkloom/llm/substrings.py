@@ -169,8 +169,8 @@ class SubstringIndex:
             self.windows = [self._run(whole, ["h1", "h2"], "windows")]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (doc long, doc_id, text; every doc above those added before) and returns its rows with n_words,
-        n_removed, kept: the words of no window that starts earlier in this batch or in those before."""
+        """Adds a batch (doc long, text, others; every doc above those added before) and returns its other columns with
+        n_words, n_removed, kept: the words of no window that starts earlier in this batch or in those before."""
         s, key = self.settings, self.settings.filter_bits
         self._compact()
 
@@ -219,7 +219,8 @@ class SubstringIndex:
 
         own = window_run.select(F.shiftright("place", PLACE_BITS).alias("doc"), F.col("place").bitwiseAND(F.lit(_PLACE)).cast("int").alias("start"))
         kept = own.groupBy("doc").agg(F.collect_list("start").alias("firsts"))  # of one document
-        kind = batch.schema["doc_id"].dataType.simpleString()
+        keep = [c for c in batch.columns if c not in ("doc", "text")]
+        fields = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in keep)
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in _groups(batches, "text"):
@@ -241,9 +242,9 @@ class SubstringIndex:
                     n.append(len(words))
                     removed.append(int(gone.sum()))
                     out.append(b" ".join([x for x, g in zip(words, gone.tolist()) if not g] if removed[-1] else words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary())], names=[*keep, "n_words", "n_removed", "kept"])
 
-        done = batch.select("doc", "doc_id", "text").join(kept, "doc", "left").select("doc_id", "text", "firsts").mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+        done = batch.join(kept, "doc", "left").drop("doc").mapInArrow(finish, f"{fields}, n_words long, n_removed long, kept binary")
         self.prints.append(run.select("fp", "many", "doc"))
         self.windows.append(window_run)
         seen = batch.select("doc", "text")
@@ -251,8 +252,8 @@ class SubstringIndex:
         return done.withColumn("kept", F.col("kept").cast("string"))
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept (the kept words joined by single blanks).
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id (or the columns `keep`), n_words, n_removed, kept (the kept words joined by single blanks).
 
     A word goes if a window of settings.window words covers it that also starts earlier: in a document with a smaller
     doc_id, or earlier in its own. The table is fed to a SubstringIndex in batches of ascending doc_id.
@@ -264,7 +265,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     gives no rows.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    keep = keep or (doc_id,)
+    held = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *held)
     row = source.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     integral = source.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     if integral and row["n"] == row["known"] and (not row["n"] or row["low"] >= 0 and row["high"] < 1 << (63 - PLACE_BITS)):
@@ -272,7 +275,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     else:  # ids that don't fit beside a place are replaced by their rank
         ids = source.select("doc_id").distinct()
         ranks = global_rank(ids, [F.col("doc_id").isNull(), F.col("doc_id")], partitions_for(row["n"], 500_000, 4)).withColumn("doc", F.col("rank").cast("long")).withColumnRenamed("doc_id", "_id")
-        numbered = source.join(ranks, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "doc")
+        numbered = source.join(ranks, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "rank")
+    numbered = numbered.drop("doc_id")
     cuts = numbered.agg(F.percentile_approx("doc", F.array(*[F.lit(k / settings.batches) for k in range(1, settings.batches)]), 1000).alias("c")).first()["c"] if settings.batches > 1 else []
     index, out, below = SubstringIndex(spark, settings), None, None
     for above in [*sorted(set(cuts or [])), None]:
@@ -283,7 +287,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             here = here.filter(F.col("doc") <= above)
         done = index.add(here)
         out, below = done if out is None else out.unionByName(done), above
-    return out
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_removed", "kept")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
+import unicodedata
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Chunks that a worker keeps; the cache is emptied when it is full, so memory stays bounded.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 #: Longer chunks are never kept.
 CACHE_CHARS = 64
 
@@ -29,25 +30,46 @@ class ChunkEncoder:
     """Ids of texts for a tokenizer that drops white space: a text's ids are those of its chunks, one after the other.
 
     Such a tokenizer turns every white space into a separator before it splits, so no piece, added token or normal form
-    reaches over a blank, tab or line end. Each chunk's ids are kept as little-endian unsigned 32-bit numbers.
+    reaches over a blank, tab or line end. A chunk met for the first time is cut by the tokenizer's own splitting
+    pattern, if that can be seen to be safe, so that a word is encoded once for all marks around it. Ids are kept as
+    little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
+        import regex
+
+        self.tokenizer, self.chunks, self.pieces = load(path), {}, {}
+        parts = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        known = normal == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if known else None
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def _cut(self, chunks: list[str]) -> list[list[str]]:
+        """Parts of each chunk whose ids may be joined; the chunk itself where its normal form can't be made here."""
+        whole = "\n".join(chunks)
+        plain = self.pattern is not None and "\u03a3" not in whole and not any(x in whole for x in self.special) and unicodedata.is_normalized("NFC", whole)
+        if plain:
+            return list(map(self.pattern.findall, whole.lower().split("\n")))
+        return [[chunks[0]]] if len(chunks) == 1 else self._cut(chunks[: len(chunks) // 2]) + self._cut(chunks[len(chunks) // 2 :])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         split = [re.sub("[\n\t\r]", " ", text).split(" ") if text else [] for text in texts]
-        new = {c for chunks in split for c in chunks}.difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {}
-            new = {c for chunks in split for c in chunks}
-        fresh = list(new)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks = {}
+        if len(self.pieces) > CACHE_CHUNKS:
+            self.pieces = {}
+        pieces, chunks = self.pieces, self.chunks
+        new = list(set().union(*split).difference(chunks))
+        cut = self._cut(new) if new else []
+        fresh = list(set().union(*cut).difference(pieces))
         found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        added = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(fresh, found)}
-        self.known.update(added)
-        known = self.known
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
-        for c in fresh:
-            if len(c) > CACHE_CHARS:
-                del known[c]
+        pieces.update([(p, struct.pack(f"<{len(e)}I", *e.ids)) for p, e in zip(fresh, found)])
+        chunks.update([(c, pieces[x[0]] if len(x) == 1 else b"".join([pieces[p] for p in x])) for c, x in zip(new, cut)])
+        out = [b"".join(map(chunks.__getitem__, x)) for x in split]
+        for known, added in ((chunks, new), (pieces, fresh)):
+            for x in added:
+                if len(x) > CACHE_CHARS:
+                    del known[x]
         return out
