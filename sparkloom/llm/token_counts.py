@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,19 +12,19 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, load
 
 #: The pattern by which byte-level BPE tokenizers cut a text before their merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents, and characters, of one block: its frequencies travel together.
-BLOCK_DOCS, BLOCK_CHARS = 4_096, 16_000_000
-#: 2^GROUP_BITS tasks' pre-tokens meet in one group; so a word of every text is split over groups.
-GROUP_BITS = 10
-
-#: A blank beside other white space or at an end of the text: such texts are cut whole.
-_UNEVEN = re.compile(r" \s|\s |\A\s|\s\Z")
+#: Documents, and characters, of one block at most: its frequencies travel together.
+BLOCK_DOCS, BLOCK_CHARS = 60_000, 40_000_000
+#: Parts that a block's pre-tokens are dealt into by hash.
+PARTS = 128
+#: 2^GROUP_BITS tasks' blocks meet; each of their pre-tokens is counted once.
+GROUP_BITS = 6
 
 
 def _numbered() -> defaultdict[str, int]:
@@ -33,55 +34,66 @@ def _numbered() -> defaultdict[str, int]:
 
 
 def frequencies(texts: list[str], pattern, special) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens, and triples (number of the pre-token, document, frequency) sorted by pre-token.
+    """Distinct pre-tokens, and triples (number of the pre-token, document, frequency) sorted by both.
 
     Between single blanks a text may be cut by itself, the blank going with what follows; so the pattern runs once per
-    distinct chunk of the block. Other texts are cut whole.
+    distinct chunk of the block. Texts with a special token, or with a blank beside other white space or at an end, are
+    cut whole.
     """
-    chunks, own, doc, number = _numbered(), _numbered(), [], []
-    whole: list[tuple[int, int]] = []
+    first, later, own = _numbered(), _numbered(), _numbered()
+    numbers, docs, whole = [], [], []
     for i, text in enumerate(texts):
-        if special and special.search(text):  # a special token is cut out before all else
-            whole += [(i, own[x]) for k, part in enumerate(special.split(text)) for x in ([part] if k % 2 else pattern.findall(part))]
-        elif _UNEVEN.search(text):
-            whole += [(i, own[x]) for x in pattern.findall(text)]
+        if special and special.search(text):
+            whole.append(i)
         elif text:
-            first, _, rest = text.partition(" ")
-            codes = [chunks[first]]
-            if rest:
-                codes += [chunks[" " + x] for x in rest.split(" ")]
-            number.append(np.array(codes, dtype=np.int64))
-            doc.append(np.full(len(codes), i, dtype=np.int64))
-    pairs, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    if number:
-        pairs, counts = np.unique(np.concatenate(number) * len(texts) + np.concatenate(doc), return_counts=True)
-    cut = [[own[x] for x in pattern.findall(c)] for c in list(chunks)]
+            head, *rest = text.split(" ")
+            numbers.append(np.fromiter([-1 - first[head], *map(later.__getitem__, rest)], dtype=np.int64, count=1 + len(rest)))
+            docs.append(i)
+    odd = lambda c: not c or c[0].isspace() or c[-1].isspace()
+    chunks = [*later, *first]
+    flagged = np.array([odd(c) for c in chunks], dtype=bool)
+    at = np.repeat(np.array(docs, dtype=np.int64), [len(x) for x in numbers])
+    code = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+    code = np.where(code < 0, len(later) - 1 - code, code)
+    uneven = np.unique(at[flagged[code]]) if len(code) else at
+    if len(uneven):
+        even = ~np.isin(at, uneven)
+        at, code = at[even], code[even]
+    n = max(1, len(texts))
+    pairs, times = np.unique(code * n + at, return_counts=True)
+    code, at = pairs // n, pairs % n
+    lead = len(later)
+    cut = [() if flagged[k] else [own[x] for x in pattern.findall(" " + c if k < lead else c)] for k, c in enumerate(chunks)]
     lengths = np.array([len(x) for x in cut], dtype=np.int64)
-    flat, starts = np.array([x for c in cut for x in c], dtype=np.int64), np.cumsum(lengths) - lengths
-    code, at = pairs // max(1, len(texts)), pairs % max(1, len(texts))
+    flat, starts = np.fromiter((x for c in cut for x in c), dtype=np.int64), np.cumsum(lengths) - lengths
     many = lengths[code] if len(code) else code
-    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    token = flat[np.repeat(starts[code], many) + place] if len(code) else code
-    at, counts = np.repeat(at, many), np.repeat(counts, many)
-    if whole:
-        extra = np.array(whole, dtype=np.int64)
-        token, at, counts = np.concatenate([token, extra[:, 1]]), np.concatenate([at, extra[:, 0]]), np.concatenate([counts, np.ones(len(extra), dtype=np.int64)])
-    keys, inverse = np.unique(token * max(1, len(texts)) + at, return_inverse=True)
-    sums = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64) if len(keys) else keys
-    return list(own), keys // max(1, len(texts)), keys % max(1, len(texts)), sums
-
-
-def _pack(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Byte strings of unsigned 16- or 32-bit numbers, led by their width."""
-    wide = len(values) and values.max() > 65_535
-    data = values.astype("<u4" if wide else "<u2").tobytes()
-    width, ends = (4, b"\x04") if wide else (2, b"\x02")
-    edges = [*(starts * width).tolist(), len(data)]
-    return [ends + data[a:b] for a, b in zip(edges, edges[1:])]
+    token = flat[np.arange(many.sum()) + np.repeat(starts[code] - (np.cumsum(many) - many), many)] if len(code) else code
+    at, times = np.repeat(at, many), np.repeat(times, many)
+    extra = [(own[x], i) for i in [*whole, *uneven.tolist()] for x in _cut_whole(texts[i], pattern, special)]
+    if extra:
+        more = np.array(extra, dtype=np.int64)
+        token, at, times = np.r_[token, more[:, 0]], np.r_[at, more[:, 1]], np.r_[times, np.ones(len(more), dtype=np.int64)]
+    keys, inverse = np.unique(token * n + at, return_inverse=True)
+    sums = np.bincount(inverse, weights=times, minlength=len(keys)).astype(np.int64)
+    return list(own), keys // n, keys % n, sums
+
+
+def _cut_whole(text: str, pattern, special) -> list[str]:
+    """Pre-tokens of a text; special tokens are cut out before all else."""
+    if not (special and special.search(text)):
+        return pattern.findall(text)
+    return [x for k, part in enumerate(special.split(text)) for x in ([part] if k % 2 else pattern.findall(part))]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, led by that width."""
+    top = int(values.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype="<u4" if data[0] == 4 else "<u2", offset=1).astype(np.int64)
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -102,15 +114,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    Texts are cut into pre-tokens in blocks of rows; a block gives one row for each distinct pre-token, holding its
-    frequencies by document. Those rows are dealt by pre-token, so that all its frequencies and its one count of pieces
-    meet: the tokenizer runs once per distinct pre-token of a group of blocks, on that pre-token alone. Each task sends
-    back, per block, one partial sum per document it met. No ids of texts are made.
+    Texts are cut into pre-tokens in blocks of rows of bounded size. A block deals its distinct pre-tokens, with their
+    frequencies by document, into PARTS parts by hash; a row is one part of one block. Rows are shuffled by part, so all
+    frequencies of a pre-token and its one count of pieces meet: the tokenizer runs once per distinct pre-token of a
+    group of blocks, on that pre-token alone. Each task sends back one partial sum per document and part of a block, and
+    these are added up by block. No ids of texts are made.
 
     Null and empty text count 0 tokens and 0 bytes. Rows that repeat a doc_id are counted each. A special token's string
     inside a text counts as the tokenizer has it by default: one. An empty table gives no rows.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -120,60 +132,46 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         special, pattern = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None, regex.compile(PRE_TOKEN)
         for k, (ids, texts) in enumerate(_blocks(batches)):
             block = (TaskContext.get().partitionId() << 32) + k
-            yield _rows(block, [None], [b""], [b""], ids, [len(t.encode()) for t in texts])
-            names, token, at, counts = frequencies(texts, pattern, special)
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else token
-            order = [names[i] for i in token[starts].tolist()]
-            for a in range(0, len(order), 20_000):
-                b = min(a + 20_000, len(order))
-                lo, hi = starts[a], starts[b] if b < len(order) else len(token)
-                yield _rows(block, order[a:b], _pack(at[lo:hi], starts[a:b] - lo), _pack(counts[lo:hi], starts[a:b] - lo))
-
-    def _rows(block: int, names: list, at: list[bytes], counts: list[bytes], ids: list | None = None, n_bytes: list | None = None) -> pa.RecordBatch:
-        """Rows of a block; the first one has no pre-token and carries what belongs to the documents."""
-        own = [ids] if ids is not None else [None] * len(names)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(names), pa.int64()), pa.array(names, pa.string()), pa.array(at, pa.binary()), pa.array(counts, pa.binary()),
-             pa.array(own, pa.list_(id_type)), pa.array([n_bytes] if ids is not None else own, pa.list_(pa.int64()))],
-            names=["block", "pre_token", "docs", "counts", "ids", "bytes"])
+            yield row(block, -1, {"ids": ids, "bytes": [len(t.encode()) for t in texts]})
+            names, token, at, times = frequencies(texts, pattern, special)
+            of = np.fromiter((zlib.crc32(x.encode()) % PARTS for x in names), dtype=np.int64, count=len(names))
+            place = np.argsort(of[token], kind="stable") if len(token) else token
+            edges = np.searchsorted(of[token][place], np.arange(PARTS + 1)) if len(token) else np.zeros(PARTS + 1, dtype=np.int64)
+            for part in range(PARTS):
+                own = place[edges[part] : edges[part + 1]]
+                if len(own):
+                    mine = token[own]
+                    starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                    words = [names[i] for i in mine[starts].tolist()]
+                    yield row(block, part, {
+                        "names": "".join(words).encode(), "lengths": _pack(np.fromiter(map(len, words), dtype=np.int64, count=len(words))),
+                        "runs": _pack(np.diff(np.r_[starts, len(own)])), "docs": _pack(at[own]), "times": _pack(times[own])})
+
+    def row(block: int, part: int, held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"block": block, "part": part} | held], schema=shape)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, known = load(tokenizer), {}
-        sums: dict[int, np.ndarray] = {}
-
-        def sent() -> pa.RecordBatch:
-            met = [(b, np.flatnonzero(v)) for b, v in sums.items()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in met], pa.int64()), pa.array([_pack(w, np.zeros(1, dtype=np.int64))[0] for _, w in met], pa.binary()),
-                 pa.array([sums[b][w].astype("<u4").tobytes() for b, w in met], pa.binary()), pa.nulls(len(met), pa.list_(id_type)), pa.nulls(len(met), pa.list_(pa.int64()))],
-                names=["block", "docs", "sums", "ids", "bytes"])
-
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            new = list({x for x in names if x is not None}.difference(known))
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known, new = {}, list({x for x in names if x is not None})
-            known.update((x, len(e.ids)) for x, e in zip(new, tokens.encode_batch_fast(new, add_special_tokens=False)))
-            for i, (block, name, at, counts) in enumerate(zip(batch.column(0).to_pylist(), names, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if name is None:
-                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in (0, 2, 3, 4, 5)], names=["block", "docs", "sums", "ids", "bytes"])
+            for r in range(batch.num_rows):
+                block, part, ids, n_bytes, names, lengths, runs, at, times = (batch.column(c)[r].as_py() for c in range(9))
+                if part < 0:
+                    yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "bytes": n_bytes}], schema=sent)
                     continue
-                where = _unpack(at)
-                have = sums.get(block)
-                if have is None or len(have) <= where[-1]:
-                    grown = np.zeros(int(where[-1]) + 256, dtype=np.int64)
-                    if have is not None:
-                        grown[: len(have)] = have
-                    have = sums[block] = grown
-                have[where] += _unpack(counts) * known[name]
-            for x in new:
-                if len(x) > CACHE_CHARS:
-                    del known[x]
-            if len(sums) >= 256:
-                yield sent()
-                sums = {}
-        if sums:
-            yield sent()
+                ends = np.cumsum(_unpack(lengths)).tolist()
+                whole = names.decode()
+                words = [whole[a:b] for a, b in zip([0, *ends], ends)]
+                new = list(set(words).difference(known))
+                if len(known) + len(new) > CACHE_CHUNKS:
+                    known, new = {}, list(set(words))
+                known.update((x, len(e)) for x, e in zip(new, tokens.encode_batch_fast(new, add_special_tokens=False)))
+                pieces = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                sums = np.bincount(_unpack(at), weights=np.repeat(pieces, _unpack(runs)) * _unpack(times)).astype(np.int64)
+                met = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_pylist([{"block": block, "docs": _pack(np.diff(met, prepend=0)), "sums": _pack(sums[met])}], schema=sent)
+                for x in new:
+                    if len(x) > CACHE_CHARS:
+                        del known[x]
 
     def total(table: pa.Table) -> pa.Table:
         of = table.filter(pa.compute.is_valid(table.column("ids")))
@@ -181,13 +179,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         tokens = np.zeros(len(ids), dtype=np.int64)
         for at, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()):
             if at:
-                tokens[_unpack(at)] += np.frombuffer(sums, dtype="<u4")
+                tokens[np.cumsum(_unpack(at))] += _unpack(sums)
         return pa.table({"doc_id": ids, "n_bytes": n_bytes, "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = to_arrow_type(source.schema["doc_id"].dataType)
-    freq = source.mapInArrow(cut, f"block long, pre_token string, docs binary, counts binary, ids array<{kind}>, bytes array<long>")
-    # a block's first row goes anywhere; block >> 32 is the task that cut it, and 2^GROUP_BITS tasks make a group
-    key = F.xxhash64(F.coalesce("pre_token", F.col("block").cast("string")), F.shiftright(F.col("block"), 32 + GROUP_BITS))
-    sums = freq.repartition(key).mapInArrow(add, f"block long, docs binary, sums binary, ids array<{kind}>, bytes array<long>")
-    return sums.groupBy("block").applyInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    kind, binary = source.schema["doc_id"].dataType, T.BinaryType()
+    of_docs = [("block", T.LongType()), ("ids", T.ArrayType(kind)), ("bytes", T.ArrayType(T.LongType()))]
+    dealt = T.StructType([T.StructField(*x) for x in [of_docs[0], ("part", T.IntegerType()), *of_docs[1:], *((c, binary) for c in ("names", "lengths", "runs", "docs", "times"))]])
+    summed = T.StructType([T.StructField(*x) for x in [*of_docs, ("docs", binary), ("sums", binary)]])
+    shape, sent = to_arrow_schema(dealt), to_arrow_schema(summed)
+    # a block's own row, of part -1, goes anywhere; block >> 32 is the task that cut it
+    where = F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part").cast("long"))
+    freq = source.mapInArrow(cut, dealt)
+    sums = freq.repartition(F.xxhash64(where, F.shiftright("block", 32 + GROUP_BITS))).mapInArrow(add, summed)
+    return sums.groupBy("block").applyInArrow(total, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
