@@ -35,7 +35,7 @@ TEXTS = {
     "R22_derived_table": "SELECT d.status, max(d.n) AS most FROM (SELECT o_custkey, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) d GROUP BY d.status",
     "R23_scalar_functions": "SELECT date_trunc('month', o_orderdate) AS month, round(sum(coalesce(o_totalprice, 0)), 2) AS total, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY date_trunc('month', o_orderdate)",
     "R25_bounding_aggregates": "SELECT l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 4) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, round(stddev(l_quantity), 4) AS sd, round(var_pop(l_quantity), 4) AS vp, round(var_samp(l_quantity), 4) AS vs FROM lineitem GROUP BY l_linestatus",
-    "R26_case_between_like": "SELECT CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'middle' ELSE 'large' END AS band, count(*) AS n FROM part WHERE p_name LIKE '%1%' AND true GROUP BY 1",
+    "R26_case_between_like": "SELECT CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'middle' ELSE 'large' END AS band, count(*) AS n FROM part WHERE p_name LIKE '%bolt%' AND true GROUP BY 1",
     "R27_coalesce_order": "SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders ORDER BY coalesce(nullif(o_orderpriority, '1-URGENT'), '0') ASC, o_orderkey LIMIT 50",
     "R28_arithmetic": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem",
     "S1_scan": "SELECT event_id, user_id, event_type, value FROM events",
