@@ -16,7 +16,7 @@ from .components import connected
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _CACHE = 500_000
 #: Sets, and n-grams of sets, that one task compares with each other.
-BLOCK_SETS, BLOCK_GRAMS = 1_500, 1_500_000
+BLOCK_SETS, BLOCK_GRAMS = 2_000, 4_000_000
 #: The n-gram order is cut again into so many fragments where overlaps are counted.
 COUNT_FRAGMENTS = 8
 
@@ -100,25 +100,36 @@ def size_class(size: int, rule: Rule) -> tuple[int, list[int]]:
         low, c = high + 1, c + 1
 
 
-def fragments(high: int, rule: Rule) -> int:
-    """How many fragments sets of at most `high` n-grams are cut into.
+def fragments(high: int, rule: Rule) -> tuple[int, int]:
+    """In how much sets that link may differ, if they have at most `high` n-grams, and how many fragments they are cut into.
 
     Sets that link differ in at most (100 - percent) / (100 + percent) of their summed sizes; with one fragment more than
     that, at least one is equal in both. Some more stand in for fragments that hold nothing.
     """
     differ = 2 * high * (100 - rule.percent) // (100 + rule.percent)
-    return differ + 1 + max(3, differ // 10) if differ else 0
+    return differ, differ + 1 + max(3, differ // 10) if differ else 0
 
 
 def signatures(found: np.ndarray, rule: Rule) -> np.ndarray:
-    """One hash for each fragment of the n-gram order that holds something of the set, in its size class and the next."""
+    """Hashes of which two sets that link have one in common, unless they are equal.
+
+    There is one for each fragment of the n-gram order that holds something of the set, in its size class and the next.
+    Fragments that are equal since both hold nothing don't show. A set with so many that they might be all it has in
+    common with another adds its least n-grams, as many as may differ and one; the other set then does so too.
+    """
     out = []
     c, highs = size_class(len(found), rule)
     for k, high in enumerate(highs):
-        if m := fragments(high, rule):
-            f = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            out.append(mix(np.add.reduceat(mix(found ^ _ODD[1]), starts) + f[starts] * _ODD[2] + np.uint64((c + k) * 0x27D4EB2F165667C5 % 2**64)))
+        differ, m = fragments(high, rule)
+        if not m:
+            continue
+        tag = np.uint64((c + k) * 0x27D4EB2F165667C5 % 2**64)
+        f = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        out.append(mix(np.add.reduceat(mix(found ^ _ODD[1]), starts) + f[starts] * _ODD[2] + tag))
+        if m - len(starts) >= m - differ:
+            first = len(found) - -(-rule.percent * len(found) // 100) + 1
+            out.append(mix(mix(found[:first] + _ODD[3]) + tag))
     return np.concatenate(out) if out else found[:0]
 
 
@@ -143,7 +154,7 @@ def _links(rows: list[np.ndarray], cols: list[np.ndarray], rule: Rule) -> np.nda
             many = b - a
             at = np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)
             sums[i] += np.bincount(owner[at], minlength=len(cols)).astype(np.int32)
-    return 100 * sums.astype(np.int64) >= rule.percent * (sizes[0][:, None] + sizes[1][None, :] - sums)
+    return np.stack([100 * own.astype(np.int64) >= rule.percent * (n + sizes[1] - own) for own, n in zip(sums, sizes[0])])
 
 
 def _compare(rule: Rule):
