@@ -7,7 +7,7 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 #: Chunks that a worker keeps; the cache is emptied when it is full, so memory stays bounded.
 CACHE_CHUNKS = 600_000
@@ -26,6 +26,27 @@ def load(path: str):
     return found
 
 
+#: Texts of these characters only are cut below as CUT does: the letters here are all that \p{L} finds in them, \p{N}
+#: finds the digits, and they are in normal form. İ is left out, as its lower case is not one letter.
+_LATIN = re.compile("[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[0-9]|[^ \t-\ra-z0-9\u00DF-\u00F6\u00F8-\u017F]+")
+#: Fixed value: the splitting pattern of a tokenizer for which _PARTS may stand.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Kept(dict):
+    """Values made when they are first asked for; those of long keys are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """Ids of texts for a tokenizer that drops white space: a text's ids are those of its chunks, one after the other.
 
@@ -38,38 +59,35 @@ class ChunkEncoder:
     def __init__(self, path: str):
         import regex
 
-        self.tokenizer, self.chunks, self.pieces = load(path), {}, {}
+        self.tokenizer = load(path)
         parts = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         known = normal == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
         self.pattern = regex.compile(split["pattern"]["Regex"]) if known else None
+        self.latin = known and split["pattern"]["Regex"] == CUT
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = frozenset(x[0] for x in self.special)
+        self.pieces, self.chunks = _Kept(self._encode), _Kept(self._join)
 
-    def _cut(self, chunks: list[str]) -> list[list[str]]:
-        """Parts of each chunk whose ids may be joined; the chunk itself where its normal form can't be made here."""
-        whole = "\n".join(chunks)
-        plain = self.pattern is not None and "\u03a3" not in whole and not any(x in whole for x in self.special) and unicodedata.is_normalized("NFC", whole)
-        if plain:
-            return list(map(self.pattern.findall, whole.lower().split("\n")))
-        return [[chunks[0]]] if len(chunks) == 1 else self._cut(chunks[: len(chunks) // 2]) + self._cut(chunks[len(chunks) // 2 :])
+    def _encode(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _join(self, chunk: str) -> bytes:
+        """A chunk's ids by its parts, or as a whole where its normal form can't be made here or it may hold a special token."""
+        low = chunk.lower()
+        formed = chunk.isascii() or "\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk) and unicodedata.is_normalized("NFC", low)
+        plain = self.pattern is not None and formed and self.marks.isdisjoint(chunk)
+        return b"".join([self.pieces[p] for p in self.pattern.findall(low)]) if plain else self._encode(chunk)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [re.sub("[\n\t\r]", " ", text).split(" ") if text else [] for text in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks = {}
-        if len(self.pieces) > CACHE_CHUNKS:
-            self.pieces = {}
-        pieces, chunks = self.pieces, self.chunks
-        new = list(set().union(*split).difference(chunks))
-        cut = self._cut(new) if new else []
-        fresh = list(set().union(*cut).difference(pieces))
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        pieces.update([(p, struct.pack(f"<{len(e)}I", *e.ids)) for p, e in zip(fresh, found)])
-        chunks.update([(c, pieces[x[0]] if len(x) == 1 else b"".join([pieces[p] for p in x])) for c, x in zip(new, cut)])
-        out = [b"".join(map(chunks.__getitem__, x)) for x in split]
-        for known, added in ((chunks, new), (pieces, fresh)):
-            for x in added:
-                if len(x) > CACHE_CHARS:
-                    del known[x]
-        return out
+        for kept in (self.chunks, self.pieces):
+            if len(kept) > CACHE_CHUNKS:
+                kept.clear()
+        return [self._whole(text) if text else b"" for text in texts]
+
+    def _whole(self, text: str) -> bytes:
+        if self.latin and _LATIN.fullmatch(text) and not any(x in text for x in self.special):
+            return b"".join(map(self.pieces.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, re.sub("[\n\t\r]", " ", text).split(" ")))

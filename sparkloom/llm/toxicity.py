@@ -121,16 +121,18 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nd
     return float(theta[n]), theta[:n]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", settings: Settings = Settings()) -> Model:
-    """A model of labelled rows (label 1: toxic).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", settings: Settings = Settings()) -> Model:
+    """A model of docs with labels (1: toxic).
 
-    At most settings.max_rows rows are used: those with the smallest hashes of their key, so reruns agree. Their features
-    are made by the executors; the driver gets numbers of buckets only and fits a few thousand weights. Null labels are
-    left out. Without any toxic row, or any other, the model scores every text alike.
+    At most settings.max_rows labels are used: those with the smallest hashes of their key, so reruns agree. They are
+    chosen before any text is read, and so few that they are broadcast: no text is shuffled. Features are made by the
+    executors; the driver gets numbers of buckets only and fits a few thousand weights. Null labels and keys are left out.
+    Without any toxic row, or any other, the model scores every text alike.
     """
-    spark, s = labelled.sparkSession, settings
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
-    chosen = rows.orderBy("h").limit(s.max_rows).select("label", "text")
+    s = settings
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
+    few = known.orderBy(F.xxhash64("_key"), "_key", "label").limit(s.max_rows)
+    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(few), "_key").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features(s)
@@ -143,7 +145,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                 other.append(None if swapped is None else np.array(sorted(features.of(swapped)), dtype="<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["label", "own", "other"])
 
-    got = chosen.mapInArrow(run, "label int, own binary, other binary").toArrow()
+    got = chosen.mapInArrow(run, "label int, own binary, other binary").limit(s.max_rows).toArrow()
     labels = np.array(got.column("label").to_pylist(), dtype=np.int64).clip(0, 1)
     own = [np.frombuffer(x.as_py(), dtype="<i4") for x in got.column("own")]
     if not len(labels) or labels.min() == labels.max():
@@ -201,5 +203,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     each; empty tables give no rows.
     """
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("label")).filter(~held_out(F.col("doc_id")))
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"), settings=settings)
+    model = fit(docs, known, settings=settings)
     return score(docs, model, threshold=threshold).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")

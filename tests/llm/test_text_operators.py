@@ -186,10 +186,10 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_counterfactuals_lower_what_a_group_mention_adds(spark):
     docs, labels = labelled(spark)
-    known = docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    known = labels.withColumnRenamed("toxic", "label")
     gap = {}
     for weight in (0.0, 20.0):
-        model = toxicity.fit(known, settings=toxicity.Settings(fairness=weight))
+        model = toxicity.fit(docs, known, settings=toxicity.Settings(fairness=weight))
         a, b = next(model.score(iter([["the women met in may", "the men met in may"]])))
         gap[weight] = abs(np.log(a / (1 - a)) - np.log(b / (1 - b)))
     assert gap[20.0] < 0.5 * gap[0.0]
@@ -232,3 +232,16 @@ def test_groups_of_odd_rows(odd):
 def test_sha_of_nothing(spark):
     row = substrings.digest(substrings.dedup_substrings(spark.createDataFrame([(1, None)], "doc_id long, text string"))).first()
     assert row["kept_sha256"] == hashlib.sha256(b"").hexdigest() and row["n_words"] == row["n_removed"] == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    from sparkloom.llm.tokenizing import ChunkEncoder
+
+    tokenizer, encoder = Tokenizer.from_file(WORD_BPE), ChunkEncoder(WORD_BPE)
+    rng = np.random.default_rng(4)
+    letters = "abzAZ09 '\t\n\r\x0b\x0c\x1c\x1f\x85\xa0.,;!<|>_-sdtmÀÖ×Øöø÷ßẞÿĀİıŉɏɐééñÇΣσς²½Ⅷ日本 ّ​　ﬁ"
+    words = ["it's", "we'll", "I'VE", "<|endoftext|>", "<|startoftext|>x", "ÉLAN", "naïve", "DŽ", "ǅ"]
+    texts = ["".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(1, 40))) for _ in range(4000)]
+    texts += [" ".join(words[i] for i in rng.integers(0, len(words), 5)) for _ in range(50)] + [c for c in map(chr, range(1, 0x260))]
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
