@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be toxic. Learned from the labels that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("label")).filter(~toxicity.held_out(F.col("doc_id")))
-    model = toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = toxicity.fit(docs, known)
     scored = toxicity.score(docs.select(*COLUMNS).withColumn("own", F.col("text")), model, text="own", keep=tuple(COLUMNS))
     return scored.filter("predicted = 0").select(*COLUMNS)
 
