@@ -255,3 +255,18 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     # copies may be a third of all rows: their class has one row on the other side, so adaptive execution splits them
     return rows.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+#: DuckDB SQL for op9's rows.
+GROUPS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s : s + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS t(s) WHERE len(ws) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON r.root = e.a)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id
+"""

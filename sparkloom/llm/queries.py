@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.TOP_SQL, "op8_source_mixing": mixing.MIX_SQL, "op10_substring_dedup": substrings.WINDOW_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.TOP_SQL, "op8_source_mixing": mixing.MIX_SQL, "op9_jaccard_join": jaccard.GROUPS_SQL, "op10_substring_dedup": substrings.WINDOW_SQL}

@@ -76,6 +76,11 @@ def test_jaccard_groups(docs, texts, rule):
     assert found == brute_groups(texts, rule.n, rule.percent)
 
 
+def test_groups_in_sql(texts):
+    found = {dict(r)["doc_id"]: (dict(r)["n_shingles"], dict(r)["component_id"]) for r in in_duckdb(jaccard.GROUPS_SQL, texts)}
+    assert found == brute_groups(texts, 4, 85)
+
+
 def test_large_clusters_are_compared_in_blocks(docs, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs).collect()}
