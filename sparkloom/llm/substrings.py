@@ -148,9 +148,17 @@ class SubstringIndex:
         self.prints: list[DataFrame] = []
         self.windows: list[DataFrame] = []
         self.past: DataFrame | None = None
+        self._names: list[str] = []
+
+    def close(self) -> None:
+        """Drops the runs' tables from the catalog, once all results have been written; their files stay in the shared folder."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._names = []
 
     def _run(self, df: DataFrame, keys: list[str], label: str) -> DataFrame:
         name = f"sparkloom_{label}_{uuid.uuid4().hex}"
+        self._names.append(name)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = df.repartition(buckets, *keys)
         dealt.write.option("path", f"{shared_folder(self.spark)}/sparkloom/{name}").option("compression", "zstd").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

@@ -115,6 +115,18 @@ def test_substrings_by_rank_of_odd_ids(docs, texts):
     assert as_rows(found) == in_duckdb(substrings.WINDOW_SQL, texts)
 
 
+def test_index_takes_batches_one_by_one(spark, docs, texts):
+    index = substrings.SubstringIndex(spark, substrings.Settings(max_runs=2))
+    numbered = docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    found = []
+    for low, high in ((0, 10), (10, 20), (20, 30), (30, 1000)):
+        found += as_rows(substrings.digest(index.add(numbered.filter(f"doc >= {low} AND doc < {high}"))))
+        assert len(index.prints) <= 2 and len(index.windows) <= 2
+    assert sorted(found) == in_duckdb(substrings.WINDOW_SQL, texts)
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in index._names]
+
+
 def test_license_base_columns_match_sql(docs, texts):
     found = licenses.scan(docs)
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
