@@ -20,7 +20,7 @@ from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, load
 #: The pattern by which byte-level BPE tokenizers cut a text before their merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents, and characters, of one block at most: its frequencies travel together.
-BLOCK_DOCS, BLOCK_CHARS = 60_000, 40_000_000
+BLOCK_DOCS, BLOCK_CHARS = 20_000, 12_000_000
 #: Parts that a block's pre-tokens are dealt into by hash.
 PARTS = 128
 #: 2^GROUP_BITS tasks' blocks meet; each of their pre-tokens is counted once.
