@@ -94,14 +94,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def _sharing(p: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """a, b: every pair of equal keys whose columns have a jaccard of `percent` at least, among others.
+
+    Of two such sets, each holds one of the other's columns among its size - percent * size + 1 rarest, so only these are joined.
+    """
+    held = p.select("table", *keys, F.explode("columns").alias("c"))
+    counted = held.groupBy("c").agg(F.count("*").alias("n"))
+    sets = held.join(counted, "c").groupBy("table", *keys).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("s"))
+    rare = sets.withColumn("size", F.size("s")).select("table", *keys, "size", F.explode(F.expr(f"slice(s, 1, size - (size * {percent} + 99) div 100 + 1)")).alias("c")).withColumn("c", F.col("c.c"))
+    other = rare.select(*[F.col(c).alias(f"{c}_") for c in rare.columns])
+    same = [F.col(k) == F.col(f"{k}_") for k in (*keys, "c")]
+    fits = F.least("size", "size_") * 100 >= F.greatest("size", "size_") * percent
+    return rare.join(other, [*same, F.col("table") < F.col("table_"), fits]).select(F.col("table").alias("a"), F.col("table_").alias("b")).distinct()
+
+
 def pairs(profiles: DataFrame) -> DataFrame:
     """Strong edges between tables: a, b, confidence, jaccard. Needs: table, columns (array), time_column.
 
-    Tables without a shared column have no strong edge, so candidates are joined by column, not all with all.
+    A strong edge needs a jaccard of .35, or one of .15 between equal normal names: candidates share a rare column.
     """
-    p = profiles.select("table", "columns", "time_column").filter(F.size("columns") > 0)
-    by_column = p.select("table", F.explode(F.array_distinct("columns")).alias("c"))
-    near = by_column.alias("x").join(by_column.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.table") < F.col("y.table"))).select(F.col("x.table").alias("a"), F.col("y.table").alias("b")).distinct()
+    p = profiles.select("table", F.array_distinct("columns").alias("columns"), "time_column", normal_name(F.col("table")).alias("_x")).filter(F.size("columns") > 0)
+    near = _sharing(p, 35).unionByName(_sharing(p.filter("_x <> ''"), 15, "_x")).distinct()
     left = p.select(F.col("table").alias("a"), F.col("columns").alias("ca"), F.col("time_column").alias("ta"))
     right = p.select(F.col("table").alias("b"), F.col("columns").alias("cb"), F.col("time_column").alias("tb"))
     both = near.join(left, "a").join(right, "b")
@@ -136,10 +150,11 @@ def shards(profiles: DataFrame) -> DataFrame:
 
 def duplicates(profiles: DataFrame) -> DataFrame:
     """Pairs with one structure and one sample whose row counts differ by a tenth at most: the better scored is kept."""
-    p = profiles.filter("sampled > 0")
-    a, b = p.alias("a"), p.alias("b")
+    step = F.when(F.col("rows") == 0, -9).when(F.col("rows") > 0, F.floor(F.ln("rows") / 0.11))  # counts within a tenth are a step apart at most
+    p = profiles.filter("sampled > 0").withColumn("step", step)
+    a, b = p.alias("a"), p.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).alias("b")
     near = F.abs(F.col("a.rows") - F.col("b.rows")) <= 0.1 * F.greatest("a.rows", "b.rows")
-    both = a.join(b, (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.data_fingerprint") == F.col("b.data_fingerprint")) & (F.col("a.table") < F.col("b.table"))).filter(near)
+    both = a.join(b, (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.data_fingerprint") == F.col("b.data_fingerprint")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.table") < F.col("b.table"))).filter(near)
     first = F.col("a.score") >= F.col("b.score")
     return both.select(F.when(first, F.col("a.table")).otherwise(F.col("b.table")).alias("kept"), F.when(first, F.col("b.table")).otherwise(F.col("a.table")).alias("dropped"))
 
@@ -175,7 +190,7 @@ def merge_reviews(machine: DataFrame, kept: DataFrame) -> DataFrame:
 def _profiles(s: SparkSession, d: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     suffix = F.when(k % 9 == 1, "_bak").when(k % 9 == 2, F.lit("_2")).when(k % 9 == 3, F.lit("_1")).otherwise(F.substring(F.lit("abcdefghi"), (k % 9 + 1).cast("int"), F.lit(1)))
-    return table(s, d, "part").filter("p_partkey < 400").select(
+    return table(s, d, "part").select(
         F.concat(F.lit("t_"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit("_"), F.floor(k / 9).cast("string"), F.lit("x"), suffix).alias("table"), "p_partkey",
         F.when(k % 3 == 0, "事实表").when(k % 3 == 1, "业务表").otherwise("字典表").alias("role"), (size % 10).alias("queryable"),
         F.when(k % 11 != 0, F.floor(F.col("p_retailprice") * (k % 200))).cast("long").alias("rows"), F.when(k % 13 == 0, 0).otherwise(200).alias("sampled"),
