@@ -1,8 +1,12 @@
 """Queries over whole tables, against their SQL without the key ranges that it still names."""
 
+import random
+
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkloom import registry
 from sparkloom.operators import scoring
 from sparkloom.sources.tables import NAMES
@@ -14,6 +18,8 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 CUTS = dict.fromkeys(
     ("T1_score", "T2_volume_bands", "T4_coverage_bands", "T8_decision", "T13_strong_edges", "T14_components", "T15_group_summary", "T17_duplicates", "T18_mirrors", "T19_obsolete", "T22_review_merge", "T23_decision_counts"),
     [(" WHERE p_partkey < 400", "")])
+CUTS["T10_name_similarity"] = [(" WHERE p_partkey < 400", ""), (" AND ka < 150 AND kb < 150", "")]
+CUTS["T16_shards"] = [(" WHERE o_orderkey < 300", "")]
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +45,22 @@ def test_edges_of_odd_column_sets(spark):
     sets = [("t_a", ["x"]), ("a_bak", ["x", "y", "z", "u", "v", "w"]), ("b", ["x", "y", "z"]), ("c", ["x", "y", "z", "z"]), ("d", []), ("e", ["q"]), ("same", [f"c{i}" for i in range(20)]), ("same_2", [f"c{i}" for i in range(13, 33)])]
     df = spark.createDataFrame([(t, c, "at") for t, c in sets], "table string, columns array<string>, time_column string")
     assert sorted((r["a"], r["b"]) for r in scoring.pairs(df).collect()) == [("a_bak", "t_a"), ("b", "c"), ("same", "same_2")]
+
+
+def test_similar_names_of_any_length(spark):
+    rnd = random.Random(5)
+    names = {"", "t_", "t_a", "b", "河流", "河流站", "a_1", "a_2", "station_info", "station_info_list"}
+    for n in (1, 2, 3, 4, 5, 7, 8, 11, 12, 16, 17, 24, 40):
+        for _ in range(8):
+            base = [rnd.choice("abc") if n < 6 else rnd.choice("abcdefghij") for _ in range(n)]
+            names.add("".join(base))
+            for _ in range(3):
+                near = list(base)
+                for _ in range(rnd.randrange(1, max(3, n // 3))):
+                    k = rnd.randrange(len(near) + 1)
+                    near[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "a"])
+                names.add("".join(near))
+    df = spark.createDataFrame([(x,) for x in sorted(names)], "table string")
+    both = df.select(F.col("table").alias("a")).crossJoin(df.select(F.col("table").alias("b"))).filter("a < b")
+    want = both.select("a", "b", scoring.name_similarity(F.col("a"), F.col("b")).alias("n")).filter("n > 0")
+    assert sorted(map(tuple, scoring.similar_names(df).collect())) == sorted(map(tuple, want.collect()))
