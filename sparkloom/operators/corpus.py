@@ -202,7 +202,7 @@ def seeded(pool: DataFrame, key: str, seed: str, k: int) -> DataFrame:
 
 # --- bindings
 _c = lambda s, d: table(s, d, "conversations")
-register("L1_normal_question", lambda s, d: _c(s, d).filter("length(text) < 200").select("conv_id", "turn", normal_question(F.col("text")).alias("q")),
+register("L1_normal_question", lambda s, d: _c(s, d).select("conv_id", "turn", normal_question(F.col("text")).alias("q")),
          r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[?？。.!！,，;；]+$', '') AS q FROM conversations WHERE length(text) < 200")
 register("L2_normal_sql", lambda s, d: table(s, d, "part").select("p_partkey", normal_sql(F.concat(F.lit("SELECT  a -- note\n FROM /* x\ny */ T WHERE n = '"), F.col("p_name"), F.lit("'  "))).alias("sql")), "SELECT p_partkey, concat('select a from t where n = ''', lower(p_name), '''') AS sql FROM part")
 register("L3_fingerprint", lambda s, d: table(s, d, "part").select("p_partkey", fingerprint(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("fp")), "SELECT p_partkey, sha256(concat(p_brand, chr(10), p_name, chr(10), p_type)) AS fp FROM part")
@@ -221,7 +221,7 @@ register("L7_bad_moves", lambda s, d: bad_moves(_moves(s, d)).groupBy("before").
 register("L8_judge_gate", lambda s, d: judged(table(s, d, "part").select("p_partkey", (F.col("p_size") > 10).alias("a"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 2 == 0).alias("b"), (F.col("p_size") / 50).alias("confidence")), ["a", "b"], 0.5).select("p_partkey", "verdict"),
          "SELECT p_partkey, CASE WHEN p_size > 10 AND p_partkey % 3 > 0 AND p_partkey % 2 = 0 AND p_size / 50 >= 0.5 THEN 'pass' ELSE 'review' END AS verdict FROM part")
 register("L9_page", lambda s, d: table(s, d, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
-register("L10_ready", lambda s, d: ready_batches(table(s, d, "events").filter("event_id % 40 = 0").select(F.col("user_id").alias("source"), F.col("ts").alias("at")), F.lit("2024-01-31").cast("timestamp_ntz"), 3, 14).select("source", "n", "ready"),
+register("L10_ready", lambda s, d: ready_batches(table(s, d, "events").select(F.col("user_id").alias("source"), F.col("ts").alias("at")), F.lit("2024-01-31").cast("timestamp_ntz"), 3, 14).select("source", "n", "ready"),
          "SELECT user_id AS source, count(*) AS n, count(*) >= 3 OR min(ts) <= TIMESTAMP '2024-01-17' AS ready FROM events WHERE event_id % 40 = 0 GROUP BY 1")
 
 
@@ -271,7 +271,7 @@ register("K2_examples", lambda s, d: table(s, d, "part").filter("p_type = 'SMALL
 register("K3_record_id", lambda s, d: table(s, d, "part").select("p_partkey", record_id(F.lit("src"), F.col("p_brand"), F.col("p_name")).alias("id")), "SELECT p_partkey, concat('b5-', sha256(concat('src|', p_brand, '|', p_name))) AS id FROM part")
 register("K4_redacted", lambda s, d: table(s, d, "part").select("p_partkey", redact(F.concat(F.lit("mail a.b@x.org password = "), F.col("p_name"), F.lit(" no 12345678901"))).alias("t")),
          "SELECT p_partkey, concat('mail <mail> password=<hidden> ', split_part(p_name, ' ', 2), ' no <number>') AS t FROM part")
-register("M8_families", lambda s, d: families(table(s, d, "part").filter("p_partkey < 300").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.when(F.col("p_partkey") % 2 == 0, "day").otherwise(F.concat(F.lit("x_v"), F.col("p_size").cast("string")))).alias("table")).distinct()), """
+register("M8_families", lambda s, d: families(table(s, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.when(F.col("p_partkey") % 2 == 0, "day").otherwise(F.concat(F.lit("x_v"), F.col("p_size").cast("string")))).alias("table")).distinct()), """
 WITH t AS (SELECT DISTINCT concat(replace(p_name, ' ', '_'), '_', CASE WHEN p_partkey % 2 = 0 THEN 'day' ELSE concat('x_v', p_size) END) AS t, replace(p_name, ' ', '_') AS f FROM part WHERE p_partkey < 300)
 SELECT t AS "table", CASE WHEN count(*) OVER (PARTITION BY f) > 1 THEN f ELSE '' END AS family FROM t""")
 register("M11_compact", lambda s, d: table(s, d, "part").select("p_partkey", compact(F.concat("p_brand", F.lit(" - "), "p_name")).alias("t")), "SELECT p_partkey, lower(concat(replace(p_brand, '#', ''), replace(p_name, ' ', ''))) AS t FROM part")

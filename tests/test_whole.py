@@ -20,6 +20,9 @@ CUTS = dict.fromkeys(
     [(" WHERE p_partkey < 400", "")])
 CUTS["T10_name_similarity"] = [(" WHERE p_partkey < 400", ""), (" AND ka < 150 AND kb < 150", "")]
 CUTS["T16_shards"] = [(" WHERE o_orderkey < 300", "")]
+CUTS["L1_normal_question"] = [(" WHERE length(text) < 200", "")]
+CUTS["L10_ready"] = [(" WHERE event_id % 40 = 0", "")]
+CUTS["M8_families"] = [(" WHERE p_partkey < 300", "")]
 
 
 @pytest.fixture(scope="module")
