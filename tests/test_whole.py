@@ -23,6 +23,7 @@ CUTS["T16_shards"] = [(" WHERE o_orderkey < 300", "")]
 CUTS["L1_normal_question"] = [(" WHERE length(text) < 200", "")]
 CUTS["L10_ready"] = [(" WHERE event_id % 40 = 0", "")]
 CUTS["W6_missing_runs"] = [(" WHERE user_id < 20 AND ts < TIMESTAMP '2024-01-04'", ""), (" WHERE user_id < 20", ""), ("TIMESTAMP '2024-01-03 23:00:00'", "TIMESTAMP '2024-01-30 23:00:00'")]
+CUTS["D15_ddl"] = [(" AND p_partkey < 200", "")]
 CUTS["W12_targets"] = [("station_id % 2 = 0 AND ", "")]
 CUTS["M8_families"] = [(" WHERE p_partkey < 300", "")]
 
