@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video map select textarea button".split())
 #: Elements that hold what surrounds an article.
 AROUND = frozenset("nav footer aside form menu dialog".split())
+#: Elements with raw content, which goes on up to their own end.
+RAW = frozenset("script style textarea noscript template iframe svg".split())
+#: Elements that the next of their kind ends.
+_IMPLIED = frozenset("p li option tr td th dt dd".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run inside a block; any other element ends a block.
@@ -36,7 +40,9 @@ STOP_WORDS = frozenset(
 #: A comment, a declaration or a tag with quoted values; the quantifiers never give back, so time stays linear.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HINT = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,20 +71,66 @@ def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("body", "html", "main", "article"):
         return False
-    if _HIDDEN.search(attributes):
+    if _HINT.search(attributes) and _hidden(attributes):
         return True
     for m in _NAMES.finditer(attributes):
-        if AROUND_WORDS.intersection(re.split(r"[\s_\-:]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())):
+        tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower().split()
+        if any(re.split(r"[_\-:]", t, maxsplit=1)[0] in AROUND_WORDS for t in tokens):
             return True
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes hide it: hidden, aria-hidden="true" or a style with display: none."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NONE.search(value):
+            return True
+    return False
+
+
+def _holders(page: str) -> dict[int, str]:
+    """Where elements begin that hold an article or main, with what they hold: main, if both."""
+    found: dict[int, str] = {}
+    stack: list[tuple[str, int]] = []
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag, closing, attributes = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if not tag or tag in VOID or not closing and attributes.endswith("/"):
+            continue
+        if not closing:
+            if tag in RAW:
+                at = _after_raw(page, tag, at)
+                continue
+            if tag in _IMPLIED and stack and stack[-1][0] == tag:
+                stack.pop()
+            if tag in ("article", "main"):
+                for _, k in reversed(stack):
+                    if found.get(k) in (tag, "main"):
+                        break
+                    found[k] = tag
+            if tag not in INLINE:
+                stack.append((tag, m.start()))
+        elif any(x[0] == tag for x in stack):
+            while stack.pop()[0] != tag:
+                pass
+    return found
+
+
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """The end of a raw element whose content begins at `at`."""
+    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    return close.end() if close else len(page) if tag in ("script", "style") else at
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order, without what stands in elements that surround an article."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it is left out, whether it is an article
     parts: list[tuple[str, bool]] = []
     left_out = articles = links = 0
+    holders: dict[int, str] | None = None
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(x for x, _ in parts)).split())
@@ -113,18 +165,20 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if not closing:
-            if tag in ("script", "style", "textarea", "noscript", "template", "iframe", "svg"):  # raw content, up to its own end
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page) if tag in ("script", "style") else at
+            if tag in RAW:
+                at = _after_raw(page, tag, at)
                 continue
             if attributes.endswith("/"):
                 continue
-            if tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
+            if tag in _IMPLIED and stack and stack[-1][0] == tag:
                 stack_left, stack_article = stack[-1][1:]
                 stack.pop()
                 left_out -= stack_left
                 articles -= stack_article
             out, article = _surrounds(tag, attributes, articles > 0), tag in ("article", "main")
+            if out and not left_out and tag not in UNSEEN:  # an article in an aside is not the page's
+                holders = _holders(page) if holders is None else holders
+                out = holders.get(m.start()) not in (("main",) if tag in ("nav", "aside", "footer", "menu") else ("main", "article"))
             stack.append((tag, out, article))
             left_out += out
             articles += article

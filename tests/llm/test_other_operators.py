@@ -99,6 +99,21 @@ def test_broken_pages_end():
         assert isinstance(extraction.main_text(page), str)
 
 
+TEXT = "This is the text of the page, and it has the words that a text has in it."
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-xs"', 'class="content-with-sidebar"', 'class="no-sidebar"', 'id="post-search-result"', 'data-x="hidden"'])
+def test_wrappers_are_kept(attributes):
+    assert extraction.main_text(f"<body><div {attributes}><p>{TEXT}</p></div></body>") == TEXT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"', 'class="x sidebar-left"', 'id="navBar"'])
+def test_surroundings_go_unless_they_hold_an_article(attributes):
+    page = f"<body><p>{TEXT}</p><div {attributes}><div><p>No, {TEXT}</p></div></div></body>"
+    assert extraction.main_text(page) == TEXT
+    assert extraction.main_text(f"<body><div {attributes}><div><article><p>{TEXT}</p></article></div></div></body>") == TEXT
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", None)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
