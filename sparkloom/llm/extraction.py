@@ -201,11 +201,11 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
 
     First pass, by the block alone: many links: bad. Inside an article a long block, or one with some stop words, is
     good; elsewhere it needs many stop words. The rest, mostly short, is undecided. Second pass: an undecided block takes
-    the label of the nearest decided block; between a good and a bad one as near it is good inside an article only. With
-    no decided block at all, blocks inside an article are good. Where a page has an article, only its blocks count.
+    the label of the nearest decided block; between a good and a bad one as near it is good inside an article only.
+
+    Where articles hold most of the text that the first pass finds good, only their blocks count. Where it finds none,
+    length and link density decide: blocks with few links that are long enough or in an article are good, or else all with few links.
     """
-    if any(b.in_article for b in found):
-        found = [b for b in found if b.in_article]
     for b in found:
         long, some = len(b.text) >= rules.long_chars, b.stop_density >= rules.few_stop_words
         if b.link_density > rules.max_link_density:
@@ -216,6 +216,13 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             b.kind = "good"
         elif not b.in_article and long and not some:
             b.kind = "bad"
+    if not any(b.kind == "good" for b in found):
+        few = [b for b in found if b.link_density <= rules.max_link_density]
+        for b in [b for b in few if b.in_article or len(b.text) >= rules.short_chars] or few:
+            b.kind = "good"
+    inside = sum(len(b.text) for b in found if b.in_article and b.kind == "good")
+    if inside * 2 > sum(len(b.text) for b in found if b.kind == "good"):
+        found = [b for b in found if b.in_article]
     decided = [(i, b.kind) for i, b in enumerate(found) if b.kind]
     before, k = None, 0
     for i, b in enumerate(found):

@@ -114,6 +114,18 @@ def test_surroundings_go_unless_they_hold_an_article(attributes):
     assert extraction.main_text(f"<body><div {attributes}><div><article><p>{TEXT}</p></article></div></div></body>") == TEXT
 
 
+def test_pages_without_stop_words_or_articles():
+    finnish = "Metsien keskellä sijaitseva järvi jäätyy talvella kokonaan, jolloin kalastajat kulkevat jäätä pitkin saariin. " * 3
+    assert extraction.main_text(f"<body><nav>Alku</nav><div>{finnish}</div></body>") == finnish.strip()
+    assert extraction.main_text("<body><table><tr><td>Oak</td><td>12 m</td></tr></table><ul><li>Elm</li><li><a href=x>More trees</a></li></ul></body>") == "Oak\n\n12 m\n\nElm"
+
+
+def test_teaser_articles_do_not_bound_the_page():
+    page = f"<body><div><p>{TEXT}</p><p>{TEXT} {TEXT}</p></div><article><p>Read on about it.</p></article><article><a href=x>A card</a></article></body>"
+    assert TEXT in extraction.main_text(page) and f"{TEXT} {TEXT}" in extraction.main_text(page)
+    assert extraction.main_text(f"<body><p>{TEXT}</p><article><p>{TEXT} {TEXT}</p></article></body>") == f"{TEXT} {TEXT}"
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", None)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
