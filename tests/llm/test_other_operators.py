@@ -168,6 +168,15 @@ def test_pipeline_stages(spark):
     assert ends.filter("n <> m + 1").count() == 0 and ends.count() == mixed.count()
 
 
+def test_near_copies_leave_one_row_of_a_group(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(3, base), (3, base), (None, f"{base} end"), (2, base), (None, "other words that stand alone in here"), (None, "other words that stand alone in here"), (9, "x y z"), (9, "a b c"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()
+    want = [(2, base), (None, "other words that stand alone in here"), (9, "x y z"), (9, "a b c"), (5, None), (5, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_oracles_name_columns_of_their_queries(spark):
     con = duckdb.connect()
     for name in ("embeddings", "documents"):
