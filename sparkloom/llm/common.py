@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +62,21 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
+
+
+def in_filter(filter_bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether numbers may be in a filter: two bits of each are looked up."""
+    size = np.uint64(len(filter_bits) * 8 - 1)
+    one, two = x & size, (x >> np.uint64(32)) & size
+    get = lambda p: (filter_bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
+    return (get(one) & get(two)).astype(bool)
+
+
+def member_filter(df: DataFrame, column: str, bits: int = 1 << 24):
+    """A filter of a long column, of `bits` bits whatever the rows, broadcast. More rows make it pass more, never less."""
+    spots = df.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(F.lit(bits - 1)))).alias("p"))
+    pages = spots.groupBy(F.shiftright("p", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in pages.collect():  # at most bits / 32768 pages of 4096 bytes
+        out[row["page"] * 4096 : row["page"] * 4096 + len(row["bits"])] |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out)

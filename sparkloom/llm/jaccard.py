@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import written
+from .common import in_filter, member_filter, written
 from .components import connected
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _CACHE = 500_000
-#: Sets, and n-grams of sets, that one task compares with each other.
-BLOCK_SETS, BLOCK_GRAMS = 2_000, 4_000_000
-#: The n-gram order is cut again into so many fragments where overlaps are counted.
-COUNT_FRAGMENTS = 8
+#: Sets, and n-grams of sets, that are sent as one part.
+PART_SETS, PART_GRAMS = 2_000, 1_000_000
+#: N-grams of a fragment of the order.
+FRAGMENT_GRAMS = 2_000_000
+#: Sets of a long list that are compared with each other in one cell.
+BLOCK_SETS = 2_000
 
 
 @dataclass(frozen=True)
@@ -87,172 +92,330 @@ def _key(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) - (1 << 64 if x >> 63 else 0) for x in (whole >> 64, whole & (1 << 64) - 1))
 
 
-def size_class(size: int, rule: Rule) -> tuple[int, list[int]]:
-    """The class of a set's size and the largest size of it and of the next one.
+def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches, of bounded size, and their texts' sets."""
+    words = Words(lower=True)
+    for batch in batches:
+        first, found, total = 0, [], 0
+        for i, x in enumerate(batch.column(text)):
+            found.append(grams(words.of(x.as_py()), n))
+            total += len(found[-1])
+            if len(found) == PART_SETS or total >= PART_GRAMS or i == batch.num_rows - 1:
+                yield batch.slice(first, len(found)), found
+                first, found, total = i + 1, [], 0
+
+
+def _by_fragment(flat: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of 2^bits fragments of the order that holds something: its number, its n-grams set by set, and each set's number and count."""
+    fragment = (flat >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(fragment, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(fragment[order]) != 0, True]) if len(flat) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = owner[order[a:b]]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        yield int(fragment[order[a]]), flat[order[a:b]], own[starts], np.diff(np.r_[starts, len(own)])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one fragment: per part of sets, how many n-grams of each of its sets are in a different set too."""
+    read = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()]
+    keys, counts, flat = read("keys", "<u8"), read("counts", "<u4"), np.concatenate(read("grams", "<u4"))
+    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    starts = np.cumsum(count) - count
+    # a set that several tasks sent counts once
+    _, once = np.unique(mix(key) + mix(flat[starts] + (count.astype(np.uint64) << np.uint64(32))), return_index=True)
+    kept = np.zeros(len(key), dtype=bool)
+    kept[once] = True
+    grams_, times = np.unique(flat[np.repeat(kept, count)], return_counts=True)
+    common = grams_[times > 1]
+    if len(common):
+        common = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+        sums = np.add.reduceat(common.astype(np.uint32), starts)
+    else:
+        sums = np.zeros(len(key), dtype=np.uint32)
+    edges = np.cumsum([0, *map(len, keys)])
+    out = [sums[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    return pa.table({"part": table.column("part"), "sets": table.column("sets"), "sums": pa.array(out, pa.binary()), "keys": pa.nulls(len(out), pa.binary())})
+
+
+def _alive(percent: int):
+    """Rows of one part of sets to the keys of those that share enough of their n-grams to link with anything."""
 
-    Sets that link have sizes in the same class or in neighbouring ones, since each class reaches 100 / percent times.
-    """
-    low, c = 1, 0
-    while True:
-        high = low * 100 // rule.percent
-        if size <= high:
-            return c, [high, (high + 1) * 100 // rule.percent]
-        low, c = high + 1, c + 1
+    def run(table: pa.Table) -> pa.Table:
+        total, key, size = None, None, None
+        for sets, sums, keys in sorted(zip(*(table.column(c).to_pylist() for c in ("sets", "sums", "keys"))), key=lambda r: r[2] is None):
+            if keys is not None:
+                key, size = np.frombuffer(keys, dtype="<i8"), np.frombuffer(sums, dtype="<u4").astype(np.int64)
+                total = np.zeros(len(key), dtype=np.int64)
+            else:
+                total[np.frombuffer(sets, dtype="<u4")] += np.frombuffer(sums, dtype="<u4")
+        return pa.table({"k1": pa.array(key[100 * total >= percent * size])})
+
+    return run
 
 
-def fragments(high: int, rule: Rule) -> tuple[int, int]:
-    """In how much sets that link may differ, if they have at most `high` n-grams, and how many fragments they are cut into.
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities of how many n-grams of a set fall on each of its bits, four or more for each n-gram, as 64-bit words.
 
-    Sets that link differ in at most (100 - percent) / (100 + percent) of their summed sizes; with one fragment more than
-    that, at least one is equal in both. Some more stand in for fragments that hold nothing.
+    Sets differ in at least as many n-grams as their bitmaps differ in bits.
     """
-    differ = 2 * high * (100 - rule.percent) // (100 + rule.percent)
-    return differ, differ + 1 + max(3, differ // 10) if differ else 0
+    size = 64
+    while size < 4 * len(found):
+        size *= 2
+    odd = np.bincount((mix(found + _ODD[4]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (the last axis) of the same sets with fewer bits."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def may_link(differ, a, b, percent: int):
+    """Whether sets of sizes a and b that differ in `differ` n-grams or more may link."""
+    both = (a + b - differ) // 2
+    return 100 * both >= percent * (a + b - both)
+
+
+def _across(ids: np.ndarray, size: np.ndarray, component: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> list[np.ndarray]:
+    """Pairs of sets of different components, and of different sides where there are two, whose bitmaps let them link."""
+    length, out = np.array([len(x) // 8 for x in bits]), []
+    of = {w: np.flatnonzero(length == w) for w in np.unique(length).tolist()}
+    rows = {(w, w): np.stack([np.frombuffer(bits[i], dtype="<u8") for i in at.tolist()]) for w, at in of.items()}
+    rows |= {(w, w // 2): folded(x, w // 2) for (w, _), x in list(rows.items()) if w // 2 in of}
+    place = {i: k for at in of.values() for k, i in enumerate(at.tolist())}
+    values, times = np.unique(component, return_counts=True)
+    most = values[times.argmax()]  # its sets are only met from the other end
+    for i in np.flatnonzero(component != most).tolist():
+        own = int(length[i])
+        for w in (own // 2, own, own * 2):  # the sizes of sets that link differ by less than that
+            if w not in of:
+                continue
+            other, least = of[w], min(own, w)
+            far = (component[other] != component[i]) & ((component[other] == most) | (other > i)) & ((side[other] != side[i]) | (side[i] < 0))
+            far &= 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
+            if far.any():
+                differ = np.bitwise_count(rows[w, least][far] ^ rows[own, least][place[i]]).sum(axis=1, dtype=np.int64)
+                met = other[far][may_link(differ, size[other[far]], size[i], percent)]
+                out.append(np.stack([np.full(len(met), ids[i]), ids[met]], axis=1))
+    return out
+
+
+def _crossing(percent: int):
+    """Rows sorted by (gram, x, y) to candidate pairs; groups of those are of bounded size and held one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            yield from found(rest, False)
+            rest = last(rest)
+        if rest is not None and rest.num_rows:
+            yield from found(rest, True)
+
+    def edges(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy() for c in ("gram", "x", "y")])
+        return np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0), True])
+
+    def last(table: pa.Table) -> pa.Table:
+        return table.slice(edges(table)[-2]) if table.num_rows else table
+
+    def found(table: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        at = edges(table)
+        ids, size, component, side = (table.column(c).to_numpy() for c in ("id", "n", "component", "side"))
+        bits, out = table.column("bits"), []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if whole or b < table.num_rows:
+                out += _across(ids[a:b], size[a:b], component[a:b], side[a:b], bits.slice(a, b - a).to_pylist(), percent)
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    return run
 
-def signatures(found: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of which two sets that link have one in common, unless they are equal.
 
-    There is one for each fragment of the n-gram order that holds something of the set, in its size class and the next.
-    Fragments that are equal since both hold nothing don't show. A set with so many that they might be all it has in
-    common with another adds its least n-grams, as many as may differ and one; the other set then does so too.
-    """
-    out = []
-    c, highs = size_class(len(found), rule)
-    for k, high in enumerate(highs):
-        differ, m = fragments(high, rule)
-        if not m:
-            continue
-        tag = np.uint64((c + k) * 0x27D4EB2F165667C5 % 2**64)
-        f = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        out.append(mix(np.add.reduceat(mix(found ^ _ODD[1]), starts) + f[starts] * _ODD[2] + tag))
-        if m - len(starts) >= m - differ:
-            first = len(found) - -(-rule.percent * len(found) // 100) + 1
-            out.append(mix(mix(found[:first] + _ODD[3]) + tag))
-    return np.concatenate(out) if out else found[:0]
-
-
-def _links(rows: list[np.ndarray], cols: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """Which sets of rows link with which of cols.
-
-    Fragment by fragment of the n-gram order, partial overlaps are counted separately and summed per pair.
-    """
-    sums = np.zeros((len(rows), len(cols)), dtype=np.int32)
-    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (rows, cols)]
-    edges = [np.uint64((k << 64) // COUNT_FRAGMENTS) for k in range(1, COUNT_FRAGMENTS)]
-    cuts = [[np.r_[0, np.searchsorted(x, edges), len(x)] for x in side] for side in (rows, cols)]
-    for k in range(COUNT_FRAGMENTS):
-        part = [x[c[k] : c[k + 1]] for x, c in zip(cols, cuts[1])]
-        flat = np.concatenate(part) if part else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(cols)), [len(x) for x in part])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for i, (x, c) in enumerate(zip(rows, cuts[0])):
-            mine = x[c[k] : c[k + 1]]
-            a, b = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-            many = b - a
-            at = np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)
-            sums[i] += np.bincount(owner[at], minlength=len(cols)).astype(np.int32)
-    return np.stack([100 * own.astype(np.int64) >= rule.percent * (n + sizes[1] - own) for own, n in zip(sums, sizes[0])])
-
-
-def _compare(rule: Rule):
-    """Rows of one pair of blocks to the forest of links between them."""
+def _near(percent: int):
+    """Pairs with sizes and bitmaps (na, nb, xa, xb) to those that may link."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("rep").to_pylist(), dtype=np.int64)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
-        block = np.array(table.column("block").to_pylist(), dtype=np.int64)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        rows, cols = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        linked = _links([sets[i] for i in rows], [sets[i] for i in cols], rule)
-        # labels of least ids spread over the links, until they rest
-        label, none = ids.copy(), np.iinfo(np.int64).max
-        while linked.any():
-            before = label.copy()
-            np.minimum.at(label, rows, np.where(linked, label[cols][None, :], none).min(axis=1))
-            np.minimum.at(label, cols, np.where(linked, label[rows][:, None], none).min(axis=0))
-            if (label == before).all():
-                break
-        moved = label != ids
-        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(label[moved])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, xa, xb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
+                xa, xb = np.frombuffer(xa, dtype="<u8"), np.frombuffer(xb, dtype="<u8")
+                words = min(len(xa), len(xb))
+                keep.append(bool(may_link(int(np.bitwise_count(folded(xa, words) ^ folded(xb, words)).sum()), na, nb, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Of one fragment: each set's n-grams that are in another one too, with the number of sets that hold them."""
+    lists = table.column("grams").combine_chunks()
+    flat, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(count)), count)
+    _, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+    times = times[where]
+    keep = times > 1
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=len(count)))].astype(np.int32))
+    return pa.table({"id": table.column("id"), "n": table.column("n"), "grams": pa.ListArray.from_arrays(offsets, pa.array(flat[keep])), "times": pa.ListArray.from_arrays(offsets, pa.array(times[keep].astype(np.int64)))})
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that link: partial overlaps are counted in each fragment and summed per pair."""
+    held = sets.filter("fragment >= 0")
+    left = held.select(F.col("id").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = held.select(F.col("id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return total.filter(100 * F.col("both") >= rule.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _lists(sets: DataFrame, rule: Rule) -> DataFrame:
+    """gram, id, n, score: the rarest n-grams of each set, as many as two sets that link have one of in common.
+
+    The order is by the number of sets that hold an n-gram, then by its hash. score is the part of a set that others hold.
+    """
+    counted = sets.filter("fragment >= 0").groupBy("fragment").applyInArrow(_frequencies, "id long, n long, grams array<long>, times array<long>")
+    whole = counted.groupBy("id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("times")).alias("times"))
+    rare = F.array_sort(F.arrays_zip(F.col("times"), F.col("grams")))
+    # n - ceil(percent * n / 100) + 1 n-grams; those that no other set holds come first and are left out
+    many = F.size("grams") - F.ceil(rule.percent * F.col("n") / 100).cast("int") + 1
+    first = whole.filter(many > 0).select("id", "n", (F.size("grams") / F.col("n")).alias("score"), F.explode(F.slice(rare, F.lit(1), many)).alias("x"))
+    return first.select(F.col("x.grams").alias("gram"), "id", "n", "score")
+
+
+def _dealt(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Lists that hold several components, dealt into cells (gram, x, y) of bounded size in which pairs are compared.
+
+    A long list's largest component is cut into blocks, and the other sets go to each of them; these are also compared
+    with each other, in pairs of blocks. So rows are only repeated where a long list holds many sets that are not linked.
+    """
+    own = written(lists.join(components, F.col("id") == F.col("node"), "left").select("gram", "id", "n", F.coalesce("component", "id").alias("component")), "lists-components")
+    by = own.groupBy("gram", "component").agg(F.count("*").alias("k"))
+    facts = by.groupBy("gram").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    facts = written(facts.select("gram", "all", F.col("most.k").alias("major"), F.col("most.component").alias("largest")), "lists-facts")
+    rows = own.join(facts, "gram")
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    blocks = lambda n: F.ceil(n / BLOCK_SETS)
+    large, small = blocks(F.col("major")), blocks(F.col("all") - F.col("major"))
+    cell = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
+    none = F.lit(-1)
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    cells = (F.when(F.col("all") <= 2 * BLOCK_SETS, F.array(cell(none, none, none)))
+             .when(F.col("component") == F.col("largest"), F.array(cell(F.lit(-2), block(large), F.lit(0))))
+             .otherwise(F.concat(each(large, lambda i: cell(F.lit(-2), i, F.lit(1))),
+                                 each(small, lambda j: cell(F.least(block(small), j), F.greatest(block(small), j), F.when(block(small) == j, none).otherwise(block(small)))))))
+    return rows.select("gram", "id", "n", "component", F.explode(cells).alias("cell")).select("gram", "id", "n", "component", "cell.x", "cell.y", "cell.side")
+
+
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable over links, its own included).
 
-    The global n-gram order is that of their hashes. Sets that are equal are one class. A class of sets sends one
-    signature for each fragment of the order; classes that link share a fragment, and neighbours by signature join into
-    clusters. Within a cluster every two sets are compared exactly: fragment by fragment, partial overlaps summed per
-    pair. Clusters are dealt into blocks of bounded size, a large one into pairs of blocks; a task returns a forest of its
-    links, never pairs, and its components give the groups. The result loses no link and makes none: only the hashes of
-    n-grams (64 bits) and of sets (128 bits) stand for words.
+    Vertical partitioning: the global order of n-grams is cut into fragments, and each set sends its n-grams to them.
+    1. Equal sets are one class. In each fragment it is counted how many of a set's n-grams other sets hold too; these
+       partial counts are summed per set. A set that shares less than rule.percent of its n-grams links with nothing.
+    2. Of the other sets, the fragments count how many hold each n-gram; the rarest of a set lead to lists, and two sets
+       that link share a list. Each set of a list is tried with the one that shares most, and links join components.
+    3. Lists with several components are searched for further pairs. Sizes and parity bitmaps, which bound the overlap
+       from above, leave few. All pairs left are verified: partial overlaps are counted in each fragment and summed.
+    Sets that are in one component are not compared further, so a large group of near copies costs a row for each. The
+    result loses no link and makes none: only the hashes of n-grams (64 bits) and of sets (128 bits) stand for words.
 
     Null, empty and wordless texts have no n-grams and link with nothing. Rows that repeat a doc_id are compared each, by
     their own texts. Rows without doc_id get no component. An empty table gives no rows.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    total = source.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    # about one n-gram for every six bytes
+    bits = max(1, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total / 6 / FRAGMENT_GRAMS))))
+    whole, binary = T.LongType(), T.BinaryType()
+    kinds = T.StructType([T.StructField(*x) for x in [
+        ("doc_id", source.schema["doc_id"].dataType), *((c, whole) for c in ("n_shingles", "k1", "k2", "part")), ("fragment", T.IntegerType()), *((c, binary) for c in ("keys", "sets", "counts", "grams"))]])
+    shape = to_arrow_schema(kinds)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, sent = TaskContext.get().partitionId(), set()
+        for number, (part, sets) in enumerate(_sets(batches, "text", rule.n)):
+            both = [_key(x) if len(x) else (None, None) for x in sets]
+            plain = {"doc_id": part.column(0), "n_shingles": pa.array(map(len, sets), pa.int64()), "k1": pa.array([k for k, _ in both], pa.int64()), "k2": pa.array([k for _, k in both], pa.int64())}
+            yield pa.RecordBatch.from_arrays([plain[f.name] if f.name in plain else pa.nulls(len(sets), f.type) for f in shape], schema=shape)
+            if len(sent) > _CACHE:
+                sent = set()
+            new = []
+            for i, x in enumerate(sets):
+                if len(x) and both[i] not in sent:  # a copy adds nothing
+                    sent.add(both[i])
+                    new.append(i)
+            if new:
+                key, name = np.array([both[i][0] for i in new], dtype="<i8"), (task << 32) + number
+                size = np.array([len(sets[i]) for i in new])
+                flat, owner = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), size)
+                out = [{"part": name, "fragment": -1, "keys": key.tobytes(), "counts": size.astype("<u4").tobytes()}]
+                for f, held, own, count in _by_fragment(flat, owner, bits):
+                    short = ((held << np.uint64(bits)) >> np.uint64(32)).astype("<u4")  # the fragment is known by its upper bits
+                    out.append({"part": name, "fragment": f, "keys": key[own].tobytes(), "sets": own.astype("<u4").tobytes(), "counts": count.astype("<u4").tobytes(), "grams": short.tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    both = written(source.mapInArrow(cut, kinds), "sets")
+    rows = both.filter("fragment IS NULL").select("doc_id", "n_shingles", "k1", "k2")
+    known = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = written(known.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    partial = both.filter("fragment >= 0").select("part", "fragment", "keys", "sets", "counts", "grams").groupBy("fragment").applyInArrow(_shared, "part long, sets binary, sums binary, keys binary")
+    base = both.filter("fragment = -1").select("part", F.lit(None).cast("binary").alias("sets"), F.col("counts").alias("sums"), "keys")
+    alive = partial.unionByName(base).groupBy("part").applyInArrow(_alive(rule.percent), "k1 long").distinct()
+    classed = written(classes.join(alive, "k1", "left_semi").withColumn("h", F.xxhash64("rep")), "classes-alive")
+    wanted = member_filter(classed, "h")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True)
         for batch in batches:
-            sets = [grams(words.of(x.as_py()), rule.n) for x in batch.column(1)]
-            both = [_key(x) if len(x) else (None, None) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([k for k, _ in both], pa.int64()), pa.array([k for _, k in both], pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
+            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column("h").to_numpy().view(np.uint64))))
+            keys = [_key(x) if len(x) else (0, 0) for x in (grams(words.of(x.as_py()), rule.n) for x in batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=["text", "k1", "k2"])
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sent = Words(lower=True), set()
-        for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                marks, owners = [], []
-                for x in part.column(0):
-                    found = grams(words.of(x.as_py()), rule.n)
-                    if not len(found) or (key := _key(found)) in sent:  # a copy adds nothing
-                        continue
-                    if len(sent) >= _CACHE:
-                        sent = set()
-                    sent.add(key)
-                    marks.append(signatures(found, rule))
-                    owners.append(np.full(len(marks[-1]), key[0], dtype=np.int64))
-                if marks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(owners))], names=["signature", "k1"])
+    # a filter of fixed size goes ahead, so few other texts are moved; any text of a class has its set
+    texts = source.filter(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id")).select("text", "h").mapInArrow(keyed, "text string, k1 long, k2 long")
+    texts = texts.join(classed.select("k1", "k2", "id"), ["k1", "k2"]).groupBy("id").agg(F.min("text").alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lower=True)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                sets = [grams(words.of(x.as_py()), rule.n) for x in part.column("text")]
-                same = [i for i, (x, key) in enumerate(zip(sets, zip(part.column("k1").to_pylist(), part.column("k2").to_pylist()))) if len(x) and _key(x) == key]
-                rest = part.select(["bucket", "blocks", "rep"]).take(pa.array(same, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["bucket", "blocks", "rep", "grams"])
-
-    rows = written(source.mapInArrow(keys, "doc_id long, n_shingles long, k1 long, k2 long"), "sets")
-    classes = written(rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-
-    # neighbours among the classes of one signature; a window reads its rows in order and holds one of them
-    marks = source.select("text").mapInArrow(signed, "signature long, k1 long")
-    beside = marks.withColumn("b", F.lag("k1").over(Window.partitionBy("signature").orderBy("k1"))).filter(F.col("b") != F.col("k1"))
-    clusters = connected(beside.select(F.col("k1").alias("a"), "b").distinct(), "cluster")
-
-    members = written(classes.join(clusters, F.col("k1") == F.col("node")).drop("node"), "members")
-    of = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
-    of = written(of.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("all") / BLOCK_GRAMS)).cast("int")), "cluster-sizes")
-    small = of.filter("blocks = 1").agg(F.sum("sets").alias("sets"), F.sum("all").alias("all")).first()
-    buckets = int(max((small["sets"] or 0) / (BLOCK_SETS / 2), (small["all"] or 0) / (BLOCK_GRAMS / 2))) + 1
-    # small clusters share buckets, where their sets are compared too and don't link; a large one has its own
-    bucket = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("string")).otherwise(F.concat(F.lit("c"), F.col("cluster")))
-    dealt = members.join(of.select("cluster", "blocks", bucket.alias("bucket")), "cluster").select("rep", "k1", "k2", "bucket", "blocks")
-    sets = source.join(dealt, F.col("doc_id") == F.col("rep")).select("text", "k1", "k2", "bucket", "blocks", "rep").mapInArrow(packed, "bucket string, blocks int, rep long, grams binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    paired = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    links = paired.groupBy("bucket", "low", "high").applyInArrow(_compare(rule), "a long, b long")
-    groups = connected(written(links, "links"))
-
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+        for part, sets in _sets(batches, "text", rule.n):
+            ids = part.column("id").to_numpy()
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            none = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(np.full(len(sets), -1, dtype=np.int32)), none, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=names)
+            for f, held, own, count in _by_fragment(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), bits):
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(held.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(size[own]), pa.array(np.full(len(own), f, dtype=np.int32)), lists, pa.nulls(len(own), pa.binary())], names=names)
+
+    names = ["id", "n", "fragment", "grams", "bits"]
+    sets = written(texts.mapInArrow(packed, "id long, n long, fragment int, grams array<long>, bits binary"), "sets-alive")
+    bitmaps = sets.filter("fragment < 0").select("id", "n", "bits")
+    lists = written(_lists(sets, rule), "lists")
+
+    lead = written(lists.groupBy("gram").agg(F.max(F.struct("score", "id", "n")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", F.col("lead.id").alias("a"), F.col("lead.n").alias("na")), "leads")
+    sizes = 100 * F.least("na", "n") >= rule.percent * F.greatest("na", "n")
+    tried = lists.join(lead, "gram").filter((F.col("a") != F.col("id")) & sizes).select("a", F.col("id").alias("b")).distinct()
+    with_bits = tried.join(bitmaps.toDF("a", "na", "xa"), "a").join(bitmaps.toDF("b", "nb", "xb"), "b")
+    links = written(_linked(with_bits.mapInArrow(_near(rule.percent), "a long, b long"), sets, rule), "links")
+
+    cells = _dealt(lists, connected(links)).join(bitmaps.select("id", "bits"), "id")
+    across = cells.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(_crossing(rule.percent), "a long, b long").distinct()
+    more = written(_linked(across, sets, rule), "links")
+    groups = connected(links.unionByName(more))
+
+    of = written(classes.join(groups, F.col("id") == F.col("node")).select("id", "component", "rep"), "members")
+    least = of.join(of.groupBy("component").agg(F.min("rep").alias("least")), "component").select("id", "least")
+    named = classes.join(least, "id", "left").select("k1", "k2", F.coalesce("least", "rep").alias("component"))
     # copies may be a third of all rows: their class has one row on the other side, so adaptive execution splits them
     return rows.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_rank, partitions_for, shared_folder
+from .common import global_rank, in_filter, member_filter, partitions_for, shared_folder
 from .jaccard import Words, mix
 
 #: Bits of a word's place in its text; the others hold the document's number.
@@ -116,24 +116,6 @@ def _groups(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
                 first, found, total = i + 1, [], 0
 
 
-def _in(filter_bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whether numbers may be in a filter: two bits of each are looked up."""
-    size = np.uint64(len(filter_bits) * 8 - 1)
-    one, two = x & size, (x >> np.uint64(32)) & size
-    get = lambda p: (filter_bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-    return (get(one) & get(two)).astype(bool)
-
-
-def _filter(df: DataFrame, column: str, bits: int):
-    """A filter of a long column, of `bits` bits whatever the rows, broadcast. More rows make it pass more, never less."""
-    spots = df.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(F.lit(bits - 1)))).alias("p"))
-    pages = spots.groupBy(F.shiftright("p", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in pages.collect():  # at most bits / 32768 pages of 4096 bytes
-        out[row["page"] * 4096 : row["page"] * 4096 + len(row["bits"])] |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out)
-
-
 class SubstringIndex:
     """Sorted immutable runs of what earlier batches held.
 
@@ -197,16 +179,16 @@ class SubstringIndex:
             once, many = F.coalesce(F.col(f"doc{i}"), once), many | F.coalesce(F.col(f"many{i}"), F.lit(False))
         state = met.select("fp", "doc", (F.col("n") > 1).alias("twice"), once.alias("seen"), many.alias("was"))
         run = self._run(state.withColumn("many", F.col("twice") | F.col("seen").isNotNull()).select("fp", "many", F.coalesce("seen", "doc").alias("doc"), F.when(~F.col("was"), F.col("seen")).alias("again")), ["fp"], "prints")
-        repeated = _filter(run.filter("many"), "fp", key)
+        repeated = member_filter(run.filter("many"), "fp", key)
 
         def emit(batches: Iterator[pa.RecordBatch], prints, docs=None) -> Iterator[pa.RecordBatch]:
             def wanted() -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    yield b if docs is None else b.filter(pa.array(_in(docs.value, b.column("h").to_numpy().view(np.uint64))))
+                    yield b if docs is None else b.filter(pa.array(in_filter(docs.value, b.column("h").to_numpy().view(np.uint64))))
 
             for part, texts in _groups(wanted(), "text"):
                 w = _windows(texts, s)
-                of = np.flatnonzero(_in(prints.value, w.fingerprint))
+                of = np.flatnonzero(in_filter(prints.value, w.fingerprint))
                 h1, h2 = w.hashes(of, s.window) if len(of) else (np.zeros(0, dtype=np.uint64),) * 2
                 place = (part.column("doc").to_numpy()[w.doc[of]] << PLACE_BITS) | w.start[of]
                 for a in range(0, len(of), 50_000):
@@ -216,8 +198,8 @@ class SubstringIndex:
         found = batch.select("doc", "text").mapInArrow(lambda b: emit(b, repeated), fields)
         if self.past is not None:  # fingerprints that were met once before: their document is read again
             again = run.filter(F.col("again").isNotNull())
-            prints_again = _filter(again, "fp", key)
-            docs_again = _filter(again.select(F.xxhash64("again").alias("h")), "h", key // 4)
+            prints_again = member_filter(again, "fp", key)
+            docs_again = member_filter(again.select(F.xxhash64("again").alias("h")), "h", key // 4)
             history = self.past.select("doc", "text", F.xxhash64("doc").alias("h"))
             found = found.unionByName(history.mapInArrow(lambda b: emit(b, prints_again, docs_again), fields))
         first = found.groupBy("h1", "h2").agg(F.min("place").alias("place"))
@@ -233,7 +215,7 @@ class SubstringIndex:
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in _groups(batches, "text"):
                 w = _windows(texts, s)
-                drop = _in(repeated.value, w.fingerprint)
+                drop = in_filter(repeated.value, w.fingerprint)
                 edges = np.searchsorted(w.doc, np.arange(len(texts) + 1))
                 n, removed, out = [], [], []
                 for i, (firsts, text) in enumerate(zip(part.column("firsts"), part.column("text").to_pylist())):

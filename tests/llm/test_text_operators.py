@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -81,22 +82,60 @@ def test_groups_in_sql(texts):
     assert found == brute_groups(texts, 4, 85)
 
 
-def test_large_clusters_are_compared_in_blocks(docs, texts, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+def test_long_lists_are_compared_in_blocks(docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard, "PART_SETS", 5)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs).collect()}
     assert found == brute_groups(texts, 4, 85)
 
 
-def test_linked_sets_share_a_fragment():
-    rng, rule = np.random.default_rng(5), jaccard.Rule()
-    for n in [*range(1, 80), 150, 400, 2000]:
-        for top in [1 << 61] * 10 + [(1 << 64) - 1] * 20:  # of the fragments, most are empty, or few
-            a = np.unique(rng.integers(0, top, n, dtype=np.uint64))
-            lost = rng.integers(0, max(1, n * 15 // 100) + 1)
-            b = np.unique(np.r_[rng.permutation(a)[lost:], rng.integers(0, top, rng.integers(0, max(1, n * 15 // 100) + 1), dtype=np.uint64)])
-            both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert np.intersect1d(jaccard.signatures(a, rule), jaccard.signatures(b, rule)).size
+def test_groups_at_the_threshold(spark):
+    """Copies of copies with ever more changes: many pairs just above and just below the threshold."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(4):
+        base = [f"v{rnd.randrange(300)}" for _ in range(rnd.choice((12, 60, 150)))]
+        for _ in range(25):
+            words = list(rnd.choice((base, texts[-1].split())) if texts else base)
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(len(words))] = f"n{rnd.randrange(9)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for rule in (jaccard.Rule(), jaccard.Rule(5, 80), jaccard.Rule(2, 60)):
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs, rule=rule).collect()}
+        assert found == brute_groups(texts, rule.n, rule.percent)
+
+
+def test_groups_of_text_ids(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), ("c", "six")]
+    found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 150, 400, 2000]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[rng.integers(0, n) :], rng.integers(0, 1 << 63, rng.integers(1, n + 1), dtype=np.uint64)])
+        x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+        words = min(len(x), len(y))
+        assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_large_group_of_near_copies_makes_linear_rows(spark, monkeypatch):
+    """20,000 near copies, all different: no table that is written has more than a bounded number of rows for each."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "), F.lit(" end"), F.col("id").cast("string")).alias("text"))
+    made, written = {}, jaccard.written
+
+    def counted(df, label):
+        out = written(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    found = jaccard.jaccard_groups(rows).agg(F.count("*"), F.max("component_id"), F.countDistinct("component_id")).first()
+    assert tuple(found) == (20_000, 0, 1)
+    assert max(made.values()) <= 20_000 * 30, made
 
 
 def test_substrings_match_sql(docs, texts):
