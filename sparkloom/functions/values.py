@@ -33,6 +33,13 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def round_stored(value: Column, digits: int) -> Column:
+    """Rounds a double as it is stored, halves away from zero; round() would take its shortest decimal text instead."""
+    scaled = F.abs(value) * 10.0**digits
+    whole = F.floor(scaled)
+    return F.signum(value) * (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)) / 10.0**digits
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to two digits, null when whole is 0."""
     return F.bround(F.try_divide(100.0 * part, whole.cast("double")), 2)

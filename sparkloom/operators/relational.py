@@ -76,4 +76,6 @@ for _name, _sql in TEXTS.items():
     _register(_name, _run(_sql), _sql)
 for _name, (_sql, _duck) in PAIRS.items():
     _register(_name, _run(_sql), _duck)
-_register("flagship", _run(FLAGSHIP), FLAGSHIP)
+#: A sum of decimals is the same in each run; the mean is then rounded as it is stored.
+_MEAN = "floor(CAST(sum(CAST(o.o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(o.o_totalprice), 0) * 1000 + 0.5) / 1000"
+_register("flagship", _run(FLAGSHIP.replace("round(avg(o.o_totalprice), 3)", _MEAN)), FLAGSHIP)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import is_blank, key_text, to_number
+from ..functions.values import is_blank, key_text, round_stored, to_number
 from ..registry import register
 from ..sources.tables import table
 
@@ -41,12 +41,6 @@ def group_by_sum(df: DataFrame, x: str | None, ys: list[str]) -> DataFrame:
     return rows.filter(any_number).groupBy(x).agg(*[F.sum(F.coalesce(y, F.lit(0.0))).alias(y) for y in ys])
 
 
-def _middle(values: Column, start: Column, length: Column) -> Column:
-    """The median of a stretch of a sorted array."""
-    low, high = start + F.floor((length - 1) / 2), start + F.floor(length / 2)
-    return (F.element_at(values, low.cast("int")) + F.element_at(values, high.cast("int"))) / 2
-
-
 def boxplot_summary(df: DataFrame, x: str | None, y: str | None) -> DataFrame:
     """min, Q1, median, Q3, max and count by x, by hinges that leave out the median of an odd number.
 
@@ -59,15 +53,19 @@ def boxplot_summary(df: DataFrame, x: str | None, y: str | None) -> DataFrame:
     if x in STATS:
         raise TransformError("xField_conflicts_with_stat_fields")
     rows = df.filter(~is_blank(F.col(x))).select(_key(df, x).alias(x), to_number(F.col(y)).alias("_y")).filter(F.col("_y").isNotNull())
-    grouped = rows.groupBy(x).agg(F.array_sort(F.collect_list("_y")).alias("v")).withColumn("n", F.size("v"))
-    short = grouped.filter(F.col("n") < 2).select(x).limit(1).collect()
+    short = rows.groupBy(x).count().filter("count < 2").select(x).limit(1).collect()  # no values are moved for this
     if short:
         raise TransformError(f"insufficient_samples_{short[0][0]}")
-    half = F.floor(F.col("n") / 2)
-    one = F.lit(1)
-    return grouped.select(
-        x, F.element_at("v", 1).alias("min"), _middle(F.col("v"), one, half).alias("Q1"), _middle(F.col("v"), one, F.col("n")).alias("median"),
-        _middle(F.col("v"), F.col("n") - half + 1, half).alias("Q3"), F.element_at("v", -1).alias("max"))
+    by = Window.partitionBy(x)
+    ranked = rows.withColumn("_k", F.row_number().over(by.orderBy("_y"))).withColumn("_n", F.count("*").over(by))
+    half = F.floor(F.col("_n") / 2)
+    stretches = {"Q1": (F.lit(1), half), "median": (F.lit(1), F.col("_n")), "Q3": (F.col("_n") - half + 1, half)}
+
+    def middle(start: Column, length: Column) -> Column:
+        at = lambda k: F.max(F.when(F.col("_k") == k, F.col("_y")))
+        return (at(start + F.floor((length - 1) / 2)) + at(start + F.floor(length / 2))) / 2
+
+    return ranked.groupBy(x).agg(F.min("_y").alias("min"), *[middle(*s).alias(c) for c, s in stretches.items()], F.max("_y").alias("max")).select(x, *STATS)
 
 
 def matrix_aggregate(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
@@ -95,7 +93,7 @@ def transform(df: DataFrame, kind: str, **fields) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 2) for c in columns})
+    return df.withColumns({c: round_stored(F.col(c), 2) for c in columns})
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
