@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,8 +38,8 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en entre es esta este la las le lo los más me mi muy no o para pero por que se si sin sobre su sus también un una y ya".split()
 )
 
-#: A comment, a declaration or a tag with quoted values; the quantifiers never give back, so time stays linear.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^>\"'<]*+)(>?)")
+_STOP, _GREATER, _LESS = re.compile("[>\"']"), re.compile(">"), re.compile("<")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HINT = re.compile(r"hidden|display", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -89,41 +90,93 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """The tags of a page in order. What a search has passed over is remembered, so broken pages take linear time too."""
+
+    def __init__(self, page: str):
+        self.page, self.passed = page, {}
+        self.unclosed: set[int] = set()  # quotes from which no tag ends
+        self.endless: set[str] = set()  # raw elements without a further end
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        """Where `what` comes next, or the page's length."""
+        begin, found = self.passed.get(what, (1, 0))
+        if not begin <= at <= found:
+            m = what.search(self.page, at)
+            begin, found = at, m.start() if m else len(self.page)
+            self.passed[what] = begin, found
+        return found
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose attributes begin at `at`: past quoted values, or the first > if a quote isn't closed."""
+        page, here, trail = self.page, at, []
+        while (stop := self._next(_STOP, here)) < len(page):
+            if page[stop] == ">":
+                return stop + 1
+            trail.append(stop)
+            close = -1 if stop in self.unclosed else page.find(page[stop], stop + 1)
+            if close < 0:
+                break
+            here = close + 1
+        self.unclosed.update(trail)
+        return self._next(_GREATER, at) + 1
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next tag from `at` on: start, end, name ("" of a comment or declaration), whether it closes, attributes."""
+        page = self.page
+        while (start := self._next(_LESS, at)) < len(page):
+            if m := _NAME.match(page, start):
+                if m[4]:
+                    return start, m.end(), m[2].lower(), m[1] == "/", m[3]
+                if (end := self._end(m.end(2))) <= len(page):
+                    return start, end, m[2].lower(), m[1] == "/", page[m.end(2) : end - 1]
+            elif page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(page), "", False, ""
+            elif page.startswith(("<!", "<?"), start) and (end := self._next(_GREATER, start) + 1) <= len(page):
+                return start, end, "", False, ""
+            at = start + 1
+        return None
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """The end of a raw element whose content begins at `at`; without one, that of the page for scripts and styles."""
+        if tag not in self.endless:
+            if close := re.compile(rf"</{tag}\s*>", re.I).search(self.page, at):
+                return close.end()
+            self.endless.add(tag)
+        return len(self.page) if tag in ("script", "style") else at
+
+
 def _holders(page: str) -> dict[int, str]:
     """Where elements begin that hold an article or main, with what they hold: main, if both."""
     found: dict[int, str] = {}
     stack: list[tuple[str, int]] = []
-    at = 0
-    while m := _TAG.search(page, at):
-        at = m.end()
-        tag, closing, attributes = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+    tags, opened, at = _Tags(page), Counter(), 0
+    while m := tags.after(at):
+        start, at, tag, closing, attributes = m
         if not tag or tag in VOID or not closing and attributes.endswith("/"):
             continue
         if not closing:
             if tag in RAW:
-                at = _after_raw(page, tag, at)
+                at = tags.after_raw(tag, at)
                 continue
             if tag in _IMPLIED and stack and stack[-1][0] == tag:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if tag in ("article", "main"):
                 for _, k in reversed(stack):
                     if found.get(k) in (tag, "main"):
                         break
                     found[k] = tag
             if tag not in INLINE:
-                stack.append((tag, m.start()))
-        elif any(x[0] == tag for x in stack):
-            while stack.pop()[0] != tag:
-                pass
+                stack.append((tag, start))
+                opened[tag] += 1
+        elif opened[tag]:
+            while (was := stack.pop()[0]) != tag:
+                opened[was] -= 1
+            opened[tag] -= 1
     return found
 
 
-def _after_raw(page: str, tag: str, at: int) -> int:
-    """The end of a raw element whose content begins at `at`."""
-    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-    return close.end() if close else len(page) if tag in ("script", "style") else at
-
-
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order, without what stands in elements that surround an article."""
     found: list[Block] = []
@@ -141,19 +194,17 @@ def blocks(page: str) -> list[Block]:
             found.append(Block(text, linked / len(text), stops / len(words) if words else 0.0, articles > 0))
         parts.clear()
 
-    at = 0
+    tags, opened, at = _Tags(page), Counter(), 0
     while at < len(page):
-        m = _TAG.search(page, at)
-        upto = m.start() if m else len(page)
+        m = tags.after(at)
+        upto = m[0] if m else len(page)
         if upto > at and not left_out:
             parts.append((page[at:upto], links > 0))
         if not m:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        start, at, tag, closing, attributes = m
+        if not tag:
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag == "br":
             if parts and parts[-1][0] == "\n" and not left_out:
                 end()  # two line breaks end a block
@@ -166,26 +217,28 @@ def blocks(page: str) -> list[Block]:
             continue
         if not closing:
             if tag in RAW:
-                at = _after_raw(page, tag, at)
+                at = tags.after_raw(tag, at)
                 continue
             if attributes.endswith("/"):
                 continue
             if tag in _IMPLIED and stack and stack[-1][0] == tag:
                 stack_left, stack_article = stack[-1][1:]
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
                 left_out -= stack_left
                 articles -= stack_article
             out, article = _surrounds(tag, attributes, articles > 0), tag in ("article", "main")
             if out and not left_out and tag not in UNSEEN:  # an article in an aside is not the page's
                 holders = _holders(page) if holders is None else holders
-                out = holders.get(m.start()) not in (("main",) if tag in ("nav", "aside", "footer", "menu") else ("main", "article"))
+                out = holders.get(start) not in (("main",) if tag in ("nav", "aside", "footer", "menu") else ("main", "article"))
             stack.append((tag, out, article))
+            opened[tag] += 1
             left_out += out
             articles += article
             links += tag == "a"
-        elif any(x[0] == tag for x in stack):
+        elif opened[tag]:
             while stack:
                 was, out, article = stack.pop()
+                opened[was] -= 1
                 left_out -= out
                 articles -= article
                 links -= was == "a"

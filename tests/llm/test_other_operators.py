@@ -102,6 +102,16 @@ def test_broken_pages_end():
 TEXT = "This is the text of the page, and it has the words that a text has in it."
 
 
+@pytest.mark.parametrize("part,last", [("<div>", "</p>"), ("<b>", "</i>"), ("<a ", ""), ('<a x=">"', '"'), ("<textarea>", ""), ('<a "', ">"), ("<p", '"'), ("<aside>", "<article>"), ("<!--", "")])
+def test_broken_pages_take_linear_time(part, last):
+    import time
+
+    began = time.process_time()
+    times = 2_000_000 // (len(part) + len(last))
+    extraction.main_text(part * times + last * times)
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-xs"', 'class="content-with-sidebar"', 'class="no-sidebar"', 'id="post-search-result"', 'data-x="hidden"'])
 def test_wrappers_are_kept(attributes):
     assert extraction.main_text(f"<body><div {attributes}><p>{TEXT}</p></div></body>") == TEXT
