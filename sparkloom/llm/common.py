@@ -80,3 +80,14 @@ def member_filter(df: DataFrame, column: str, bits: int = 1 << 24):
     for row in pages.collect():  # at most bits / 32768 pages of 4096 bytes
         out[row["page"] * 4096 : row["page"] * 4096 + len(row["bits"])] |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return df.sparkSession.sparkContext.broadcast(out)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, led by that width."""
+    top = int(values.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)

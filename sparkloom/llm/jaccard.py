@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import in_filter, member_filter, written
+from .common import in_filter, member_filter, pack, unpack, written
 from .components import connected
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -21,9 +21,11 @@ _CACHE = 500_000
 #: Sets, and n-grams of sets, that are sent as one part.
 PART_SETS, PART_GRAMS = 2_000, 1_000_000
 #: N-grams of a fragment of the order.
-FRAGMENT_GRAMS = 2_000_000
+FRAGMENT_GRAMS = 4_000_000
 #: Sets of a long list that are compared with each other in one cell.
-BLOCK_SETS = 2_000
+BLOCK_SETS = 1_000
+#: The order is cut into 2^PAIR_BITS fragments where overlaps of pairs are counted.
+PAIR_BITS = 3
 
 
 @dataclass(frozen=True)
@@ -107,9 +109,9 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[tupl
 
 def _by_fragment(flat: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each of 2^bits fragments of the order that holds something: its number, its n-grams set by set, and each set's number and count."""
-    fragment = (flat >> np.uint64(64 - bits)).astype(np.int64)
+    fragment = (flat >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)  # short ones are sorted by radix
     order = np.argsort(fragment, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(fragment[order]) != 0, True]) if len(flat) else []
+    edges = np.flatnonzero(np.r_[True, fragment[order][1:] != fragment[order][:-1], True]) if len(flat) else []
     for a, b in zip(edges[:-1], edges[1:]):
         own = owner[order[a:b]]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -117,39 +119,38 @@ def _by_fragment(flat: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tup
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one fragment: per part of sets, how many n-grams of each of its sets are in a different set too."""
-    read = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()]
-    keys, counts, flat = read("keys", "<u8"), read("counts", "<u4"), np.concatenate(read("grams", "<u4"))
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    """Of one fragment: per part of sets, how many n-grams of each of its sets are in a different set too.
+
+    Sets are told apart by 32 bits here. What came twice with the same n-grams is one set that several tasks sent.
+    """
+    owners = [np.frombuffer(x, dtype="<u4") for x in table.column("owners").to_pylist()]
+    owner, count = np.concatenate(owners), np.concatenate(list(map(unpack, table.column("counts").to_pylist())))
+    flat = np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("grams").to_pylist()])
     starts = np.cumsum(count) - count
-    # a set that several tasks sent counts once
-    _, once = np.unique(mix(key) + mix(flat[starts] + (count.astype(np.uint64) << np.uint64(32))), return_index=True)
-    kept = np.zeros(len(key), dtype=bool)
+    _, once = np.unique(mix((owner.astype(np.uint64) << np.uint64(32)) + flat[starts]) + count.astype(np.uint64), return_index=True)
+    kept = np.zeros(len(owner), dtype=bool)
     kept[once] = True
-    grams_, times = np.unique(flat[np.repeat(kept, count)], return_counts=True)
-    common = grams_[times > 1]
-    if len(common):
-        common = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
-        sums = np.add.reduceat(common.astype(np.uint32), starts)
-    else:
-        sums = np.zeros(len(key), dtype=np.uint32)
-    edges = np.cumsum([0, *map(len, keys)])
-    out = [sums[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"part": table.column("part"), "sets": table.column("sets"), "sums": pa.array(out, pa.binary()), "keys": pa.nulls(len(out), pa.binary())})
+    found, times = np.unique(flat[np.repeat(kept, count)], return_counts=True)
+    common = np.r_[found[times > 1], np.uint32(0)]  # one more, so that each search ends within
+    common = common[np.minimum(np.searchsorted(common[:-1], flat), len(common) - 1)] == flat if len(common) > 1 else np.zeros(len(flat), dtype=bool)
+    sums, edges = np.add.reduceat(common.astype(np.int64), starts), np.cumsum([0, *map(len, owners)])
+    some = [np.flatnonzero(sums[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    return pa.table({"part": table.column("part"), "owners": pa.array([o[k].tobytes() for o, k in zip(owners, some)], pa.binary()),
+                     "sums": pa.array([pack(sums[a:b][k]) for a, b, k in zip(edges[:-1], edges[1:], some)], pa.binary()), "keys": pa.nulls(len(owners), pa.binary())})
 
 
 def _alive(percent: int):
     """Rows of one part of sets to the keys of those that share enough of their n-grams to link with anything."""
 
     def run(table: pa.Table) -> pa.Table:
-        total, key, size = None, None, None
-        for sets, sums, keys in sorted(zip(*(table.column(c).to_pylist() for c in ("sets", "sums", "keys"))), key=lambda r: r[2] is None):
-            if keys is not None:
-                key, size = np.frombuffer(keys, dtype="<i8"), np.frombuffer(sums, dtype="<u4").astype(np.int64)
-                total = np.zeros(len(key), dtype=np.int64)
-            else:
-                total[np.frombuffer(sets, dtype="<u4")] += np.frombuffer(sums, dtype="<u4")
-        return pa.table({"k1": pa.array(key[100 * total >= percent * size])})
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("owners", "sums", "keys"))))
+        key, size = next((np.frombuffer(keys, dtype="<i8"), unpack(sums)) for _, sums, keys in rows if keys is not None)
+        names, where = np.unique(key.astype(np.uint32), return_inverse=True)
+        total = np.zeros(len(names), dtype=np.int64)
+        for owners, sums, keys in rows:
+            if keys is None and owners:
+                total[np.searchsorted(names, np.frombuffer(owners, dtype="<u4"))] += unpack(sums)
+        return pa.table({"k1": pa.array(key[100 * total[where] >= percent * size])})
 
     return run
 
@@ -255,20 +256,45 @@ def _near(percent: int):
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
-    """Of one fragment: each set's n-grams that are in another one too, with the number of sets that hold them."""
-    lists = table.column("grams").combine_chunks()
-    flat, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(count)), count)
-    _, where, times = np.unique(flat, return_inverse=True, return_counts=True)
-    times = times[where]
-    keep = times > 1
-    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=len(count)))].astype(np.int32))
-    return pa.table({"id": table.column("id"), "n": table.column("n"), "grams": pa.ListArray.from_arrays(offsets, pa.array(flat[keep])), "times": pa.ListArray.from_arrays(offsets, pa.array(times[keep].astype(np.int64)))})
+    """Of one fragment: per part of sets, their n-grams that several sets hold, with the number of those sets."""
+    flat = [np.frombuffer(x, dtype="<u8") for x in table.column("grams").to_pylist()]
+    _, where, times = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
+    out, at = {"owners": [], "grams": [], "times": []}, 0
+    for own, mine in zip(table.column("owners").to_pylist(), flat):
+        often = times[where[at : at + len(mine)]]
+        at += len(mine)
+        keep = often > 1
+        out["owners"].append(pack(unpack(own)[keep]))
+        out["grams"].append(mine[keep].tobytes())
+        out["times"].append(pack(often[keep]))
+    return pa.table({"part": table.column("part"), **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "ids": pa.nulls(len(flat), pa.binary()), "sizes": pa.nulls(len(flat), pa.binary())})
+
+
+def _rarest(percent: int):
+    """Rows of one part of sets to the rarest n-grams of each: gram, id, n, score."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("owners", "grams", "times", "ids", "sizes"))))
+        ids, size = next((np.frombuffer(i, dtype="<i8"), unpack(n)) for *_, i, n in rows if i is not None)
+        own, gram, times = (np.concatenate([np.zeros(0, dtype=d), *(f(r[k]) for r in rows if r[3] is None)]) for k, d, f in
+                            ((0, np.int64, unpack), (1, np.uint64, lambda x: np.frombuffer(x, dtype="<u8")), (2, np.int64, unpack)))
+        order = np.lexsort((gram, times, own))
+        own, gram = own[order], gram[order]
+        shared = np.bincount(own, minlength=len(ids))
+        place = np.arange(len(own)) - (np.cumsum(shared) - shared)[own]
+        # n - ceil(percent * n / 100) + 1 n-grams; those that no other set holds come first and are left out
+        keep = place < (shared + 1 + -percent * size // 100)[own]
+        own = own[keep]
+        return pa.table({"gram": pa.array(gram[keep].view(np.int64)), "id": pa.array(ids[own]), "n": pa.array(size[own]), "score": pa.array((shared / size)[own])})
+
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b) that link: partial overlaps are counted in each fragment and summed per pair."""
-    held = sets.filter("fragment >= 0")
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    held = written(sets.select("id", "n", "grams").join(ids, "id", "left_semi").mapInArrow(_fragments, "id long, n long, fragment int, grams array<long>"), "pair-sets")
     left = held.select(F.col("id").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = held.select(F.col("id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
@@ -276,18 +302,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return total.filter(100 * F.col("both") >= rule.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _lists(sets: DataFrame, rule: Rule) -> DataFrame:
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of some sets and the number of each one's set."""
+    return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sets (id, n, grams) to a row for each of the fragments where overlaps of pairs are counted."""
+    for batch in batches:
+        for f, held, own, count in _by_fragment(*_flat(batch.column("grams")), PAIR_BITS):
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(held.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(np.full(len(own), f, dtype=np.int32)), lists], names=["id", "n", "fragment", "grams"])
+
+
+def _cut(bits: int):
+    """Rows of sets' n-grams to rows (part, fragment) of 2^bits fragments; each part's row of fragment -1 names its sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shape = pa.schema([("part", pa.int64()), ("fragment", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "owners", "grams"))])
+        parts = (batch.slice(i, PART_SETS) for batch in batches for i in range(0, batch.num_rows, PART_SETS))
+        for number, part in enumerate(parts):
+            name, lists = (TaskContext.get().partitionId() << 32) + number, part.column("grams")
+            out = [{"part": name, "fragment": -1, "ids": part.column("id").to_numpy().tobytes(), "sizes": pack(part.column("n").to_numpy())}]
+            for f, held, own, count in _by_fragment(*_flat(lists), bits):
+                out.append({"part": name, "fragment": f, "owners": pack(np.repeat(own, count)), "grams": held.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return run
+
+
+def _lists(sets: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """gram, id, n, score: the rarest n-grams of each set, as many as two sets that link have one of in common.
 
     The order is by the number of sets that hold an n-gram, then by its hash. score is the part of a set that others hold.
     """
-    counted = sets.filter("fragment >= 0").groupBy("fragment").applyInArrow(_frequencies, "id long, n long, grams array<long>, times array<long>")
-    whole = counted.groupBy("id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("times")).alias("times"))
-    rare = F.array_sort(F.arrays_zip(F.col("times"), F.col("grams")))
-    # n - ceil(percent * n / 100) + 1 n-grams; those that no other set holds come first and are left out
-    many = F.size("grams") - F.ceil(rule.percent * F.col("n") / 100).cast("int") + 1
-    first = whole.filter(many > 0).select("id", "n", (F.size("grams") / F.col("n")).alias("score"), F.explode(F.slice(rare, F.lit(1), many)).alias("x"))
-    return first.select(F.col("x.grams").alias("gram"), "id", "n", "score")
+    cut = written(sets.select("id", "n", "grams").mapInArrow(_cut(bits), "part long, fragment int, ids binary, sizes binary, owners binary, grams binary"), "orders")
+    counted = cut.filter("fragment >= 0").select("part", "fragment", "owners", "grams").groupBy("fragment").applyInArrow(_frequencies, "part long, owners binary, grams binary, times binary, ids binary, sizes binary")
+    none = F.lit(None).cast("binary")
+    base = cut.filter("fragment < 0").select("part", none.alias("owners"), none.alias("grams"), none.alias("times"), "ids", "sizes")
+    return counted.unionByName(base).groupBy("part").applyInArrow(_rarest(rule.percent), "gram long, id long, n long, score double")
+
+
+def _below_leaders(links: DataFrame) -> DataFrame:
+    """node, component: sets of one component that the links (a leader, b) show within a few steps. Leaders share more than
+    those they lead, or as much and have a larger id, so following them ends."""
+    up = written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "leaders")
+    for _ in range(2):
+        far = up.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        up = written(up.join(far, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "leaders")
+    return up
 
 
 def _dealt(lists: DataFrame, components: DataFrame) -> DataFrame:
@@ -334,10 +399,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     # about one n-gram for every six bytes
-    bits = max(1, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total / 6 / FRAGMENT_GRAMS))))
+    bits = math.ceil(math.log2(max(16, total / 6 / FRAGMENT_GRAMS)))
     whole, binary = T.LongType(), T.BinaryType()
     kinds = T.StructType([T.StructField(*x) for x in [
-        ("doc_id", source.schema["doc_id"].dataType), *((c, whole) for c in ("n_shingles", "k1", "k2", "part")), ("fragment", T.IntegerType()), *((c, binary) for c in ("keys", "sets", "counts", "grams"))]])
+        ("doc_id", source.schema["doc_id"].dataType), *((c, whole) for c in ("n_shingles", "k1", "k2", "part")), ("fragment", T.IntegerType()), *((c, binary) for c in ("keys", "owners", "counts", "grams"))]])
     shape = to_arrow_schema(kinds)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +424,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 key, name = np.array([both[i][0] for i in new], dtype="<i8"), (task << 32) + number
                 size = np.array([len(sets[i]) for i in new])
                 flat, owner = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), size)
-                out = [{"part": name, "fragment": -1, "keys": key.tobytes(), "counts": size.astype("<u4").tobytes()}]
+                out = [{"part": name, "fragment": -1, "keys": key.tobytes(), "counts": pack(size)}]
                 for f, held, own, count in _by_fragment(flat, owner, bits):
                     short = ((held << np.uint64(bits)) >> np.uint64(32)).astype("<u4")  # the fragment is known by its upper bits
-                    out.append({"part": name, "fragment": f, "keys": key[own].tobytes(), "sets": own.astype("<u4").tobytes(), "counts": count.astype("<u4").tobytes(), "grams": short.tobytes()})
+                    out.append({"part": name, "fragment": f, "owners": key[own].astype("<u4").tobytes(), "counts": pack(count), "grams": short.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     both = written(source.mapInArrow(cut, kinds), "sets")
@@ -370,8 +435,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = written(known.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    partial = both.filter("fragment >= 0").select("part", "fragment", "keys", "sets", "counts", "grams").groupBy("fragment").applyInArrow(_shared, "part long, sets binary, sums binary, keys binary")
-    base = both.filter("fragment = -1").select("part", F.lit(None).cast("binary").alias("sets"), F.col("counts").alias("sums"), "keys")
+    partial = both.filter("fragment >= 0").select("part", "fragment", "owners", "counts", "grams").groupBy("fragment").applyInArrow(_shared, "part long, owners binary, sums binary, keys binary")
+    base = both.filter("fragment = -1").select("part", F.lit(None).cast("binary").alias("owners"), F.col("counts").alias("sums"), "keys")
     alive = partial.unionByName(base).groupBy("part").applyInArrow(_alive(rule.percent), "k1 long").distinct()
     classed = written(classes.join(alive, "k1", "left_semi").withColumn("h", F.xxhash64("rep")), "classes-alive")
     wanted = member_filter(classed, "h")
@@ -389,18 +454,13 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, "text", rule.n):
-            ids = part.column("id").to_numpy()
             size = np.array([len(x) for x in sets], dtype=np.int64)
-            none = pa.nulls(len(sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(np.full(len(sets), -1, dtype=np.int32)), none, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=names)
-            for f, held, own, count in _by_fragment(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), bits):
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(held.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(size[own]), pa.array(np.full(len(own), f, dtype=np.int32)), lists, pa.nulls(len(own), pa.binary())], names=names)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), lists, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "grams", "bits"])
 
-    names = ["id", "n", "fragment", "grams", "bits"]
-    sets = written(texts.mapInArrow(packed, "id long, n long, fragment int, grams array<long>, bits binary"), "sets-alive")
-    bitmaps = sets.filter("fragment < 0").select("id", "n", "bits")
-    lists = written(_lists(sets, rule), "lists")
+    sets = written(texts.mapInArrow(packed, "id long, n long, grams array<long>, bits binary"), "sets-alive")
+    bitmaps = sets.select("id", "n", "bits")
+    lists = written(_lists(sets, rule, bits), "lists")
 
     lead = written(lists.groupBy("gram").agg(F.max(F.struct("score", "id", "n")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", F.col("lead.id").alias("a"), F.col("lead.n").alias("na")), "leads")
     sizes = 100 * F.least("na", "n") >= rule.percent * F.greatest("na", "n")
@@ -408,7 +468,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with_bits = tried.join(bitmaps.toDF("a", "na", "xa"), "a").join(bitmaps.toDF("b", "nb", "xb"), "b")
     links = written(_linked(with_bits.mapInArrow(_near(rule.percent), "a long, b long"), sets, rule), "links")
 
-    cells = _dealt(lists, connected(links)).join(bitmaps.select("id", "bits"), "id")
+    cells = _dealt(lists, _below_leaders(links)).join(bitmaps.select("id", "bits"), "id")
     across = cells.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(_crossing(rule.percent), "a long, b long").distinct()
     more = written(_linked(across, sets, rule), "links")
     groups = connected(links.unionByName(more))

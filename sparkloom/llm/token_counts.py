@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import pack, unpack
 from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, load
 
 #: The pattern by which byte-level BPE tokenizers cut a text before their merges.
@@ -85,17 +86,6 @@ def _cut_whole(text: str, pattern, special) -> list[str]:
     return [x for k, part in enumerate(special.split(text)) for x in ([part] if k % 2 else pattern.findall(part))]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, led by that width."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     ids, texts, chars = [], [], 0
     for batch in batches:
@@ -144,8 +134,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                     starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
                     words = [names[i] for i in mine[starts].tolist()]
                     yield row(block, part, {
-                        "names": "".join(words).encode(), "lengths": _pack(np.fromiter(map(len, words), dtype=np.int64, count=len(words))),
-                        "runs": _pack(np.diff(np.r_[starts, len(own)])), "docs": _pack(at[own]), "times": _pack(times[own])})
+                        "names": "".join(words).encode(), "lengths": pack(np.fromiter(map(len, words), dtype=np.int64, count=len(words))),
+                        "runs": pack(np.diff(np.r_[starts, len(own)])), "docs": pack(at[own]), "times": pack(times[own])})
 
     def row(block: int, part: int, held: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"block": block, "part": part} | held], schema=shape)
@@ -158,7 +148,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 if part < 0:
                     yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "bytes": n_bytes}], schema=sent)
                     continue
-                ends = np.cumsum(_unpack(lengths)).tolist()
+                ends = np.cumsum(unpack(lengths)).tolist()
                 whole = names.decode()
                 words = [whole[a:b] for a, b in zip([0, *ends], ends)]
                 new = list(set(words).difference(known))
@@ -166,9 +156,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                     known, new = {}, list(set(words))
                 known.update((x, len(e)) for x, e in zip(new, tokens.encode_batch_fast(new, add_special_tokens=False)))
                 pieces = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-                sums = np.bincount(_unpack(at), weights=np.repeat(pieces, _unpack(runs)) * _unpack(times)).astype(np.int64)
+                sums = np.bincount(unpack(at), weights=np.repeat(pieces, unpack(runs)) * unpack(times)).astype(np.int64)
                 met = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_pylist([{"block": block, "docs": _pack(np.diff(met, prepend=0)), "sums": _pack(sums[met])}], schema=sent)
+                yield pa.RecordBatch.from_pylist([{"block": block, "docs": pack(np.diff(met, prepend=0)), "sums": pack(sums[met])}], schema=sent)
                 for x in new:
                     if len(x) > CACHE_CHARS:
                         del known[x]
@@ -179,7 +169,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         tokens = np.zeros(len(ids), dtype=np.int64)
         for at, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()):
             if at:
-                tokens[np.cumsum(_unpack(at))] += _unpack(sums)
+                tokens[np.cumsum(unpack(at))] += unpack(sums)
         return pa.table({"doc_id": ids, "n_bytes": n_bytes, "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
