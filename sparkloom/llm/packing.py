@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, written
-from .tokenizing import ChunkEncoder
+from .tokenizing import encoder
 
 CAPACITY, END = 4096, 1
 #: Pieces that are packed together in one task.
 GROUP_PIECES = 20_000
 #: Sequences with at least this gap are packed again, as items, in the second round.
 OPEN_GAP = 8
+#: Share of sequences above the least number possible from which a group's packing is repaired.
+EXCESS = 0.002
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +53,48 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each item, in the order given, and the bins' fill: an item goes into the smallest gap that holds it."""
+    count, stacks, sums = np.zeros(capacity + 1, dtype=np.int64), {}, []
+    where, at = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    for i, size in enumerate(lengths.tolist()):
+        gap = size + int((count[size:] > 0).argmax())
+        if count[gap]:
+            which = stacks[gap].pop()
+            count[gap] -= 1
+        else:
+            gap, which = capacity, len(sums)
+            sums.append(0)
+        where[i], at[i] = which, sums[which]
+        sums[which] += size
+        count[gap - size] += gap > size
+        stacks.setdefault(gap - size, []).append(which)
+    return where, at, np.array(sums, dtype=np.int64)
+
+
+def repaired(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, fill: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same packing, or one of fewer bins where it is EXCESS above what the items' sum and the items over half a bin need.
+
+    The items of bins with a gap of OPEN_GAP or more are taken out and put back, longest first, by best_fit. Where that is
+    not enough, those of bins with many items are too, whose short items fill gaps: with four or more, three, two.
+    """
+    least = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+    many = np.bincount(bins, minlength=len(fill))
+    for items_of in (capacity + 1, 4, 3, 2):
+        if len(fill) <= least + EXCESS * least:
+            break
+        loose = (fill <= capacity - OPEN_GAP) | (many >= items_of)
+        items = np.flatnonzero(loose[bins])
+        items = items[np.argsort(-lengths[items], kind="stable")]
+        where, at, sums = best_fit(lengths[items], capacity)
+        if len(sums) < loose.sum():
+            bins, offsets = (np.cumsum(~loose) - 1)[bins], offsets.copy()
+            bins[items], offsets[items] = (~loose).sum() + where, at
+            fill = np.r_[fill[~loose], sums]
+            many = np.bincount(bins, minlength=len(fill))
+    return bins, offsets, fill
+
+
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
            end: int = END, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, row, piece, start, length, ids_crc32, and the ids where wanted.
@@ -62,11 +106,11 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     schema = f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = ChunkEncoder(tokenizer), np.array([end], dtype="<u4").tobytes()
+        known, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 source, out = [], []
-                for i, ids in enumerate(encoder.encode(part.column(2).to_pylist())):
+                for i, ids in enumerate(known.encode(part.column(2).to_pylist())):
                     ids += tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
@@ -89,7 +133,8 @@ def _packed(items: DataFrame, capacity: int, per_group: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by([("length", "descending"), ("key", "ascending")])
-        bins, at, fill = sum_of_squares(order.column("length").to_numpy(), capacity)
+        lengths = order.column("length").to_numpy()
+        bins, at, fill = repaired(lengths, *sum_of_squares(lengths, capacity), capacity)
         names = (order.column("g")[0].as_py() << 32) + bins if len(bins) else bins
         return pa.table({"key": order.column("key"), "length": order.column("length"), "bin": pa.array(names, pa.int64()), "at": pa.array(at, pa.int64()), "fill": pa.array(fill[bins], pa.int64())})
 
@@ -102,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """Packs every document: pieces() and sequence_id, offset.
 
     Pieces of full length are sequences of their own. The others are dealt by hash into groups of about GROUP_PIECES,
-    each packed longest first by sum_of_squares; sequences left with a gap of OPEN_GAP or more are then packed once more
+    each packed longest first by sum_of_squares and then repaired; sequences left with a gap of OPEN_GAP or more are then packed once more
     as items, so that groups leave next to no sequence half empty. A group's size does not grow with the input.
 
     An empty table gives no rows; ties are broken by row and piece, so a rerun over the same files packs alike.

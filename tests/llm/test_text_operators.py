@@ -174,6 +174,58 @@ def test_license_base_columns_match_sql(docs, texts):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def brute_scan(text):
+    """labels, score and spans of a text, span by span."""
+    cut = lambda x: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    words, labels, best, spans = cut(text or ""), set(), 0.0, 0
+    for phrase, label, base in [*((p, x, True) for p, x in licenses.BASE.items()), *((p, x, False) for p, x in licenses.NOTICES)]:
+        own, k = cut(phrase), 2 if base else 3
+        by = collections.defaultdict(set)
+        for p in range(len(words) - k + 1):
+            for q in range(len(own) - k + 1):
+                if words[p : p + k] == own[q : q + k]:
+                    by[p - q].add(q)
+        whole, groups = len(own) - k + 1, []
+        for d in sorted(by):
+            if groups and not base and d - groups[-1][-1] <= 2 and len(by[d]) < whole and len(by[groups[-1][-1]]) < whole:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            places = set().union(*(by[d] for d in g))
+            share = len({q + j for q in places for j in range(k)}) / len(own)
+            best = max(best, share)
+            if len(places) == whole if base else share >= 0.8:
+                labels.add(label)
+                spans += 1
+    return ",".join(sorted(labels)), best, spans
+
+
+def test_license_labels_match_brute_force(spark):
+    rnd, texts = random.Random(8), [None, "", "cc", "gnu lesser"]
+    notices = [x for x, _ in licenses.NOTICES]
+    for _ in range(120):
+        words = []
+        for _ in range(rnd.randrange(1, 4)):
+            own = rnd.choice(notices).split()
+            for _ in range(rnd.randrange(4)):
+                k = rnd.randrange(len(own) + 1)
+                own[k : k + rnd.randrange(2)] = [rnd.choice(("", "very", "the", "License"))]
+            words += [rnd.choice(("a", "text", "of the"))] * rnd.randrange(3) + own
+        texts.append(" ".join(words))
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_spans"]) for r in found.collect()}
+    for i, t in enumerate(texts):
+        labels, score, spans = brute_scan(t)
+        assert (got[i][0], got[i][2]) == (labels, spans) and abs(got[i][1] - score) < 1e-12, t
+
+
+def test_license_templates_are_a_table(spark):
+    own = spark.createDataFrame([("for internal use by staff only", "internal", False)], "text string, label string, base boolean")
+    row = licenses.scan(spark.createDataFrame([(1, "This is for internal use, by staff only!")], "doc_id long, text string"), templates=own).first()
+    assert (row["labels"], row["score"], row["n_base"]) == ("internal", 1.0, 0)
+
+
 def test_license_notices_with_an_added_word(spark):
     text = "it is licensed under the very same apache license and licensed under the apache license"
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -221,6 +273,20 @@ def test_sum_of_squares_prefers_perfect_fits():
     assert sorted(fill.tolist()) == [3, 10, 10, 10] and offsets[2] == 6 and bins[3] == bins[1]
 
 
+@pytest.mark.parametrize("kind", ["uniform", "short", "halves"])
+def test_packing_comes_near_the_bound(kind):
+    rng = np.random.default_rng(6)
+    lengths = {"uniform": rng.integers(2, 4095, 20_000), "short": np.minimum(rng.exponential(400, 20_000).astype(np.int64) + 1, 4095), "halves": rng.integers(1900, 2300, 5_000)}[kind]
+    lengths = np.sort(lengths)[::-1]
+    bins, offsets, fill = packing.repaired(lengths, *packing.sum_of_squares(lengths))
+    least = max(-(-lengths.sum() // 4096), (lengths > 2048).sum() + -(-(lengths == 2048).sum() // 2))
+    assert len(fill) <= 1.01 * least + 1
+    assert (np.bincount(bins, weights=lengths, minlength=len(fill)) == fill).all() and fill.max() <= 4096
+    order = np.lexsort((offsets, bins))
+    ends = (offsets + lengths)[order]
+    assert all(offsets[j] == (ends[k - 1] if k and bins[j] == bins[order[k - 1]] else 0) for k, j in enumerate(order))
+
+
 def labelled(spark, n=400):
     rows, labels = [], []
     for i in range(n):
