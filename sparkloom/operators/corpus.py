@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import register
 from ..sources.tables import table
 
 #: States of a candidate and those that may follow.
-STATES = {"captured": ("judging", "rejected"), "judging": ("judged", "failed", "rejected"), "judged": ("ready", "review", "rejected"), "ready": ("published", "review"), "review": ("ready", "rejected"), "published": ("superseded",), "failed": ("judging",)}
+STATES = {
+    "staged": ("judging", "needs_review", "reject", "pass"), "judging": ("pass", "needs_review", "reject", "staged"), "pass": ("publish_pending", "superseded"),
+    "needs_review": ("publish_pending", "reject", "superseded", "pass"), "reject": ("superseded",), "publish_pending": ("publishing", "needs_review", "reject", "publish_failed", "superseded"),
+    "publishing": ("published", "publish_failed"), "published": ("superseded",), "publish_failed": ("publish_pending", "publishing", "needs_review", "reject", "superseded"), "superseded": (),
+}
+#: Names of fields that are never told, and what stands for them and in texts.
+SECRET_FIELDS = ("api_key", "apikey", "authorization", "cookie", "db_password", "database_password", "password", "connection_string", "database_url")
+SECRET_TEXTS = ((r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", "$1[REDACTED]"), (r"(?i)\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED]"), (r"(?i)postgres(?:ql)?://[^\s'\"}]+", "[REDACTED_CONNECTION_STRING]"))
 
 
 def normal_question(text: Column) -> Column:
@@ -32,12 +40,31 @@ def record_id(source: Column, kind: Column, document: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """A text without mail addresses, long numbers and key=value secrets."""
-    for pattern, by in ((r"[\w.+-]+@[\w-]+\.[\w.]+", "<mail>"), (r"(?i)(password|token|secret)\s*[=:]\s*\S+", "$1=<hidden>"), (r"\d{11,}", "<number>")):
+    """A text without bearer tokens, keys that begin with sk- and connection strings of PostgreSQL."""
+    for pattern, by in SECRET_TEXTS:
         text = F.regexp_replace(text, pattern, by)
     return text
 
 
+def _redacted(value: Column, kind: T.DataType, name: str = "") -> Column:
+    if name.lower() in SECRET_FIELDS:
+        return F.lit("[REDACTED]")
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_redacted(value[f.name], f.dataType, f.name).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*SECRET_FIELDS), "[REDACTED]").otherwise(redact(v)))
+    return value
+
+
+def redacted(df: DataFrame) -> DataFrame:
+    """df without secrets: fields of SECRET_FIELDS at any depth become a mark, all texts are redacted."""
+    return df.select(*[_redacted(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema])
+
+
 def write_plan(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """What becomes of each record (id, batch, body): create, resume (same batch), other_batch, or conflict."""
     b, s = batch.alias("b"), stored.alias("s")
@@ -52,14 +79,6 @@ def memory_plan(new: DataFrame, old: DataFrame) -> DataFrame:
     return n.join(o, F.col("n.id") == F.col("o.id"), "full").select(F.coalesce("n.id", "o.id").alias("id"), action.alias("action"))
 
 
-def batch_issues(samples: DataFrame) -> DataFrame:
-    """id and issue of samples (id, question, sql): repeated ids, repeated questions, empty texts, texts that don't select."""
-    twice = lambda key, name: samples.join(samples.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), key).select("id", F.lit(name).alias("issue"))
-    empty = samples.filter("question IS NULL OR trim(question) = ''").select("id", F.lit("empty question").alias("issue"))
-    other = samples.filter(~F.coalesce(F.lower(F.ltrim("sql")).rlike("^(select|with)"), F.lit(False))).select("id", F.lit("not a select").alias("issue"))
-    return twice("id", "repeated id").unionByName(twice("question", "repeated question")).unionByName(empty).unionByName(other).distinct()
-
-
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, min, max, sum, avg to six digits."""
     wide = df.agg(*[F.struct(F.lit(c).alias("column"), F.round(F.min(c), 6).alias("min"), F.round(F.max(c), 6).alias("max"), F.round(F.sum(c), 6).alias("sum"), F.round(F.avg(c), 6).alias("avg")).alias(f"_{i}") for i, c in enumerate(columns)])
@@ -75,12 +94,14 @@ def bad_moves(moves: DataFrame) -> DataFrame:
     return moves.join(F.broadcast(allowed_moves(moves.sparkSession)), ["before", "after"], "left_anti")
 
 
-def judged(rows: DataFrame, flags: list[str], least: float = 0.8) -> DataFrame:
-    """rows with verdict: pass only if all flags hold and the confidence is high enough."""
-    ok = F.lit(True)
-    for f in flags:
-        ok = ok & F.coalesce(F.col(f), F.lit(False))
-    return rows.withColumn("verdict", F.when(ok & (F.col("confidence") >= least), "pass").otherwise("review"))
+def judged(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """rows with status, what a judge's finding makes of a candidate: pass only if it says PASS with enough confidence, all is
+    aligned and valid, and nothing is ambiguous or at risk; reject if it says REJECT; else needs_review.
+
+    Needs: verdict, confidence, question_sql_aligned, answer_result_aligned, metadata_valid, business_ambiguity, risk_flags (array)."""
+    c = F.col
+    ok = (c("verdict") == "PASS") & (c("confidence") >= least) & c("question_sql_aligned") & c("answer_result_aligned") & c("metadata_valid") & ~c("business_ambiguity") & (F.size(F.coalesce("risk_flags", F.array().cast("array<string>"))) == 0)
+    return rows.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "pass").when(c("verdict") == "REJECT", "reject").otherwise("needs_review"))
 
 
 def ready_batches(candidates: DataFrame, now: Column, size: int, wait_days: int) -> DataFrame:
@@ -216,10 +237,16 @@ def _moves(s, d):
     return table(s, d, "events").select(k.alias("id"), F.element_at(names, (k % len(_ALL) + 1).cast("int")).alias("before"), F.element_at(names, (F.floor(k / 7) % len(_ALL) + 1).cast("int")).alias("after"))
 
 
-register("L7_bad_moves", lambda s, d: bad_moves(_moves(s, d)).groupBy("before").agg(F.count("*").alias("n")),
-         f"WITH s AS (SELECT {_ALL!r} AS n), m AS (SELECT n[event_id % {len(_ALL)} + 1] AS before, n[event_id // 7 % {len(_ALL)} + 1] AS after FROM events, s) SELECT before, count(*) AS n FROM m WHERE (before, after) NOT IN (" + ", ".join(f"('{a}', '{b}')" for a, v in STATES.items() for b in v) + ") GROUP BY 1")
-register("L8_judge_gate", lambda s, d: judged(table(s, d, "part").select("p_partkey", (F.col("p_size") > 10).alias("a"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 2 == 0).alias("b"), (F.col("p_size") / 50).alias("confidence")), ["a", "b"], 0.5).select("p_partkey", "verdict"),
-         "SELECT p_partkey, CASE WHEN p_size > 10 AND p_partkey % 3 > 0 AND p_partkey % 2 = 0 AND p_size / 50 >= 0.5 THEN 'pass' ELSE 'review' END AS verdict FROM part")
+register("L7_bad_moves", lambda s, d: bad_moves(_moves(s, d)).groupBy("before").agg(F.count("*").alias("n")), """
+WITH m AS (SELECT n[event_id % 10 + 1] AS before, n[event_id // 7 % 10 + 1] AS after FROM events, (SELECT ['judging', 'needs_review', 'pass', 'publish_failed', 'publish_pending', 'published', 'publishing', 'reject', 'staged', 'superseded'] AS n))
+SELECT before, count(*) AS n FROM m WHERE NOT CASE before WHEN 'staged' THEN after IN ('judging', 'needs_review', 'reject', 'pass') WHEN 'judging' THEN after IN ('pass', 'needs_review', 'reject', 'staged') WHEN 'pass' THEN after IN ('publish_pending', 'superseded')
+  WHEN 'needs_review' THEN after IN ('publish_pending', 'reject', 'superseded', 'pass') WHEN 'reject' THEN after = 'superseded' WHEN 'publish_pending' THEN after IN ('publishing', 'needs_review', 'reject', 'publish_failed', 'superseded')
+  WHEN 'publishing' THEN after IN ('published', 'publish_failed') WHEN 'published' THEN after = 'superseded' WHEN 'publish_failed' THEN after IN ('publish_pending', 'publishing', 'needs_review', 'reject', 'superseded') ELSE false END GROUP BY 1""")
+_verdicts = lambda s, d: table(s, d, "part").select(
+    "p_partkey", F.get(F.array(F.lit("PASS"), F.lit("REVIEW"), F.lit("PASS"), F.lit("REJECT")), (F.col("p_partkey") % 4).cast("int")).alias("verdict"), (F.col("p_size") / 50).alias("confidence"), (F.col("p_partkey") % 5 > 0).alias("question_sql_aligned"), F.when(F.col("p_partkey") % 7 > 0, True).alias("answer_result_aligned"),
+    F.lit(True).alias("metadata_valid"), (F.col("p_partkey") % 11 == 0).alias("business_ambiguity"), F.when(F.col("p_partkey") % 13 == 0, F.array(F.lit("joins"))).alias("risk_flags"))
+register("L8_judge_gate", lambda s, d: judged(_verdicts(s, d), 0.5).select("p_partkey", "status"), """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size / 50 >= 0.5 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_partkey % 13 > 0 THEN 'pass' WHEN p_partkey % 4 = 3 THEN 'reject' ELSE 'needs_review' END AS status FROM part""")
 register("L9_page", lambda s, d: table(s, d, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 register("L10_ready", lambda s, d: ready_batches(table(s, d, "events").select(F.col("user_id").alias("source"), F.col("ts").alias("at")), F.lit("2024-01-31").cast("timestamp_ntz"), 3, 14).select("source", "n", "ready"),
          "SELECT user_id AS source, count(*) AS n, count(*) >= 3 OR min(ts) <= TIMESTAMP '2024-01-17' AS ready FROM events WHERE event_id % 40 = 0 GROUP BY 1")
@@ -246,11 +273,6 @@ SELECT 'public' AS schema, t AS "table", coalesce(max(note) FILTER (named), max(
 _half = lambda s, d, m: table(s, d, "part").filter(F.col("p_partkey") % 7 != m).select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 11 != m, F.col("p_name")).alias("a"))
 register("L16_reconcile", lambda s, d: reconcile(_half(s, d, 1), _half(s, d, 2), ["a"]),
          "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 2 THEN 'draft only' WHEN 1 THEN 'review only' ELSE 'differs' END AS state FROM part WHERE p_partkey % 7 IN (1, 2) OR p_partkey % 11 IN (1, 2)")
-register("B3_batch_issues", lambda s, d: batch_issues(table(s, d, "part").select((F.col("p_partkey") % 1990).alias("id"), F.when(F.col("p_size") > 1, F.concat_ws(" ", "p_name", "p_brand", "p_size")).alias("question"), F.when(F.col("p_partkey") % 9 > 0, "select 1").otherwise("drop x").alias("sql"))).groupBy("issue").agg(F.count("*").alias("n")), """
-WITH s AS (SELECT p_partkey % 1990 AS id, CASE WHEN p_size > 1 THEN concat_ws(' ', p_name, p_brand, p_size) END AS q, p_partkey % 9 > 0 AS ok FROM part),
-i AS (SELECT DISTINCT id, 'repeated id' AS issue FROM s WHERE id IN (SELECT id FROM s GROUP BY id HAVING count(*) > 1) UNION SELECT id, 'repeated question' FROM s WHERE q IN (SELECT q FROM s GROUP BY q HAVING count(*) > 1)
-  UNION SELECT id, 'empty question' FROM s WHERE q IS NULL UNION SELECT id, 'not a select' FROM s WHERE NOT ok)
-SELECT issue, count(*) AS n FROM i GROUP BY issue""")
 _rec = lambda s, d, keep, body: table(s, d, "part").filter(keep).select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("batch"), F.col(body).alias("body"))
 register("B5_write_plan", lambda s, d: write_plan(_rec(s, d, F.lit(True), "p_name").withColumn("batch", F.lit(1).cast("long")), _rec(s, d, F.col("p_partkey") % 2 == 0, "p_name").withColumn("body", F.when(F.col("id") % 5 > 0, F.col("body")).otherwise("x"))),
          "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 <> 0 THEN 'create' WHEN p_partkey % 5 = 0 THEN 'conflict' WHEN p_partkey % 3 = 1 THEN 'resume' ELSE 'other_batch' END AS action FROM part")
@@ -269,8 +291,12 @@ WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FR
 SELECT vec_id, round(cosine, 6) AS cosine FROM c WHERE cosine >= 0.1 ORDER BY c.cosine DESC, vec_id LIMIT 10""")
 register("K2_examples", lambda s, d: table(s, d, "part").filter("p_type = 'SMALL'").orderBy(F.col("p_name") != "blue bolt", F.desc("p_retailprice"), "p_partkey").limit(5).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' ORDER BY p_name <> 'blue bolt', p_retailprice DESC, p_partkey LIMIT 5")
 register("K3_record_id", lambda s, d: table(s, d, "part").select("p_partkey", record_id(F.lit("src"), F.col("p_brand"), F.col("p_name")).alias("id")), "SELECT p_partkey, concat('b5-', sha256(concat('src|', p_brand, '|', p_name))) AS id FROM part")
-register("K4_redacted", lambda s, d: table(s, d, "part").select("p_partkey", redact(F.concat(F.lit("mail a.b@x.org password = "), F.col("p_name"), F.lit(" no 12345678901"))).alias("t")),
-         "SELECT p_partkey, concat('mail <mail> password=<hidden> ', split_part(p_name, ' ', 2), ' no <number>') AS t FROM part")
+_secrets = lambda s, d: table(s, d, "part").select(
+    "p_partkey", F.concat(F.lit("Authorization: Bearer abc."), "p_name").alias("header"), F.concat(F.lit("use sk-live_12345678"), F.lit(" or postgresql://u:p@h/db'; "), "p_name").alias("text"), F.col("p_name").alias("Password"),
+    F.array(F.struct(F.col("p_brand").alias("api_key"), F.concat("p_type", F.lit(" sk-short")).alias("note"))).alias("calls"), F.create_map(F.lit("Cookie"), "p_name", F.lit("k"), "p_type").alias("meta"))
+register("K4_redacted", lambda s, d: redacted(_secrets(s, d)).select("p_partkey", "header", "text", "Password", F.to_json("calls").alias("calls"), F.to_json("meta").alias("meta")), """
+SELECT p_partkey, 'Authorization: Bearer [REDACTED] ' || split_part(p_name, ' ', 2) AS header, 'use [REDACTED] or [REDACTED_CONNECTION_STRING]''; ' || p_name AS text, '[REDACTED]' AS "Password",
+  '[{"api_key":"[REDACTED]","note":"' || p_type || ' sk-short"}]' AS calls, '{"Cookie":"[REDACTED]","k":"' || p_type || '"}' AS meta FROM part""")
 register("M8_families", lambda s, d: families(table(s, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.when(F.col("p_partkey") % 2 == 0, "day").otherwise(F.concat(F.lit("x_v"), F.col("p_size").cast("string")))).alias("table")).distinct()), """
 WITH t AS (SELECT DISTINCT concat(replace(p_name, ' ', '_'), '_', CASE WHEN p_partkey % 2 = 0 THEN 'day' ELSE concat('x_v', p_size) END) AS t, replace(p_name, ' ', '_') AS f FROM part WHERE p_partkey < 300)
 SELECT t AS "table", CASE WHEN count(*) OVER (PARTITION BY f) > 1 THEN f ELSE '' END AS family FROM t""")
