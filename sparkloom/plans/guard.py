@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.sqltext import plain
+
 #: Verbs that no text may hold as a word.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "COMMENT", "MERGE")
 #: Beginnings of the names of system tables.
 SYSTEM = ("pg_", "information_schema", "mysql.", "performance_schema")
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
 
 
 @dataclass
@@ -42,11 +43,6 @@ class Blocked(Exception):
         self.findings = findings
 
 
-def plain(sql: str) -> str:
-    """A text without comments, its white space collapsed."""
-    return " ".join(_COMMENT.sub(" ", sql).split())
-
-
 def _each(sequence) -> list:
     return [sequence.apply(i) for i in range(sequence.size())]
 
@@ -92,6 +88,33 @@ def _stars(plan) -> bool:
     return any(star(e) for n in _nodes(plan) if _kind(n) in ("Project", "Aggregate") for e in _each(n.expressions()))
 
 
+def _expressions(plan):
+    """All expressions of a plan and of those within it."""
+    for node in _nodes(plan):
+        stack = list(_each(node.expressions()))
+        while stack:
+            e = stack.pop()
+            yield e
+            stack += _each(e.children())
+
+
+def _closed_ranges(plan, columns: set[str]) -> set[str]:
+    """Those of the columns that a comparison bounds from above with the bound itself: c <= x, x >= c, c BETWEEN."""
+    def named(e) -> set[str]:
+        own = {_each(e.nameParts())[-1].lower()} if _kind(e) == "UnresolvedAttribute" else set()
+        return own.union(*(named(x) for x in _each(e.children())))
+
+    found, wanted = set(), {c.lower() for c in columns}
+    for e in _expressions(plan):
+        kind = _kind(e)
+        between = kind == "Between" or kind == "UnresolvedFunction" and _each(e.nameParts())[-1].lower() == "between"
+        if kind == "LessThanOrEqual" or between:
+            found |= named(_each(e.children())[0]) & wanted
+        elif kind == "GreaterThanOrEqual":
+            found |= named(_each(e.children())[1]) & wanted
+    return found
+
+
 def lineage(df: DataFrame) -> dict[str, set[tuple[str, str]]]:
     """Each column of a result and the (table, column) pairs that it is made from, read from the analysed plan."""
     known: dict[int, set[tuple[str, str]]] = {}
@@ -131,12 +154,28 @@ def lineage(df: DataFrame) -> dict[str, set[tuple[str, str]]]:
     return {a.name(): known.get(a.exprId().id(), set()) for a in _each(plan.output())}
 
 
-def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candidates: set[str] | None = None, half_open: set[str] = frozenset(), wildcards: bool = False) -> Findings:
-    """Findings on a text.
+@dataclass(frozen=True)
+class Ban:
+    """A business rule: a question in which `question` is found may not read a table of `tables`, or not those alone."""
+
+    question: str
+    tables: frozenset[str]
+    message: str
+    alone: bool = False
+
+    def broken(self, question: str, used: set[str]) -> bool:
+        own = {t.lower() for t in self.tables}
+        return bool(re.search(self.question, re.sub(r"\s+", "", question))) and (bool(used) and used <= own if self.alone else bool(used & own))
+
+
+def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candidates: set[str] | None = None, half_open: set[str] = frozenset(), wildcards: bool = False, question: str = "", bans: tuple[Ban, ...] = ()) -> Findings:
+    """Findings on a text. The text that was checked runs unchanged; findings hold its normal form.
 
     tables: names that may be read (default: the session's views). candidates: tables that the question was about; others
     give a warning. half_open: time columns whose ranges must end with <, so no <= and no BETWEEN. wildcards: whether * may
-    stand for columns; count(*) always may. Multiplication is no wildcard here, as it is read from the parsed plan.
+    stand for columns; count(*) always may. Multiplication is no wildcard here, as it is read from the parsed plan. tables
+    may be given with their schemas: a name without one that two schemas have is ambiguous. bans: business rules that hold
+    for the question.
     """
     text = plain(sql)
     found = Findings(text)
@@ -155,16 +194,23 @@ def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candida
     names = [n for n in _relations(plan) if n.lower() not in own]
     known = {t.lower() for t in (tables if tables is not None else {t.name for t in spark.catalog.listTables()})}
     found.tables = sorted(names)
+    by_name: dict[str, set[str]] = {}
+    for t in known:
+        by_name.setdefault(t.split(".")[-1], set()).add(t)
     for n in names:
-        if n.lower().startswith(SYSTEM):
+        low = n.lower()
+        full = {t for t in by_name.get(low.split(".")[-1], set()) if t == low or t.endswith("." + low) or "." not in t and low.endswith("." + t)}
+        if low.startswith(SYSTEM):
             found.errors.append(f"system table: {n}")
-        elif n.lower() not in known and n.lower().split(".")[-1] not in known:
+        elif not full:
             found.errors.append(f"unknown table: {n}")
+        elif len(full) > 1 and low not in known:
+            found.errors.append(f"ambiguous table: {n}")
     if not wildcards and _stars(plan):
         found.errors.append("* is not allowed")
-    for c in sorted(half_open):
-        if re.search(rf"(?i)\b{re.escape(c)}\b\s*(<=|between\b)", text):
-            found.errors.append(f"time range of {c} must be half-open")
+    found.errors += [f"time range of {c} must be half-open" for c in sorted(_closed_ranges(plan, set(half_open)))]
+    used = {n.lower().split(".")[-1] for n in names}
+    found.errors += [b.message for b in bans if b.broken(question, used)]
     if found.errors:
         return found
     try:
@@ -185,7 +231,7 @@ def guarded_sql(spark: SparkSession, sql: str, **rules) -> DataFrame:
     found = check(spark, sql, **rules)
     if not found.passed:
         raise Blocked(found)
-    return spark.sql(found.sql)
+    return spark.sql(sql)
 
 
 def admissible(spark: SparkSession, sql: str, **rules) -> bool:

@@ -47,3 +47,29 @@ def test_lineage(spark):
 def test_admissible(spark):
     assert guard.admissible(spark, "SELECT id FROM t LIMIT 5") and guard.admissible(spark, "SELECT count(*) AS n FROM t")
     assert not guard.admissible(spark, "SELECT id FROM t") and not guard.admissible(spark, "SELECT * FROM t LIMIT 5")
+
+
+def test_literals_run_as_they_are(spark):
+    assert guard.guarded_sql(spark, "SELECT 'x  y' AS a, 'p--q' AS b, '/* c */' AS c -- d\nFROM t").first().asDict() == {"a": "x  y", "b": "p--q", "c": "/* c */"}
+    assert guard.check(spark, "SELECT  'a  ;' AS x -- why\n FROM t ;").sql == "SELECT 'a  ;' AS x FROM t"
+
+
+def test_time_ranges_are_read_from_the_plan(spark):
+    closed = lambda where: not guard.check(spark, f"SELECT o_orderkey FROM orders WHERE {where}", half_open={"o_orderdate"}).passed
+    assert closed("TIMESTAMP '1995-01-01' >= o_orderdate") and closed("o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1996-01-01'") and closed("date(o_orderdate) <= DATE '1995-01-01'")
+    assert not closed("o_orderdate >= DATE '1995-01-01'") and not closed("o_orderstatus = 'o_orderdate <= x'") and not closed("DATE '1995-01-01' <= o_orderdate")
+
+
+def test_names_of_several_schemas(spark):
+    tables = {"public.t", "other.t", "public.u"}
+    assert guard.check(spark, "SELECT id FROM t", tables=tables).errors == ["ambiguous table: t"]
+    assert guard.check(spark, "SELECT id FROM u", tables=tables).passed
+    assert "unknown table: third.u" in guard.check(spark, "SELECT id FROM third.u", tables=tables).errors
+
+
+def test_business_rules(spark):
+    bans = (guard.Ban("trend|change", frozenset({"u"}), "no thresholds for trends"), guard.Ban("trace", frozenset({"t"}), "traces need more than t", alone=True))
+    assert guard.check(spark, "SELECT id FROM u", question="the tr end", bans=bans).errors == ["no thresholds for trends"]
+    assert guard.check(spark, "SELECT id FROM t", question="trace it", bans=bans).errors == ["traces need more than t"]
+    assert guard.check(spark, "SELECT t.id FROM t JOIN u ON t.id = u.id", question="trace it", bans=bans).passed
+    assert guard.check(spark, "SELECT id FROM u", question="which ones", bans=bans).passed
