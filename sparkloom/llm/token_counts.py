@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import pack, unpack
-from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, load
+from .tokenizing import load
 
 #: The pattern by which byte-level BPE tokenizers cut a text before their merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -24,7 +24,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK_DOCS, BLOCK_CHARS = 20_000, 12_000_000
 #: Parts that a block's pre-tokens are dealt into by hash.
 PARTS = 128
-#: 2^GROUP_BITS tasks' blocks meet; each of their pre-tokens is counted once.
+#: 2^GROUP_BITS tasks' blocks meet; a pre-token is joined once for each such group.
 GROUP_BITS = 6
 
 
@@ -86,6 +86,11 @@ def _cut_whole(text: str, pattern, special) -> list[str]:
     return [x for k, part in enumerate(special.split(text)) for x in ([part] if k % 2 else pattern.findall(part))]
 
 
+def _words(names: bytes, lengths: bytes) -> list[str]:
+    ends, whole = np.cumsum(unpack(lengths)).tolist(), names.decode()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     ids, texts, chars = [], [], 0
     for batch in batches:
@@ -105,10 +110,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     Texts are cut into pre-tokens in blocks of rows of bounded size. A block deals its distinct pre-tokens, with their
-    frequencies by document, into PARTS parts by hash; a row is one part of one block. Rows are shuffled by part, so all
-    frequencies of a pre-token and its one count of pieces meet: the tokenizer runs once per distinct pre-token of a
-    group of blocks, on that pre-token alone. Each task sends back one partial sum per document and part of a block, and
-    these are added up by block. No ids of texts are made.
+    frequencies by document, into PARTS parts by hash; a row is one part of one block. The blocks of 2^GROUP_BITS tasks
+    meet by part, and each names its distinct pre-tokens. The distinct pre-tokens of all of these are one table: the
+    tokenizer runs once for each, on that pre-token alone, and its count of pieces is joined back to the groups that have
+    it, where frequencies times pieces are summed. Partial sums are added up by block. No ids of texts are made.
 
     Null and empty text count 0 tokens and 0 bytes. Rows that repeat a doc_id are counted each. A special token's string
     inside a text counts as the tokenizer has it by default: one. An empty table gives no rows.
@@ -140,28 +145,36 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def row(block: int, part: int, held: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"block": block, "part": part} | held], schema=shape)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, known = load(tokenizer), {}
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key and pre-token, once for each key; all rows of a key are in one partition."""
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            for key, names, lengths in zip(*(batch.column(c).to_pylist() for c in ("key", "names", "lengths"))):
+                if names is not None:
+                    own = seen.setdefault(key, set())
+                    new = [x for x in _words(names, lengths) if x not in own]
+                    own.update(new)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(new), pa.int64()), pa.array(new, pa.string())], names=["key", "token"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = load(tokenizer)
         for batch in batches:
-            for r in range(batch.num_rows):
-                block, part, ids, n_bytes, names, lengths, runs, at, times = (batch.column(c)[r].as_py() for c in range(9))
-                if part < 0:
-                    yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "bytes": n_bytes}], schema=sent)
-                    continue
-                ends = np.cumsum(unpack(lengths)).tolist()
-                whole = names.decode()
-                words = [whole[a:b] for a, b in zip([0, *ends], ends)]
-                new = list(set(words).difference(known))
-                if len(known) + len(new) > CACHE_CHUNKS:
-                    known, new = {}, list(set(words))
-                known.update((x, len(e)) for x, e in zip(new, tokens.encode_batch_fast(new, add_special_tokens=False)))
-                pieces = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-                sums = np.bincount(unpack(at), weights=np.repeat(pieces, unpack(runs)) * unpack(times)).astype(np.int64)
-                met = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_pylist([{"block": block, "docs": pack(np.diff(met, prepend=0)), "sums": pack(sums[met])}], schema=sent)
-                for x in new:
-                    if len(x) > CACHE_CHARS:
-                        del known[x]
+            for part in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
+                found = tokens.encode_batch_fast(part.column("token").to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([part.column("token"), pa.array(map(len, found), pa.int32())], names=["token", "pieces"])
+
+    def add(parts: pa.Table, counts: pa.Table) -> pa.Table:
+        known, out = dict(zip(counts.column("token").to_pylist(), counts.column("pieces").to_pylist())), []
+        for block, part, ids, n_bytes, names, lengths, runs, at, times in zip(*(parts.column(c).to_pylist() for c in ("block", "part", "ids", "bytes", "names", "lengths", "runs", "docs", "times"))):
+            if part < 0:
+                out.append({"block": block, "ids": ids, "bytes": n_bytes})
+                continue
+            words = _words(names, lengths)
+            pieces = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            sums = np.bincount(unpack(at), weights=np.repeat(pieces, unpack(runs)) * unpack(times)).astype(np.int64)
+            met = np.flatnonzero(sums)
+            out.append({"block": block, "docs": pack(np.diff(met, prepend=0)), "sums": pack(sums[met])})
+        return pa.Table.from_pylist(out, schema=sent)
 
     def total(table: pa.Table) -> pa.Table:
         of = table.filter(pa.compute.is_valid(table.column("ids")))
@@ -178,8 +191,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     dealt = T.StructType([T.StructField(*x) for x in [of_docs[0], ("part", T.IntegerType()), *of_docs[1:], *((c, binary) for c in ("names", "lengths", "runs", "docs", "times"))]])
     summed = T.StructType([T.StructField(*x) for x in [*of_docs, ("docs", binary), ("sums", binary)]])
     shape, sent = to_arrow_schema(dealt), to_arrow_schema(summed)
-    # a block's own row, of part -1, goes anywhere; block >> 32 is the task that cut it
-    where = F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part").cast("long"))
-    freq = source.mapInArrow(cut, dealt)
-    sums = freq.repartition(F.xxhash64(where, F.shiftright("block", 32 + GROUP_BITS))).mapInArrow(add, summed)
+    # a block's own row, of part -1, goes anywhere; block >> 32 is the task that cut it. One shuffle serves both uses below
+    group = F.shiftright("block", 32 + GROUP_BITS)
+    key = F.when(F.col("part") < 0, -1 - F.col("block")).otherwise(group * PARTS + F.col("part"))
+    freq = source.mapInArrow(cut, dealt).withColumn("key", key).repartition("key")
+    names = freq.mapInArrow(named, "key long, token string")
+    pieces = names.select("token").distinct().mapInArrow(counted, "token string, pieces int")
+    counts = names.join(pieces, "token")
+    sums = freq.groupBy("key").cogroup(counts.groupBy("key")).applyInArrow(add, summed)
     return sums.groupBy("block").applyInArrow(total, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
