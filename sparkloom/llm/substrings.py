@@ -131,19 +131,41 @@ class SubstringIndex:
         self.windows: list[DataFrame] = []
         self.past: DataFrame | None = None
         self._names: list[str] = []
+        self._runs: dict[str, list[tuple[str, int]]] = {"prints": [], "windows": []}  # folders and buckets, as in the lists above
 
     def close(self) -> None:
-        """Drops the runs' tables from the catalog, once all results have been written; their files stay in the shared folder."""
+        """Drops the runs' tables from the catalog; their files stay, and so do results that were planned before."""
         for name in self._names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._names = []
 
+    def save(self, path: str) -> None:
+        """Writes the manifest, from which open() finds the runs: kind, folder and buckets of each, as JSON rows."""
+        rows = [(kind, k, *run) for kind, runs in self._runs.items() for k, run in enumerate(runs)]
+        self.spark.createDataFrame(rows, "kind string, place int, path string, buckets int").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, past: DataFrame, settings: Settings = Settings()) -> SubstringIndex:
+        """The index of a saved manifest, in any later session. past: doc and text of all documents added so far."""
+        index = cls(spark, settings)
+        index.past = past.select("doc", "text")
+        columns = {"prints": ("fp BIGINT, many BOOLEAN, doc BIGINT, again BIGINT", "fp"), "windows": ("h1 BIGINT, h2 BIGINT, place BIGINT", "h1, h2")}
+        for row in spark.read.schema("kind string, place int, path string, buckets int").json(path).orderBy("kind", "place").collect():  # at most max_runs of each kind
+            name, (fields, keys) = f"sparkloom_{row['kind']}_{uuid.uuid4().hex}", columns[row["kind"]]
+            spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {row['buckets']} BUCKETS LOCATION '{row['path']}'")
+            index._names.append(name)
+            index._runs[row["kind"]].append((row["path"], row["buckets"]))
+            table = spark.table(name)
+            (index.prints if row["kind"] == "prints" else index.windows).append(table.drop("again"))
+        return index
+
     def _run(self, df: DataFrame, keys: list[str], label: str) -> DataFrame:
         name = f"sparkloom_{label}_{uuid.uuid4().hex}"
         self._names.append(name)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = df.repartition(buckets, *keys)
-        dealt.write.option("path", f"{shared_folder(self.spark)}/sparkloom/{name}").option("compression", "zstd").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+        dealt, path = df.repartition(buckets, *keys), f"{shared_folder(self.spark)}/sparkloom/{name}"
+        dealt.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+        self._runs[label].append((path, buckets))
         return self.spark.table(name)
 
     def _compact(self) -> None:
@@ -151,11 +173,13 @@ class SubstringIndex:
             whole = self.prints[0]
             for run in self.prints[1:]:
                 whole = whole.unionByName(run)
+            self._runs["prints"] = []
             self.prints = [self._run(whole.groupBy("fp").agg(F.max("many").alias("many"), F.min("doc").alias("doc")), ["fp"], "prints")]
         if len(self.windows) >= self.settings.max_runs:
             whole = self.windows[0]
             for run in self.windows[1:]:
                 whole = whole.unionByName(run)
+            self._runs["windows"] = []
             self.windows = [self._run(whole, ["h1", "h2"], "windows")]
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -277,6 +301,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             here = here.filter(F.col("doc") <= above)
         done = index.add(here)
         out, below = done if out is None else out.unionByName(done), above
+    index.close()
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_removed", "kept")
 
 

@@ -166,6 +166,27 @@ def test_index_takes_batches_one_by_one(spark, docs, texts):
     assert not [t for t in spark.catalog.listTables() if t.name in index._names]
 
 
+def test_a_saved_index_takes_further_batches(spark, docs, texts, tmp_path):
+    numbered = docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    index, found = substrings.SubstringIndex(spark), []
+    for low, high in ((0, 10), (10, 20)):
+        found += as_rows(substrings.digest(index.add(numbered.filter(f"doc >= {low} AND doc < {high}"))))
+    index.save(str(tmp_path / "manifest"))
+    index.close()
+    again = substrings.SubstringIndex.open(spark, str(tmp_path / "manifest"), numbered.filter("doc < 20"))
+    assert (len(again.prints), len(again.windows)) == (2, 2)
+    for low, high in ((20, 30), (30, 1000)):
+        found += as_rows(substrings.digest(again.add(numbered.filter(f"doc >= {low} AND doc < {high}"))))
+    again.close()
+    assert sorted(found) == in_duckdb(substrings.WINDOW_SQL, texts)
+
+
+def test_dedup_leaves_no_tables(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    substrings.dedup_substrings(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_license_base_columns_match_sql(docs, texts):
     found = licenses.scan(docs)
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
