@@ -111,3 +111,19 @@ def test_streaming_episodes(spark, tmp_path):
     finally:
         query.stop()
     assert spark.table("starts").groupBy("station_id").count().orderBy("station_id").collect() == [(1, 3), (2, 2)]
+
+
+def test_samples_that_run(spark):
+    from sparkloom.operators import catalogue
+
+    spark.createDataFrame([(1, "a")], "id int, name string").createOrReplaceTempView("sampled")
+    rows = [("x1", "sampled", "SELECT `name`, `id` FROM `sampled` LIMIT 5"), ("x2", "gone", "SELECT `id` FROM `gone` LIMIT 5"), ("x3", "sampled", "SELECT `id` / 0 AS z FROM `sampled` WHERE raise_error('no') IS NULL LIMIT 5")]
+    assert catalogue.verified(spark, spark.createDataFrame(rows, "sample_id string, table string, sql string")) == ["x1"]
+
+
+def test_semantics_of_shapes(spark):
+    from sparkloom.operators import semantics
+
+    facts = [(0, 3, 1, None, 0, 0, 0), (3, 1, 1, "entity", 1, 1, 1), (3, 6, 1, "entity", 2, 3, 3), (2, 6, 1, None, 0, 0, 6), (3, 6, 2, "other", 2, 3, 0), (3, 5, 1, "other", 5, 1, 0)]
+    df = spark.createDataFrame(facts, "columns int, rows int, measures int, by string, values int, most int, times int").coalesce(1)
+    assert [r["shape"] for r in semantics.shape(df).collect()] == ["empty", "single_value", "multi_entity_time_series", "single_entity_time_series", "relationship", "cross_section"]
