@@ -224,7 +224,7 @@ def seeded(pool: DataFrame, key: str, seed: str, k: int) -> DataFrame:
 # --- bindings
 _c = lambda s, d: table(s, d, "conversations")
 register("L1_normal_question", lambda s, d: _c(s, d).select("conv_id", "turn", normal_question(F.col("text")).alias("q")),
-         r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[?？。.!！,，;；]+$', '') AS q FROM conversations WHERE length(text) < 200")
+         r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[?？。.!！,，;；]+$', '') AS q FROM conversations")
 register("L2_normal_sql", lambda s, d: table(s, d, "part").select("p_partkey", normal_sql(F.concat(F.lit("SELECT  a -- note\n FROM /* x\ny */ T WHERE n = '"), F.col("p_name"), F.lit("'  "))).alias("sql")), "SELECT p_partkey, concat('select a from t where n = ''', lower(p_name), '''') AS sql FROM part")
 register("L3_fingerprint", lambda s, d: table(s, d, "part").select("p_partkey", fingerprint(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("fp")), "SELECT p_partkey, sha256(concat(p_brand, chr(10), p_name, chr(10), p_type)) AS fp FROM part")
 register("L6_numeric_summary", lambda s, d: numeric_summary(table(s, d, "part"), ["p_size", "p_retailprice"]).select("column", F.round("min", 2).alias("min"), F.round("max", 2).alias("max"), F.round("sum", 2).alias("sum"), F.round("avg", 4).alias("avg")),
@@ -249,7 +249,7 @@ register("L8_judge_gate", lambda s, d: judged(_verdicts(s, d), 0.5).select("p_pa
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size / 50 >= 0.5 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_partkey % 13 > 0 THEN 'pass' WHEN p_partkey % 4 = 3 THEN 'reject' ELSE 'needs_review' END AS status FROM part""")
 register("L9_page", lambda s, d: table(s, d, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 register("L10_ready", lambda s, d: ready_batches(table(s, d, "events").select(F.col("user_id").alias("source"), F.col("ts").alias("at")), F.lit("2024-01-31").cast("timestamp_ntz"), 3, 14).select("source", "n", "ready"),
-         "SELECT user_id AS source, count(*) AS n, count(*) >= 3 OR min(ts) <= TIMESTAMP '2024-01-17' AS ready FROM events WHERE event_id % 40 = 0 GROUP BY 1")
+         "SELECT user_id AS source, count(*) AS n, count(*) >= 3 OR min(ts) <= TIMESTAMP '2024-01-17' AS ready FROM events GROUP BY 1")
 
 
 def _candidates(s, d, keep: Column):
@@ -298,7 +298,7 @@ register("K4_redacted", lambda s, d: redacted(_secrets(s, d)).select("p_partkey"
 SELECT p_partkey, 'Authorization: Bearer [REDACTED] ' || split_part(p_name, ' ', 2) AS header, 'use [REDACTED] or [REDACTED_CONNECTION_STRING]''; ' || p_name AS text, '[REDACTED]' AS "Password",
   '[{"api_key":"[REDACTED]","note":"' || p_type || ' sk-short"}]' AS calls, '{"Cookie":"[REDACTED]","k":"' || p_type || '"}' AS meta FROM part""")
 register("M8_families", lambda s, d: families(table(s, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.when(F.col("p_partkey") % 2 == 0, "day").otherwise(F.concat(F.lit("x_v"), F.col("p_size").cast("string")))).alias("table")).distinct()), """
-WITH t AS (SELECT DISTINCT concat(replace(p_name, ' ', '_'), '_', CASE WHEN p_partkey % 2 = 0 THEN 'day' ELSE concat('x_v', p_size) END) AS t, replace(p_name, ' ', '_') AS f FROM part WHERE p_partkey < 300)
+WITH t AS (SELECT DISTINCT concat(replace(p_name, ' ', '_'), '_', CASE WHEN p_partkey % 2 = 0 THEN 'day' ELSE concat('x_v', p_size) END) AS t, replace(p_name, ' ', '_') AS f FROM part)
 SELECT t AS "table", CASE WHEN count(*) OVER (PARTITION BY f) > 1 THEN f ELSE '' END AS family FROM t""")
 register("M11_compact", lambda s, d: table(s, d, "part").select("p_partkey", compact(F.concat("p_brand", F.lit(" - "), "p_name")).alias("t")), "SELECT p_partkey, lower(concat(replace(p_brand, '#', ''), replace(p_name, ' ', ''))) AS t FROM part")
 

@@ -99,7 +99,7 @@ f AS (SELECT t, contains(x, 'bolt') OR contains(x, 'economy') AS counter, contai
 c AS (SELECT t, counter, CASE WHEN l AND lc THEN 95 WHEN l OR lc THEN 55 ELSE 0 END AS a, CASE WHEN m AND mc THEN 95 WHEN m OR mc THEN 55 ELSE 0 END AS b, CASE WHEN p AND pc THEN 75 ELSE 0 END AS e FROM f),
 n AS (SELECT t, CASE WHEN counter THEN least(a, 75) ELSE a END AS a, CASE WHEN counter THEN least(b, 75) ELSE b END AS b, e FROM c)
 SELECT t AS "table", CASE WHEN greatest(a, b, e) = 0 THEN '' WHEN a >= b AND a >= e THEN 'log' WHEN b >= e THEN 'media' ELSE 'place' END AS role, greatest(a, b, e) / 100 AS confidence FROM n""")
-register("T20_proposals", lambda s, d: proposals(_profiles(s, d)), _EDGES.replace(" WHERE p_partkey < 400", "").replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
+register("T20_proposals", lambda s, d: proposals(_profiles(s, d)), _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
 , ok AS (SELECT a, b, jaccard FROM strong WHERE confidence >= 0.55), ed AS (SELECT a, b FROM ok UNION SELECT b, a FROM ok), walk AS (SELECT a AS t, a AS r FROM ed UNION SELECT w.t, ed.b FROM walk w JOIN ed ON w.r = ed.a), roots AS (SELECT t, min(r) AS root FROM walk GROUP BY t)
 , d AS (SELECT s.*, root, concat(p_brand, k % 2) AS fp, k % 9 = 1 AS bak, CASE WHEN fresh THEN DATE '2024-01-01' - p_size * 20 END AS latest, CASE WHEN skipped OR failed THEN 'pending' WHEN nb THEN 'standby' WHEN sampled = 0 AND coalesce(rows, 0) = 0 THEN 'standby'
     WHEN score >= 80 AND confidence >= 0.55 AND NOT critical THEN 'active' WHEN score >= 60 THEN 'pending' ELSE 'standby' END AS decision FROM s LEFT JOIN roots USING (t))

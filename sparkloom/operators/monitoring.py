@@ -194,8 +194,8 @@ def _runs(s, d):
 
 
 register("W6_missing_runs", _runs, """
-WITH h AS (SELECT DISTINCT user_id AS station_id, date_trunc('hour', ts) AS slot FROM events WHERE user_id < 20 AND ts < TIMESTAMP '2024-01-04'),
-m AS (SELECT s.station_id, t.slot FROM (SELECT DISTINCT user_id AS station_id FROM events WHERE user_id < 20) s, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03 23:00:00', INTERVAL 1 HOUR) AS t(slot)
+WITH h AS (SELECT DISTINCT user_id AS station_id, date_trunc('hour', ts) AS slot FROM events),
+m AS (SELECT s.station_id, t.slot FROM (SELECT DISTINCT user_id AS station_id FROM events) s, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR) AS t(slot)
   EXCEPT SELECT * FROM h),
 i AS (SELECT *, CAST(epoch(slot) / 3600 AS BIGINT) - row_number() OVER (PARTITION BY station_id, CAST(slot AS DATE) ORDER BY slot) AS g FROM m)
 SELECT station_id, strftime(min(slot), '%Y-%m-%d %H:%M:%S') AS first, CASE WHEN count(*) = 1 THEN strftime(min(slot), '%H') ELSE concat(strftime(min(slot), '%H'), '-', strftime(max(slot), '%H')) END AS label FROM i GROUP BY station_id, CAST(slot AS DATE), g
@@ -226,7 +226,7 @@ def _targets(s, d):
     return resolve_targets(rows, 1)
 
 
-register("W12_targets", _targets, _GRADED + "SELECT station_id AS section_id, arg_max(grade, (CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END) * 100000000 + id) AS grade FROM graded WHERE station_id % 2 = 0 AND grade IS NOT NULL GROUP BY 1")
+register("W12_targets", _targets, _GRADED + "SELECT station_id AS section_id, arg_max(grade, (CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END) * 100000000 + id) AS grade FROM graded WHERE grade IS NOT NULL GROUP BY 1")
 register("W14_distribution", lambda s, d: distribution(_daily(s, d)),
          _GRADED + ", t AS (SELECT count(*) AS total FROM daily WHERE grade_ <> '') SELECT v.g AS grade, count(x.grade_) AS n, CASE WHEN any_value(total) > 0 THEN round_even(100.0::DOUBLE * count(x.grade_) / any_value(total), 2) END AS share FROM (VALUES ('Ⅰ'), ('Ⅱ'), ('Ⅲ'), ('Ⅳ'), ('Ⅴ'), ('劣Ⅴ')) AS v(g) CROSS JOIN t LEFT JOIN daily x ON x.grade_ = v.g GROUP BY v.g")
 

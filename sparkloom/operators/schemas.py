@@ -138,6 +138,6 @@ register("D13_default_scope", lambda s, d: _columns(s, d, 0).groupBy("table").ag
 register("D14_compatible", lambda s, d: _columns(s, d, 0).select(*KEY, F.col("type").alias("a")).join(_columns(s, d, 3).select(*KEY, F.col("type").alias("b")), list(KEY), "left").groupBy("table").agg(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("compatible")),
          _BOTH + "SELECT a.t AS \"table\", bool_and(coalesce(a.type = b.type, false)) AS compatible FROM a LEFT JOIN b ON a.t = b.t AND a.c = b.c GROUP BY 1")
 register("D15_ddl", lambda s, d: ddl(_columns(s, d, 0)),
-         "WITH a AS (SELECT p_partkey AS i, concat('t', p_partkey % 40) AS t, concat('c', p_partkey) AS c, CASE WHEN p_size > 25 THEN p_name || chr(10) END AS comment FROM part WHERE p_partkey % 10 <> 0 AND p_partkey < 200) SELECT t AS \"table\", concat('CREATE TABLE ', t, ' (', chr(10), string_agg(concat('  ', c, ' int', CASE WHEN comment IS NOT NULL THEN ' COMMENT ''' || comment || '''' ELSE '' END), ',' || chr(10) ORDER BY i), chr(10), ')') AS ddl FROM a GROUP BY t")
+         "WITH a AS (SELECT p_partkey AS i, concat('t', p_partkey % 40) AS t, concat('c', p_partkey) AS c, CASE WHEN p_size > 25 THEN p_name || chr(10) END AS comment FROM part WHERE p_partkey % 10 <> 0) SELECT t AS \"table\", concat('CREATE TABLE ', t, ' (', chr(10), string_agg(concat('  ', c, ' int', CASE WHEN comment IS NOT NULL THEN ' COMMENT ''' || comment || '''' ELSE '' END), ',' || chr(10) ORDER BY i), chr(10), ')') AS ddl FROM a GROUP BY t")
 register("D17_key_equality", lambda s, d: same_keys(_columns(s, d, 0), _columns(s, d, 3), _columns(s, d, 0).filter("nullable")),
          _BOTH + ", k AS (SELECT t, c, '0' AS s FROM a UNION SELECT t, c, '1' FROM b UNION SELECT t, c, '2' FROM a WHERE nullable) SELECT t AS \"table\", c AS \"column\", string_agg(s, ',' ORDER BY s) AS sides FROM k GROUP BY 1, 2 HAVING count(*) < 3")

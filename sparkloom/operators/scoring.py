@@ -238,7 +238,7 @@ def _profiles(s: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 != 0, "update_time").alias("time_column"), F.concat("p_brand", (k % 2).cast("string")).alias("fingerprint"), F.col("p_brand").alias("data_fingerprint"))
 
 
-_PROFILES = """WITH q AS (SELECT p_partkey AS k, * FROM part WHERE p_partkey < 400), p AS (
+_PROFILES = """WITH q AS (SELECT p_partkey AS k, * FROM part), p AS (
   SELECT concat('t_', replace(p_name, ' ', ''), '_', k // 9, 'x', CASE k % 9 WHEN 1 THEN '_bak' WHEN 2 THEN '_2' WHEN 3 THEN '_1' ELSE substr('abcdefghi', k % 9 + 1, 1) END) AS t, k, p_size % 10 AS queryable, p_size, p_brand, k % 3 = 0 AS timed,
     CASE WHEN k % 11 <> 0 THEN CAST(floor(p_retailprice * (k % 200)) AS BIGINT) END AS rows, CASE WHEN k % 13 = 0 THEN 0 ELSE 200 END AS sampled, k % 5 <> 0 AS fresh, p_size * 9 AS days, k % 2 = 0 AS pk, k % 4 = 1 AS uk,
     CASE k % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 END AS dup, k % 17 = 0 AS failed, k % 19 = 0 AS skipped, k % 23 = 0 AS nb FROM q
@@ -264,7 +264,7 @@ _SIMILAR = """, n AS (SELECT t, k, regexp_replace(regexp_replace(regexp_replace(
 , sim AS (SELECT a.t AS a, b.t AS b, a.k AS ka, b.k AS kb, CASE WHEN a.n = '' OR b.n = '' THEN 0.0 WHEN a.n = b.n THEN 1.0 WHEN length(a.n) >= 4 AND length(b.n) >= 4 AND (contains(a.n, b.n) OR contains(b.n, a.n)) THEN 0.7
   WHEN levenshtein(a.n, b.n) <= 2 THEN 0.55 WHEN levenshtein(a.n, b.n) <= greatest(length(a.n), length(b.n)) * 0.25 THEN 0.35 ELSE 0.0 END::DOUBLE AS n FROM n a JOIN n b ON a.t < b.t)
 """
-register("T10_name_similarity", lambda s, d: similar_names(_profiles(s, d)), _PROFILES + _SIMILAR + "SELECT a, b, n FROM sim WHERE n > 0 AND ka < 150 AND kb < 150")
+register("T10_name_similarity", lambda s, d: similar_names(_profiles(s, d)), _PROFILES + _SIMILAR + "SELECT a, b, n FROM sim WHERE n > 0")
 _EDGES = _PROFILES + _SIMILAR + """
 , c AS (SELECT t, k, list_distinct(list_transform(range(0, p_size % 7 + 3), lambda i: k // 9 + i * i)) AS cols FROM p)
 , e AS (SELECT s.a, s.b, s.n, len(list_intersect(x.cols, y.cols)) / len(list_distinct(list_concat(x.cols, y.cols))) AS j, CASE WHEN ka % 5 <> 0 AND kb % 5 <> 0 THEN 1.0 ELSE 0.0 END AS tm FROM sim s JOIN c x ON s.a = x.t JOIN c y ON s.b = y.t)
@@ -291,7 +291,7 @@ def _shard_rows(s, d):
 
 
 register("T16_shards", lambda s, d: shards(_shard_rows(s, d)).distinct(), """
-WITH r AS (SELECT DISTINCT concat('f', o_custkey % 40, CASE WHEN o_orderkey % 3 > 0 THEN concat('_', o_orderkey) ELSE '' END) AS t, o_orderstatus AS fp FROM orders WHERE o_orderkey < 300),
+WITH r AS (SELECT DISTINCT concat('f', o_custkey % 40, CASE WHEN o_orderkey % 3 > 0 THEN concat('_', o_orderkey) ELSE '' END) AS t, o_orderstatus AS fp FROM orders),
 n AS (SELECT t, fp, regexp_extract(t, '^(.+?)_([0-9]+)$', 1) AS f FROM r), ok AS (SELECT f, fp FROM n WHERE f <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT DISTINCT n.t AS "table", n.f AS entry FROM n JOIN ok ON n.f = ok.f AND n.fp = ok.fp JOIN r e ON e.t = n.f""")
 register("T17_duplicates", lambda s, d: duplicates(score(_profiles(s, d))), _PROFILES + """
