@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """Sets a checkpoint folder of its own only where the cluster names none, as in a local session."""
+    """Sets a checkpoint folder of its own in a local session that names none; a cluster must name one that all machines see."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
