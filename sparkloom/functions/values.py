@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A finite decimal number as a chart may get it in text.
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -43,3 +44,16 @@ def round_stored(value: Column, digits: int) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to two digits, null when whole is 0."""
     return F.bround(F.try_divide(100.0 * part, whole.cast("double")), 2)
+
+
+def distinct_counts(df: DataFrame, columns: list[str], skip_blank: bool = False) -> DataFrame:
+    """column, distinct: how many values each column has, nulls (and blanks) left out.
+
+    Cells are counted as (column, value) pairs, so a row is sent once for each of its new values, not once for each column."""
+    def text(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        v = v + 0.0 if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else v  # 0 and -0 are one value
+        return F.when(~is_blank(v), v.cast("string")) if skip_blank else v.cast("string")
+
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns]))).filter("value IS NOT NULL")
+    return cells.distinct().groupBy("column").agg(F.count("*").alias("distinct"))

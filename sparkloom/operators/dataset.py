@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import is_blank, to_number
+from ..functions.values import distinct_counts, is_blank, to_number
 from ..registry import register
 from ..sources.tables import table
 
@@ -19,7 +19,7 @@ def is_date_text(value: Column) -> Column:
 
 
 def fields(df: DataFrame) -> DataFrame:
-    """Per column: kind (numeric, temporal, text or empty), filled, distinct, all from one aggregation.
+    """Per column: kind (numeric, temporal, text or empty), filled, distinct.
 
     A column is numeric if all its values that aren't blank are numbers; temporal if all are dates as text, or years.
     """
@@ -29,12 +29,13 @@ def fields(df: DataFrame) -> DataFrame:
         number = to_number(v)
         year = (number >= 1900) & (number <= 2100) & (number == F.floor(number))
         made.append(F.struct(
-            F.lit(c).alias("field"), F.count_if(full).alias("filled"), F.count_distinct(F.when(full, v.cast("string"))).alias("distinct"),
+            F.lit(c).alias("field"), F.count_if(full).alias("filled"),
             F.coalesce(F.bool_and(F.when(full, number.isNotNull())), F.lit(False)).alias("numeric"),
             (F.coalesce(F.bool_and(F.when(full, is_date_text(v))), F.lit(False)) | (F.coalesce(F.bool_and(F.when(full, F.coalesce(year, F.lit(False)))), F.lit(False)))).alias("temporal")).alias(f"_{len(made)}"))
     wide = df.agg(*made).select(F.inline(F.array(*[f"_{i}" for i in range(len(made))])))
     kind = F.when(F.col("filled") == 0, "empty").when(F.col("temporal"), "temporal").when(F.col("numeric"), "numeric").otherwise("text")
-    return wide.select("field", kind.alias("kind"), "filled", "distinct")
+    found = distinct_counts(df, df.columns, skip_blank=True).withColumnRenamed("column", "field")
+    return wide.join(found, "field", "left").select("field", kind.alias("kind"), "filled", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))
 
 
 def duplicate_keys(df: DataFrame, dimensions: list[str]) -> DataFrame:

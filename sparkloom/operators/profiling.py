@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import distinct_counts
 from ..registry import register
 from ..sources.tables import KEYS, table
 
@@ -50,21 +51,21 @@ def columns(df: DataFrame, limit: int = 20) -> DataFrame:
     """Per column: null rate, distinct count, and, of numbers and times, min and max as text; up to `limit` typical values
     of columns with no more of them and no sensitive name.
 
-    One aggregation over all columns, whose row is then turned into rows.
+    One aggregation over all columns, whose row is then turned into rows; distinct values are counted beside it.
     """
     fields = profiled(df)
     made = []
     for f in fields:
         c = F.col(f"`{f.name}`")
-        made += [F.count_if(c.isNull()).alias(f"{f.name}|nulls"), F.count_distinct(c).alias(f"{f.name}|distinct")]
+        made += [F.count_if(c.isNull()).alias(f"{f.name}|nulls")]
         made += [F.min(c).cast("string").alias(f"{f.name}|min"), F.max(c).cast("string").alias(f"{f.name}|max")] if ordered(f.dataType) else []
     wide = df.agg(F.count("*").alias("|rows"), *made)
     get = lambda f, what: F.col(f"`{f.name}|{what}`")
     rate = lambda f: F.round(F.try_divide(get(f, "nulls"), F.col("`|rows`")), 4)
     text = lambda f, what: get(f, what) if ordered(f.dataType) else F.lit(None).cast("string")
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), rate(f).alias("null_rate"), get(f, "distinct").alias("distinct_count"), text(f, "min").alias("min"), text(f, "max").alias("max")) for f in fields])
-    out = wide.select(F.inline(rows))
-    return out.withColumn("sensitive", sensitive(F.col("column")))
+    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), rate(f).alias("null_rate"), text(f, "min").alias("min"), text(f, "max").alias("max")) for f in fields])
+    out = wide.select(F.inline(rows)).join(distinct_counts(df, [f.name for f in fields]), "column", "left")
+    return out.select("column", "type", "null_rate", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct_count"), "min", "max", sensitive(F.col("column")).alias("sensitive"))
 
 
 def typical_values(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

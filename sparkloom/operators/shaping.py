@@ -32,15 +32,18 @@ def sort_key(x: Column) -> Column:
 
 def shares(df: DataFrame, x: str, y: str) -> DataFrame:
     """x, y, share in percent to one digit, and rank: equal values share one. Null shares where a value is negative or
-    nothing sums up. For results of a chart's size: the windows take the whole of it."""
-    whole = Window.partitionBy()
-    total, ok = F.sum(y).over(whole), F.min(y).over(whole) >= 0
-    return df.select(x, y, F.when(ok & (total > 0), F.round(100 * F.col(y) / total, 1)).alias("share"), F.rank().over(Window.orderBy(F.desc(y))).alias("rank"))
+    nothing sums up."""
+    whole = df.agg(F.sum(y).alias("_total"), (F.min(y) >= 0).alias("_ok"))
+    # equal values are one row here, so the only window over all takes no more rows than there are values
+    places = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n")).withColumn("_rank", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    both = df.join(F.broadcast(whole)).join(places, F.col(y).eqNullSafe(F.col("_y")))
+    return both.select(x, y, F.when(F.col("_ok") & (F.col("_total") > 0), F.round(100 * F.col(y) / F.col("_total"), 1)).alias("share"), F.col("_rank").cast("int").alias("rank"))
 
 
 def pie(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slices, the largest first, with their place and the total."""
-    return df.select(x, y, F.row_number().over(Window.orderBy(F.desc(y), x)).alias("place"), F.sum(y).over(Window.partitionBy()).alias("total"))
+    total = df.agg(F.sum(y).alias("total"))  # one row; the places of a pie's slices are a chart's size
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(y), x))).join(F.broadcast(total)).select(x, y, "place", "total")
 
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,7 +72,7 @@ def heatmap(df: DataFrame, x: str, y: str, value: str, order: str) -> DataFrame:
     place = lambda c: rows.groupBy(c).agg(F.min("o").alias("f")).select(c, (F.dense_rank().over(Window.orderBy("f")) - 1).alias(f"{c}_place"))
     cells = rows.groupBy("x", "y").agg(F.sum("v").alias("v"))
     ends = cells.agg(F.least(F.min("v"), F.lit(0.0)).alias("low"), F.greatest(F.max("v"), F.lit(1.0)).alias("high"))
-    return cells.join(F.broadcast(place("x")), "x").join(F.broadcast(place("y")), "y").join(F.broadcast(ends))
+    return cells.join(place("x"), "x").join(place("y"), "y").join(F.broadcast(ends))  # one row of ends
 
 
 def quartiles(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -95,8 +98,8 @@ def series(df: DataFrame, entity: str, time: str, value: str, order: str) -> Dat
     """Every entity at every time; of several rows of a cell the last in `order` counts, missing cells are null."""
     cells = df.groupBy(entity, time).agg(F.max_by(value, order).alias(value))
     names, times = cells.select(entity).distinct(), cells.select(time).distinct()
-    # a chart's entities times its times: the picture itself
-    return names.join(F.broadcast(times)).join(cells, [entity, time], "left")
+    # a chart's entities times its times: the picture itself. Spark chooses by their sizes which of them travels
+    return names.crossJoin(times).join(cells, [entity, time], "left")
 
 
 def area_ok(df: DataFrame, time: str, value: str, entity: str | None = None) -> DataFrame:
