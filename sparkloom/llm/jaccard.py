@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import in_filter, member_filter, pack, unpack, written
+from .common import discard, in_filter, member_filter, pack, unpack, written
 from .components import connected
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-_CACHE = 500_000
+_CACHE = 250_000
 #: Sets, and n-grams of sets, that are sent as one part.
 PART_SETS, PART_GRAMS = 2_000, 1_000_000
 #: N-grams of a fragment of the order.
@@ -431,7 +431,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     both = written(source.mapInArrow(cut, kinds), "sets")
-    rows = both.filter("fragment IS NULL").select("doc_id", "n_shingles", "k1", "k2")
+    rows = written(both.filter("fragment IS NULL").select("doc_id", "n_shingles", "k1", "k2"), "keys")
     known = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = written(known.withColumn("id", F.monotonically_increasing_id()), "classes")
 
@@ -439,6 +439,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = both.filter("fragment = -1").select("part", F.lit(None).cast("binary").alias("owners"), F.col("counts").alias("sums"), "keys")
     alive = partial.unionByName(base).groupBy("part").applyInArrow(_alive(rule.percent), "k1 long").distinct()
     classed = written(classes.join(alive, "k1", "left_semi").withColumn("h", F.xxhash64("rep")), "classes-alive")
+    discard(both)
     wanted = member_filter(classed, "h")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,6 +472,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cells = _dealt(lists, _below_leaders(links)).join(bitmaps.select("id", "bits"), "id")
     across = cells.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(_crossing(rule.percent), "a long, b long").distinct()
     more = written(_linked(across, sets, rule), "links")
+    discard(sets)
     groups = connected(links.unionByName(more))
 
     of = written(classes.join(groups, F.col("id") == F.col("node")).select("id", "component", "rep"), "members")

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks, and pieces, that a worker keeps.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 #: Longer chunks are never kept.
 CACHE_CHARS = 64
 

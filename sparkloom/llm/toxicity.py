@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 #: Group mentions; in a counterfactual each is swapped for another of its row.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -25,7 +27,7 @@ IDENTITY_TERMS = (
 )
 _SWAP = {term: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, term in enumerate(row)}
 _WORD = re.compile(r"[^\W_]+")
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
     At most settings.max_rows labels are used: those with the smallest hashes of their key, so reruns agree. They are
     chosen before any text is read, and so few that they are broadcast: no text is shuffled. Features are made by the
-    executors; the driver gets numbers of buckets only and fits a few thousand weights. Null labels and keys are left out.
+    executors, written down and counted there; the driver gets those of the few thousand buckets that it fits weights for. Null labels and keys are left out.
     Without any toxic row, or any other, the model scores every text alike.
     """
     s = settings
@@ -145,27 +147,43 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
                 other.append(None if swapped is None else np.array(sorted(features.of(swapped)), dtype="<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["label", "own", "other"])
 
-    got = chosen.mapInArrow(run, "label int, own binary, other binary").limit(s.max_rows).toArrow()
-    labels = np.array(got.column("label").to_pylist(), dtype=np.int64).clip(0, 1)
-    own = [np.frombuffer(x.as_py(), dtype="<i4") for x in got.column("own")]
-    if not len(labels) or labels.min() == labels.max():
-        share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Model(s, float(np.log(share / (1 - share))) if len(labels) else -4.0, {})
-    total, toxic = labels.size, labels.sum()
-    seen_by = np.zeros(s.space)
-    pos = np.zeros(s.space)
-    for x, y in zip(own, labels):
-        seen_by[x] += 1
-        pos[x] += y
-    expected = seen_by * toxic / total
-    telling = np.where(pos >= s.min_positive, (pos - expected) / np.sqrt(expected + 1), 0.0)
-    kept = np.sort(np.argsort(-telling, kind="stable")[: s.max_features])
-    kept = kept[telling[kept] > 3]
-    place = np.full(s.space, -1, dtype=np.int64)
-    place[kept] = np.arange(len(kept))
-    held = lambda x: (i := place[x])[i >= 0]
-    pairs = [(held(x), held(np.frombuffer(y.as_py(), dtype="<i4"))) for x, y in zip(own, got.column("other")) if y.is_valid]
-    bias, theta = _descend([held(x) for x in own], labels, pairs, len(kept), s)
+    made = written(chosen.mapInArrow(run, "label int, own binary, other binary"), "labelled")
+    facts = made.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.lit(0), F.least(F.lit(1), "label"))), F.lit(0)).alias("toxic")).first()
+    total, toxic = facts["n"], facts["toxic"]
+    if toxic in (0, total):
+        share = (toxic + 0.5) / (total + 1)
+        return Model(s, float(np.log(share / (1 - share))) if total else -4.0, {})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, pos = np.zeros(s.space, dtype=np.int64), np.zeros(s.space, dtype=np.int64)
+        for batch in batches:
+            for y, x in zip(batch.column("label").to_pylist(), batch.column("own").to_pylist()):
+                own = np.frombuffer(x, dtype="<i4")
+                seen[own] += 1
+                if y > 0:
+                    pos[own] += 1
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met]), pa.array(pos[met])], names=["bucket", "seen", "pos"])
+
+    # counts of all buckets stay with the executors; the driver gets max_features of them at most
+    sums = made.select("label", "own").mapInArrow(counted, "bucket long, seen long, pos long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("pos").alias("pos"))
+    expected = F.col("seen") * toxic / total
+    telling = sums.filter(F.col("pos") >= s.min_positive).withColumn("telling", (F.col("pos") - expected) / F.sqrt(expected + 1)).filter("telling > 3")
+    kept = np.array(sorted(r["bucket"] for r in telling.orderBy(F.desc("telling"), "bucket").limit(s.max_features).collect()), dtype=np.int64)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places(x: bytes | None) -> bytes | None:
+            return None if x is None else np.flatnonzero(np.isin(kept, np.frombuffer(x, dtype="<i4"))).astype("<i4").tobytes()
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(map(places, batch.column(c).to_pylist()), pa.binary()) for c in ("own", "other"))], names=["label", "own", "other"])
+
+    got = made.mapInArrow(held, "label int, own binary, other binary").limit(s.max_rows).toArrow()
+    discard(made)
+    read = lambda x: np.frombuffer(x.as_py(), dtype="<i4").astype(np.int64)
+    own = [read(x) for x in got.column("own")]
+    pairs = [(x, read(y)) for x, y in zip(own, got.column("other")) if y.is_valid]
+    bias, theta = _descend(own, np.array(got.column("label").to_pylist(), dtype=np.int64).clip(0, 1), pairs, len(kept), s)
     return Model(s, bias, {int(k): float(w) for k, w in zip(kept, theta)})
 
 
