@@ -127,3 +127,43 @@ def test_semantics_of_shapes(spark):
     facts = [(0, 3, 1, None, 0, 0, 0), (3, 1, 1, "entity", 1, 1, 1), (3, 6, 1, "entity", 2, 3, 3), (2, 6, 1, None, 0, 0, 6), (3, 6, 2, "other", 2, 3, 0), (3, 5, 1, "other", 5, 1, 0)]
     df = spark.createDataFrame(facts, "columns int, rows int, measures int, by string, values int, most int, times int").coalesce(1)
     assert [r["shape"] for r in semantics.shape(df).collect()] == ["empty", "single_value", "multi_entity_time_series", "single_entity_time_series", "relationship", "cross_section"]
+
+
+def test_field_selectors():
+    from sparkloom.plans import charts
+
+    shape = charts.Shape(("site", "month", "n", "ph", "x"), measures=("n", "ph"), dimensions=("site", "month"), temporal=("month",), numeric=("n", "ph", "x"), entity="site", kinds={"n": "additive", "ph": "non_additive"})
+    asked = charts.Preferred(x="gone", ys=("ph", "gone"), value="n")
+    assert [charts.scalar(s, shape, asked) for s in ("entity", "region", "preferred_x", "preferred_y", "preferred_value", "additive_measure", "non_additive_measure")] == ["site", None, None, "ph", "n", "n", "ph"]
+    assert charts.scalar("numeric", shape, exclude=("n", "ph")) == "x" and charts.scalar("measure", shape, index=5) is None
+    assert charts.several("measures", shape, after=0) == ("ph",) and charts.several("dimensions", shape, most=1) == ("site",) and charts.several("preferred_ys", shape, asked) == ("ph",)
+    with pytest.raises(ValueError):
+        charts.scalar("other", shape)
+
+
+def test_charts_from_plan_to_rows(spark):
+    from sparkloom.plans import charts
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 5.0)], "site string, ph double")
+    shape = charts.Shape(("site", "ph"), measures=("ph",), dimensions=("site",), numeric=("ph",), kinds={"ph": "non_additive"})
+    made = charts.prepare(df, "detail_rows", {"grouped_samples": True}, shape)
+    assert made.error is None and made.variant.chart == "boxplot" and made.rows.columns == ["site", "min", "Q1", "median", "Q3", "max"]
+    assert charts.prepare(df, "detail_rows", {}, shape).error == "no_default_plan"
+    assert charts.prepare(df, "detail_rows", {"grouped_samples": True}, charts.Shape(("site", "ph"), measures=("ph",))).error == "selected_plan_missing_spec"
+    one = df.limit(1)
+    assert charts.prepare(one, "detail_rows", {"grouped_samples": True}, shape).error == "transform_failed_insufficient_samples_a"
+    can = charts.availability("detail_rows", {"grouped_samples": True}, shape)
+    assert can["boxplot"]["supported"] and can["pie"]["reason"] == "unsuitable_data"
+    assert charts.compact("pie", 7) == (False, False) and charts.compact("bar", 7) == (True, True)
+
+
+def test_jobs_within_a_budget(spark):
+    import time
+
+    from sparkloom.plans import budget
+
+    slow = lambda: spark.range(0, 4, 1, 4).selectExpr("reflect('java.lang.Thread', 'sleep', 20000L) AS x").count()
+    sleepy = lambda: spark.range(0, 4, 1, 4).mapInPandas(lambda it: ((time.sleep(20), x)[1] for x in it), "id long").count()
+    found = budget.within(spark, {"a": lambda: spark.range(5).count(), "slow": sleepy, "bad": lambda: spark.sql("SELECT gone"), "b": lambda: spark.range(7).count()}, each=4)
+    assert [found[k].state for k in ("a", "slow", "bad", "b")] == ["done", "timed_out", "failed", "done"] and found["b"].value == 7
+    assert {o.state for o in budget.within(spark, {"a": slow}, total=0).values()} == {"skipped"}
