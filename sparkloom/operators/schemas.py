@@ -35,6 +35,28 @@ def comment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("line_ends_only", F.coalesce(plain("a") == plain("b"), F.lit(False)))
 
 
+def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """kind, table, column, before, after: all that differs between two indexes (table, column, type, comment, table_comment).
+
+    Kinds: added_table, removed_table, changed_table_comment (column null; comments), added_column, removed_column,
+    changed_type (types), changed_comment, line_ends_only (comments). Comments are compared with all line ends alike."""
+    ends = lambda c: F.regexp_replace(c, "\r\n?", "\n")
+    tables = lambda df, name: df.groupBy("table").agg(F.max(ends(F.col("table_comment"))).alias(name), F.lit(True).alias(f"_{name}"))
+    t = tables(old, "before").join(tables(new, "after"), "table", "full")
+    kind = F.when(F.col("_before").isNull(), "added_table").when(F.col("_after").isNull(), "removed_table").when(~F.col("before").eqNullSafe(F.col("after")), "changed_table_comment")
+    of_tables = t.select(kind.alias("kind"), "table", F.lit(None).cast("string").alias("column"), "before", "after").filter("kind IS NOT NULL")
+    side = lambda df, name: df.select(*KEY, F.struct("type", "comment").alias(name))
+    c = side(old, "o").join(side(new, "n"), list(KEY), "full")
+    both = F.col("o").isNotNull() & F.col("n").isNotNull()
+    row = lambda k, a, b: F.struct(F.lit(k).alias("kind"), a.alias("before"), b.alias("after"))
+    o, n, none = F.col("o.comment"), F.col("n.comment"), F.lit(None).cast("string")
+    same = ends(o).eqNullSafe(ends(n))
+    found = F.array(F.when(F.col("o").isNull(), row("added_column", none, F.col("n.type"))), F.when(F.col("n").isNull(), row("removed_column", F.col("o.type"), none)), F.when(both & (F.col("o.type") != F.col("n.type")), row("changed_type", F.col("o.type"), F.col("n.type"))),
+                    F.when(both & ~same, row("changed_comment", ends(o), ends(n))), F.when(both & same & ~o.eqNullSafe(n), row("line_ends_only", o, n)))
+    of_columns = c.select(*KEY, F.explode(F.array_compact(found)).alias("x")).select("x.kind", *KEY, "x.before", "x.after")
+    return of_tables.unionByName(of_columns)
+
+
 def inherit(new: DataFrame, baseline: DataFrame, changes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """new with the baseline's semantic fields where its own are null, for tables without removed or changed columns."""
     broken = changes.filter("change <> 'added'").select("table").distinct()
@@ -110,6 +132,16 @@ def _sql_columns(shift: int) -> str:
 _BOTH = f"WITH a AS ({_sql_columns(0)}), b AS ({_sql_columns(3)}) "
 register("D2_comment_diff", lambda s, d: comment_diff(_columns(s, d, 0), _columns(s, d, 3)).groupBy("line_ends_only").agg(F.count("*").alias("n")),
          _BOTH + "SELECT coalesce(replace(a.comment, chr(13), '') = replace(b.comment, chr(13), ''), false) AS line_ends_only, count(*) AS n FROM a JOIN b ON a.t = b.t AND a.c = b.c WHERE a.comment IS DISTINCT FROM b.comment GROUP BY 1")
+_commented = lambda s, d, shift: _columns(s, d, shift).filter(F.col("table") != F.lit(f"t{shift}")).withColumn("table_comment", F.concat(F.lit("about "), F.when(F.substring("table", 2, 3).cast("int") % 4 == 0, F.lit(str(shift))).otherwise(F.col("table"))))
+register("D2_index_diff", lambda s, d: index_diff(_commented(s, d, 0), _commented(s, d, 3)), _BOTH + """
+, x AS (SELECT * FROM a WHERE t <> 't0'), y AS (SELECT * FROM b WHERE t <> 't3'), tx AS (SELECT DISTINCT t FROM x), ty AS (SELECT DISTINCT t FROM y)
+SELECT CASE WHEN tx.t IS NULL THEN 'added_table' WHEN ty.t IS NULL THEN 'removed_table' ELSE 'changed_table_comment' END AS kind, coalesce(tx.t, ty.t) AS "table", NULL AS "column",
+  CASE WHEN tx.t IS NOT NULL THEN CASE WHEN CAST(substr(tx.t, 2) AS INTEGER) % 4 = 0 THEN 'about 0' ELSE 'about ' || tx.t END END AS before, CASE WHEN ty.t IS NOT NULL THEN CASE WHEN CAST(substr(ty.t, 2) AS INTEGER) % 4 = 0 THEN 'about 3' ELSE 'about ' || ty.t END END AS after
+FROM tx FULL JOIN ty ON tx.t = ty.t WHERE tx.t IS NULL OR ty.t IS NULL OR CAST(substr(tx.t, 2) AS INTEGER) % 4 = 0
+UNION ALL SELECT 'added_column', y.t, y.c, NULL, y.type FROM y ANTI JOIN x ON x.t = y.t AND x.c = y.c UNION ALL SELECT 'removed_column', x.t, x.c, x.type, NULL FROM x ANTI JOIN y ON x.t = y.t AND x.c = y.c
+UNION ALL SELECT 'changed_type', x.t, x.c, x.type, y.type FROM x JOIN y ON x.t = y.t AND x.c = y.c WHERE x.type <> y.type
+UNION ALL SELECT CASE WHEN same THEN 'line_ends_only' ELSE 'changed_comment' END, t, c, CASE WHEN same THEN o ELSE replace(o, chr(13), '') END, CASE WHEN same THEN n ELSE replace(n, chr(13), '') END
+  FROM (SELECT x.t, x.c, x.comment AS o, y.comment AS n, replace(x.comment, chr(13), '') IS NOT DISTINCT FROM replace(y.comment, chr(13), '') AS same FROM x JOIN y ON x.t = y.t AND x.c = y.c) WHERE o IS DISTINCT FROM n""")
 register("D3_structure_diff", lambda s, d: diff(_columns(s, d, 0), _columns(s, d, 3), ("type", "nullable")), _BOTH + """
 SELECT coalesce(a.t, b.t) AS "table", coalesce(a.c, b.c) AS "column", CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN a.c IS NOT NULL AND b.c IS NOT NULL THEN 'type' END AS fields
 FROM a FULL JOIN b ON a.t = b.t AND a.c = b.c WHERE a.c IS NULL OR b.c IS NULL OR a.type <> b.type OR a.nullable <> b.nullable""")

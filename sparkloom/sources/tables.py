@@ -71,9 +71,10 @@ def write_csv(df: DataFrame, folder: str) -> str:
 
 
 def records(df: DataFrame, limit: int = 1000) -> dict:
-    """At most `limit` rows as dictionaries, with the columns, which an empty result keeps too."""
-    rows = [r.asDict(recursive=True) for r in df.limit(limit).collect()]
-    return {"columns": df.columns, "rows": rows, "row_count": len(rows), "column_count": len(df.columns)}
+    """At most `limit` rows as dictionaries, with the columns, which an empty result keeps too. truncated: whether there are
+    more rows; row_count counts those that are given."""
+    rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+    return {"columns": df.columns, "rows": rows[:limit], "row_count": min(len(rows), limit), "column_count": len(df.columns), "truncated": len(rows) > limit}
 
 
 def preview(df: DataFrame, chars: int = 1000) -> str:

@@ -167,3 +167,10 @@ def test_jobs_within_a_budget(spark):
     found = budget.within(spark, {"a": lambda: spark.range(5).count(), "slow": sleepy, "bad": lambda: spark.sql("SELECT gone"), "b": lambda: spark.range(7).count()}, each=4)
     assert [found[k].state for k in ("a", "slow", "bad", "b")] == ["done", "timed_out", "failed", "done"] and found["b"].value == 7
     assert {o.state for o in budget.within(spark, {"a": slow}, total=0).values()} == {"skipped"}
+
+
+def test_records_say_that_rows_are_missing(spark):
+    from sparkloom.sources import tables
+
+    held = tables.records(spark.range(5), limit=3)
+    assert (held["row_count"], held["truncated"], len(held["rows"])) == (3, True, 3) and not tables.records(spark.range(3), limit=3)["truncated"]
