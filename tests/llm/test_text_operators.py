@@ -344,6 +344,41 @@ def test_toxicity_without_labels(spark, docs):
     assert len(rows) == docs.count() and len({r["score"] for r in rows}) == 1 and not any(r["predicted"] for r in rows)
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Held-out rows of the given tables: the score orders them, and few clean ones are predicted."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
+    bad, good = [np.array([r["score"] for r in rows if r["toxic"] == k]) for k in (1, 0)]
+    order = (bad[:, None] > good[None, :]).mean() + 0.5 * (bad[:, None] == good[None, :]).mean()
+    assert order > 0.85 and (good >= 0.7).mean() < 0.05  # some 600 labels to learn from
+
+
+def test_pipeline_stages_match_brute_force(spark, docs, texts):
+    import corpus_pipeline
+
+    labels = brute_groups(texts, 5, 80)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    kept = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert kept == {i: t for i, t in enumerate(texts) if labels[i][1] == i}
+    # words of windows of 20 that start earlier, one document after the other
+    seen, want = set(), {}
+    for i in sorted(kept):
+        words = WORDS.findall(kept[i] or "")
+        gone = set()
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone.update(range(k, k + 20))
+            seen.add(window)
+        if not gone:
+            want[i] = kept[i]
+        elif len(gone) < len(words):
+            want[i] = " ".join(w for k, w in enumerate(words) if k not in gone)
+    found = corpus_pipeline.drop_repeats(spark, left, "")
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == want
+
+
 OPERATORS = {
     "mix": lambda d: mixing.mix_sources(d),
     "pack": lambda d: packing.pack(d, WORD_BPE),
