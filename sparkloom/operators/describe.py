@@ -47,6 +47,31 @@ def cell_text(value: Column) -> Column:
     return F.when(value.isNull(), "-").when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.substring(text, 1, 10)).otherwise(text)
 
 
+def category_text(df: DataFrame, x: str, y: str, item: str, metric: str, additive: bool = True, drop_negative: bool = False) -> DataFrame:
+    """text: what bars or slices show: how many there are, the sum (of additive metrics) or mean, the ends, the first three and
+    how far the ends are apart. No row of numbers gives null. Ties go to the first x."""
+    rows = df.select(F.col(x).cast("string").alias("x"), to_number(F.col(y)).alias("y")).filter("y IS NOT NULL")
+    rows = rows.filter("y >= 0") if drop_negative else rows
+    got = rows.agg(F.count("*").alias("n"), F.sum("y").alias("sum"), F.avg("y").alias("mean"), F.max("y").alias("most"), F.min("y").alias("least"), F.min("x").alias("_"))
+    ranked = rows.orderBy(F.desc("y"), "x").limit(3).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "x"))).alias("top"))
+    last = rows.orderBy("y", F.desc("x")).limit(1).select(F.col("x").alias("last"))
+    c, num, top = F.col, number_text, F.transform("top", lambda t: t["x"])
+    share = lambda part: F.when(c("sum") > 0, F.format_string("%.1f%%", 100 * part / c("sum"))).otherwise("0%")
+    first, three = F.get(top, F.lit(0)), F.aggregate("top", F.lit(0.0), lambda a, t: a - t["k"])
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    many = c("n").cast("string")
+    ratio = F.when((c("most") * c("least") > 0), F.greatest(F.abs("most"), F.abs("least")) / F.least(F.abs("most"), F.abs("least")))
+    times = F.round(ratio, 1)
+    degree = F.when(times >= 5, "差异较大").when(times >= 2, "差异较明显").otherwise("存在一定差异")
+    if additive:
+        text = say("共", many, f"个{item}，{metric}合计", num(c("sum")), "。", first, "最多，为", num(c("most")), "，占", share(c("most")), "；", c("last"), "最少，为", num(c("least")), "。",
+                   F.when(c("n") >= 3, say(f"前3个{item}（", F.array_join(top, "、"), "）合计占", share(three), "。")).otherwise(""),
+                   F.when(ratio >= 1.05, say(first, "约为", c("last"), "的", F.format_string("%.1f倍", ratio), f"，{item}间", degree, "。")).otherwise(""))
+    else:
+        text = say("共", many, f"个{item}，{metric}均值", num(c("mean")), "。", first, "最高，为", num(c("most")), "；", c("last"), "最低，为", num(c("least")), "。")
+    return got.join(F.broadcast(ranked)).join(last, F.lit(True), "left").select(F.when(c("n") > 0, text).alias("text"))  # one row each
+
+
 def _by_nation(s, d):
     return table(s, d, "customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("y"))
 
@@ -64,3 +89,11 @@ register("E5_number_text", lambda s, d: table(s, d, "lineitem").select(number_te
 register("E6_cell_text", lambda s, d: table(s, d, "orders").select("o_orderkey", cell_text(F.col("o_orderdate")).alias("day"), cell_text(F.nullif("o_orderstatus", F.lit("F"))).alias("status")),
          "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(nullif(o_orderstatus, 'F'), '-') AS status FROM orders")
 register("E9_preview", lambda s, d: table(s, d, "part").orderBy("p_partkey").limit(5), "SELECT * FROM part ORDER BY p_partkey LIMIT 5")
+_per_segment = lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+register("E4_category_text", lambda s, d: category_text(_per_segment(s, d), "c_mktsegment", "n", "segment", "customers"), """
+WITH n AS (SELECT c_mktsegment AS x, count(*) AS y FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY y DESC, x) AS k FROM n),
+a AS (SELECT count(*) AS n, sum(y) AS s, max(y) AS m, min(y) AS l, max(x) FILTER (k = 1) AS f, arg_max(x, k) AS e, string_agg(x, '、' ORDER BY k) FILTER (k <= 3) AS t, sum(y) FILTER (k <= 3) AS h FROM r)
+SELECT '共' || n || '个segment，customers合计' || s || '。' || f || '最多，为' || m || '，占' || printf('%.1f%%', 100.0::DOUBLE * m / s) || '；' || e || '最少，为' || l || '。前3个segment（' || t || '）合计占' || printf('%.1f%%', 100.0::DOUBLE * h / s) || '。'
+  || CASE WHEN m / l >= 1.05 THEN f || '约为' || e || '的' || printf('%.1f倍', m::DOUBLE / l) || '，segment间' || CASE WHEN round(m::DOUBLE / l, 1) >= 5 THEN '差异较大' WHEN round(m::DOUBLE / l, 1) >= 2 THEN '差异较明显' ELSE '存在一定差异' END || '。' ELSE '' END AS text FROM a""")
+register("E4_mean_text", lambda s, d: category_text(table(s, d, "nation").groupBy("n_regionkey").agg(F.max("n_nationkey").alias("v")), "n_regionkey", "v", "region", "largest key", additive=False),
+         "WITH n AS (SELECT n_regionkey AS x, max(n_nationkey) AS y FROM nation GROUP BY 1) SELECT '共' || count(*) || '个region，largest key均值' || CASE WHEN avg(y) = floor(avg(y)) THEN printf('%.0f', avg(y)) ELSE rtrim(rtrim(printf('%.2f', avg(y)), '0'), '.') END || '。' || arg_max(x, y * 100 - x) || '最高，为' || max(y) || '；' || arg_min(x, y * 100 - x) || '最低，为' || min(y) || '。' AS text FROM n")
