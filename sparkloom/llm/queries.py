@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, licenses, mixing, neighbours, packing, substrings, token_counts, topk, toxicity
+from . import extraction, jaccard, language_model, licenses, mixing, neighbours, packing, substrings, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +56,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup_substrings(_table(spark, sf_dir, "documents")))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    scored = language_model.score_texts(docs, learn)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_best_fit_packing, op3_exact_top_k, op4_license_scan, op5_toxicity, op6_html_extraction,
-        op7_token_counts, op8_source_mixing, op9_jaccard_join, op10_substring_dedup,
+        op7_token_counts, op8_source_mixing, op9_jaccard_join, op10_substring_dedup, op11_language_model,
     )
 }
 
