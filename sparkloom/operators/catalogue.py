@@ -104,8 +104,8 @@ def _profiled(s: SparkSession, d: str) -> DataFrame:
 
 
 _T = "WITH t AS (SELECT p_partkey // 8 AS k, max(p_partkey % 8) AS top, bool_or(p_partkey % 8 = 0 AND p_partkey % 7 > 0) AS known FROM part GROUP BY 1) "
-register("D18_sample_queries", lambda s, d: sample_queries(_catalogue(s, d), _profiled(s, d), "src").filter(F.col("table") != F.lit("t0")).select("sample_id", "table", "question", "sql"), _T + """
-, n AS (SELECT k, CASE WHEN known AND k % 3 = 0 THEN 'c2' WHEN known AND k % 3 = 1 THEN 'c7' END AS tm FROM t WHERE top = 7 AND NOT (known AND k % 5 = 0) AND k > 0),
+register("D18_sample_queries", lambda s, d: sample_queries(_catalogue(s, d), _profiled(s, d), "src").select("sample_id", "table", "question", "sql"), _T + """
+, n AS (SELECT k, CASE WHEN known AND k % 3 = 0 THEN 'c2' WHEN known AND k % 3 = 1 THEN 'c7' END AS tm FROM t WHERE top = 7 AND NOT (known AND k % 5 = 0)),
 q AS (SELECT 't' || k AS t, '查看' || CASE WHEN k % 2 = 0 THEN '表' ELSE 't' || k END || CASE WHEN tm IS NULL THEN '的5条示例记录' ELSE '最近5条记录' END AS question,
   'SELECT ' || CASE WHEN tm = 'c2' THEN '`c2`, `c7`, `c6`, `c5`, `c4`' ELSE '`c7`, `c6`, `c5`, `c4`, `c3`' END || ' FROM `t' || k || '`' || CASE WHEN tm IS NULL THEN '' ELSE ' ORDER BY `' || tm || '` DESC' END || ' LIMIT 5' AS sql FROM n)
 SELECT 'auto_' || substr(sha256('src|' || question || '|' || sql), 1, 24) AS sample_id, t AS "table", question, sql FROM q""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import last_before
 from ..registry import register
 from ..sources.tables import table
 
@@ -37,11 +38,16 @@ def slim(charts: DataFrame) -> DataFrame:
 
 def rehydrate(charts: DataFrame, data: DataFrame) -> DataFrame:
     """Stored charts (message, place) with the rows of the last frame of their message, before or at their place, that isn't
-    empty; null if there is none. data: message, place, rows."""
-    last = data.filter(F.size("rows") > 0).select("message", F.col("place").alias("_at"), F.col("rows").alias("_rows"))
-    both = charts.withColumn("_id", F.struct("message", "place")).join(last, "message", "left").withColumn("_rows", F.when(F.col("_at") <= F.col("place"), F.col("_rows")))
-    best = both.groupBy("_id").agg(F.max_by("_rows", F.when(F.col("_rows").isNotNull(), F.col("_at"))).alias("rows"))
-    return charts.withColumn("_id", F.struct("message", "place")).join(best, "_id").drop("_id")
+    empty; null if there is none. data: message, place, rows.
+
+    An as-of join: frames and charts are one order by message and place, along which the last frame's place is carried;
+    no chart meets more than one frame."""
+    frames = data.filter((F.size("rows") > 0) & F.col("message").isNotNull()).groupBy("message", "place").agg(F.min_by("rows", F.to_json("rows")).alias("rows"))
+    marks = frames.select("message", "place", F.lit(0).alias("_kind"), F.col("place").alias("_frame"))
+    asked = charts.select("message", "place").distinct().select("message", "place", F.lit(1).alias("_kind"), F.lit(None).cast(frames.schema["place"].dataType).alias("_frame"))
+    found = last_before(marks.unionByName(asked), ["message"], ["place", "_kind"], "_frame").filter("_kind = 1").drop("_kind")
+    held = found.join(frames.select("message", F.col("place").alias("_frame"), "rows"), ["message", "_frame"], "left").select(F.col("message").alias("_message"), F.col("place").alias("_place"), "rows")
+    return charts.join(held, charts["message"].eqNullSafe(F.col("_message")) & charts["place"].eqNullSafe(F.col("_place")), "left").drop("_message", "_place")
 
 
 def visible_text(text: Column) -> Column:
@@ -78,9 +84,9 @@ register("L15_stream_events", lambda s, d: stream_events(_lines(s, d)).select("p
 register("L15_frames", lambda s, d: frames(stream_events(_lines(s, d))).select("place", "message", F.array_join("columns", ",").alias("columns"), F.size("rows").alias("n"), F.try_element_at(F.get("rows", F.lit(0)), F.lit("a")).alias("a")),
          "SELECT event_id AS place, 'm' || event_id % 40 AS message, 'a' AS columns, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN event_id % 3 > 0 THEN event_id::VARCHAR END AS a FROM events WHERE event_id % 5 = 0")
 _charts = lambda s, d: table(s, d, "events").filter("event_id % 10 = 5").select(F.concat(F.lit("m"), (F.col("event_id") % 40).cast("string")).alias("message"), F.col("event_id").alias("place"), F.array(F.create_map(F.lit("a"), F.lit("x"))).alias("rows"))
-_frames = lambda s, d: frames(stream_events(_lines(s, d))).filter("place < 200").select("message", "place", "rows")
+_frames = lambda s, d: frames(stream_events(_lines(s, d))).select("message", "place", "rows")
 register("L14_rehydrated", lambda s, d: rehydrate(slim(_charts(s, d)), _frames(s, d)).select("message", "place", "source_rows", F.try_element_at(F.get("rows", F.lit(0)), F.lit("a")).alias("a")), """
-WITH f AS (SELECT event_id AS k FROM events WHERE event_id % 5 = 0 AND event_id % 3 > 0 AND event_id < 200), c AS (SELECT event_id AS p FROM events WHERE event_id % 10 = 5)
+WITH f AS (SELECT event_id AS k FROM events WHERE event_id % 5 = 0 AND event_id % 3 > 0), c AS (SELECT event_id AS p FROM events WHERE event_id % 10 = 5)
 SELECT 'm' || p % 40 AS message, p AS place, 1 AS source_rows, CAST(max(k) AS VARCHAR) AS a FROM c LEFT JOIN f ON k % 40 = p % 40 AND k <= p GROUP BY p""")
 _SAID = (
     'Here. <!-- chart_spec: {"type":"Bar","xField":"a","yFields":["b"]} -->', '<!--chart_spec: {"type":"pie","xField":"z","yFields":["b", "y"]}--> and <!-- chart_spec: {"type":"none"} -->', "none <!-- chart_spec: {broken -->", 'open <!-- chart_spec: {"type"', '<!-- chart_type: bar -->  x <!-- chart_spec: {"type":"star"} -->',

@@ -159,7 +159,7 @@ def _tables(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     name = F.when(F.col("p_partkey") % 50 == 0, F.col("p_name")).otherwise(F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")))
     return part.select(name.alias("table"), F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("comment"), F.col("p_type").alias("domain"),
-                       F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise("").alias("family"), "p_partkey").dropDuplicates(["table"]).drop("p_partkey")
+                       F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise("").alias("family"), "p_partkey").groupBy("table").agg(*(F.min_by(c, "p_partkey").alias(c) for c in ("comment", "domain", "family")))
 
 
 def _columns(spark: SparkSession, d: str) -> DataFrame:
@@ -174,10 +174,10 @@ _SQL = r"""
 WITH tables AS (
   SELECT DISTINCT ON ("table") * FROM (
     SELECT CASE WHEN p_partkey % 50 = 0 THEN p_name ELSE replace(p_name, ' ', '_') || '_' || p_partkey END AS "table", lower(p_type) || ' ' || p_name AS comment, p_type AS domain,
-           CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE '' END AS family, p_partkey FROM part) WHERE p_partkey % 50 <> 0
+           CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE '' END AS family, p_partkey FROM part) ORDER BY "table", p_partkey
 ), columns AS (
-  SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_partkey AS "table", unnest(['size', lower(p_brand), split_part(p_name, ' ', -1)]) AS "column",
-         unnest(['size of ' || p_name, lower(p_type), CASE WHEN p_size = 7 THEN 'small-ring' END]) AS comment FROM part WHERE p_partkey % 50 <> 0
+  SELECT DISTINCT CASE WHEN p_partkey % 50 = 0 THEN p_name ELSE replace(p_name, ' ', '_') || '_' || p_partkey END AS "table", unnest(['size', lower(p_brand), split_part(p_name, ' ', -1)]) AS "column",
+         unnest(['size of ' || p_name, lower(p_type), CASE WHEN p_size = 7 THEN 'small-ring' END]) AS comment FROM part
 ), points AS (
   SELECT "table", "column", CASE WHEN "column" = 'small ring' THEN 2850 WHEN contains('small ring', "column") OR contains("column", 'small ring') THEN 720 ELSE 0 END
        + CASE WHEN x = 'smallring' THEN 2450 WHEN contains('smallring', x) OR contains(x, 'smallring') THEN 1420 ELSE 0 END AS points, x = 'smallring' AS said
@@ -185,37 +185,45 @@ WITH tables AS (
 ), best AS (
   SELECT "table", max(points) AS points, list_slice(list("column" ORDER BY said DESC, "column"), 1, 8) AS matched FROM points WHERE points > 0 GROUP BY 1
 ), parts AS (
-  SELECT t.*, CASE WHEN contains(t."table", 'small ring') OR contains('small ring', t."table") THEN 820 ELSE 0 END AS by_name,
+  SELECT t.*, t."table" = 'small ring' AS exact, CASE WHEN t."table" = 'small ring' THEN 10000 WHEN contains(t."table", 'small ring') OR contains('small ring', t."table") THEN 820 ELSE 0 END AS by_name,
          CASE WHEN contains(replace(t.comment, ' ', ''), 'smallring') OR contains('smallring', replace(t.comment, ' ', '')) THEN 2300 ELSE 0 END AS by_comment,
          coalesce(b.points, 0) AS by_column, coalesce(b.matched, []) AS matched
   FROM tables t LEFT JOIN best b ON t."table" = b."table"
 )
 """
-_whole = lambda spark, d: _tables(spark, d).filter(F.contains("table", F.lit("_")))
-_cols = lambda spark, d: _columns(spark, d).filter(F.contains("table", F.lit("_")))
 _q = F.lit
-register("M3_table_name_points", lambda spark, d: _whole(spark, d).select("table", name_points(_q("ring_"), F.col("table")).cast("long").alias("points")),
-         _SQL + """SELECT "table", CAST(CASE WHEN "table" = 'ring_' THEN 10000 WHEN contains("table", 'ring_') THEN 820 ELSE 0 END AS BIGINT) AS points FROM tables""")
-register("M4_table_comment_points", lambda spark, d: _whole(spark, d).select("table", comment_points(_q("ECONOMY: small ring."), F.col("comment")).cast("long").alias("points")),
+register("M3_table_name_points", lambda spark, d: _tables(spark, d).select("table", name_points(_q("ring_"), F.col("table")).cast("long").alias("points")),
+         _SQL + """SELECT "table", CAST(CASE WHEN "table" = 'ring_' THEN 10000 WHEN contains("table", 'ring_') OR contains('ring_', "table") THEN 820 ELSE 0 END AS BIGINT) AS points FROM tables""")
+register("M4_table_comment_points", lambda spark, d: _tables(spark, d).select("table", comment_points(_q("ECONOMY: small ring."), F.col("comment")).cast("long").alias("points")),
          _SQL + """SELECT "table", CAST(CASE WHEN comment = 'economy small ring' THEN 3600 ELSE 0 END AS BIGINT) AS points FROM tables""")
-register("M5_best_column", lambda spark, d: best_columns(_q(_QUESTION), _cols(spark, d)).select("table", F.col("points").cast("long").alias("points"), F.array_join("matched", ",").alias("matched")),
+register("M5_best_column", lambda spark, d: best_columns(_q(_QUESTION), _columns(spark, d)).select("table", F.col("points").cast("long").alias("points"), F.array_join("matched", ",").alias("matched")),
          _SQL + """SELECT "table", CAST(points AS BIGINT) AS points, array_to_string(matched, ',') AS matched FROM best""")
-register("M6_domain_points", lambda spark, d: _whole(spark, d).select("table", domain_points(_q("a big ring"), F.col("domain"), KEYWORDS).cast("long").alias("points")),
+register("M3_exact_names", lambda spark, d: _tables(spark, d).select("table", name_points(_q(" COLD Widget "), F.col("table")).cast("long").alias("points")),
+         _SQL + """SELECT "table", CAST(CASE WHEN "table" = 'cold widget' THEN 10000 WHEN contains("table", 'cold widget') OR contains('cold widget', "table") THEN 820 ELSE 0 END AS BIGINT) AS points FROM tables""")
+register("M5_exact_columns", lambda spark, d: best_columns(_q("Ring"), _columns(spark, d)).select("table", F.col("points").cast("long").alias("points"), "exact", F.array_join("matched", ",").alias("matched")), _SQL + """
+, scored AS (
+  SELECT "table", "column", "column" = 'ring' AS exact, CASE WHEN "column" = 'ring' THEN 2850 WHEN contains("column", 'ring') OR contains('ring', "column") THEN 720 ELSE 0 END
+       + CASE WHEN x = 'ring' THEN 2450 WHEN contains(x, 'ring') OR contains('ring', x) THEN 1420 ELSE 0 END AS points, x = 'ring' AS said
+  FROM (SELECT *, replace(replace(coalesce(comment, ''), ' ', ''), '-', '') AS x FROM columns)
+)
+SELECT "table", CAST(max(points) AS BIGINT) AS points, arg_max(exact, points * 10 + exact::INT) AS exact, array_to_string(list_slice(list("column" ORDER BY exact DESC, said DESC, "column"), 1, 8), ',') AS matched
+FROM scored WHERE points > 0 GROUP BY 1""")
+register("M6_domain_points", lambda spark, d: _tables(spark, d).select("table", domain_points(_q("a big ring"), F.col("domain"), KEYWORDS).cast("long").alias("points")),
          _SQL + """SELECT "table", CAST(CASE WHEN domain = 'LARGE' THEN 6200 ELSE -2200 END AS BIGINT) AS points FROM tables""")
-register("M7_intent_points", lambda spark, d: _whole(spark, d).select("table", intent_points(_q("rings by brand and day"), F.col("table"), F.col("comment"), RULES).cast("long").alias("points")), _SQL + """
+register("M7_intent_points", lambda spark, d: _tables(spark, d).select("table", intent_points(_q("rings by brand and day"), F.col("table"), F.col("comment"), RULES).cast("long").alias("points")), _SQL + """
 SELECT "table", CAST(CASE WHEN contains("table", '_ring_') THEN 1800 ELSE 0 END - CASE WHEN starts_with("table", 'small_') THEN 600 ELSE 0 END
      + CASE WHEN starts_with(comment, 'promo') THEN 1450 ELSE 0 END AS BIGINT) AS points FROM tables""")
-register("M9_risk", lambda spark, d: _whole(spark, d).select("table", risk(F.col("family"), F.endswith("table", F.lit("1")), F.col("domain") == "PROMO", F.lit(False)).alias("risk")), _SQL + """
+register("M9_risk", lambda spark, d: _tables(spark, d).select("table", risk(F.col("family"), F.endswith("table", F.lit("1")), F.col("domain") == "PROMO", F.lit(False)).alias("risk")), _SQL + """
 SELECT "table", CASE WHEN family = '' OR "table" LIKE '%1' THEN 'low' WHEN domain = 'PROMO' THEN 'medium' ELSE 'high' END AS risk FROM tables""")
-register("M1_rank_tables", lambda spark, d: rank_tables(_whole(spark, d), _cols(spark, d), _QUESTION, KEYWORDS, RULES, top=10).withColumn("matched", F.array_join("matched", ",")), _SQL + """
-SELECT "table", CAST(greatest(score, 0) AS BIGINT) AS score, false AS exact, array_to_string(matched, ',') AS matched, CASE WHEN family = '' THEN 'low' ELSE 'high' END AS risk FROM (
+register("M1_rank_tables", lambda spark, d: rank_tables(_tables(spark, d), _columns(spark, d), _QUESTION, KEYWORDS, RULES, top=10).withColumn("matched", F.array_join("matched", ",")), _SQL + """
+SELECT "table", CAST(greatest(score, 0) AS BIGINT) AS score, exact, array_to_string(matched, ',') AS matched, CASE WHEN family = '' OR exact THEN 'low' ELSE 'high' END AS risk FROM (
   SELECT *, by_name + by_comment + by_column + CASE WHEN contains("table", '_ring_') THEN 1800 ELSE 0 END AS score FROM parts)
-WHERE score > 0 ORDER BY score DESC, length("table"), "table" LIMIT 10""")
-register("M12_context", lambda spark, d: context_text(rank_tables(_whole(spark, d), _cols(spark, d), _QUESTION, KEYWORDS, RULES, top=10), _cols(spark, d), full=3, short=2), _SQL + """
+WHERE score > 0 ORDER BY score DESC, exact DESC, length("table"), "table" LIMIT 10""")
+register("M12_context", lambda spark, d: context_text(rank_tables(_tables(spark, d), _columns(spark, d), _QUESTION, KEYWORDS, RULES, top=10), _columns(spark, d), full=3, short=2), _SQL + """
 , ranked AS (
-  SELECT *, row_number() OVER (ORDER BY score DESC, length("table"), "table") AS rank FROM (SELECT *, by_name + by_comment + by_column + CASE WHEN contains("table", '_ring_') THEN 1800 ELSE 0 END AS score FROM parts) WHERE score > 0
+  SELECT *, row_number() OVER (ORDER BY score DESC, exact DESC, length("table"), "table") AS rank FROM (SELECT *, by_name + by_comment + by_column + CASE WHEN contains("table", '_ring_') THEN 1800 ELSE 0 END AS score FROM parts) WHERE score > 0
 ), told AS (
   SELECT "table", "column", row_number() OVER (PARTITION BY "table" ORDER BY "column") AS k FROM columns
 )
-SELECT CAST(r.rank AS INTEGER) AS rank, r."table", 'table ' || r."table" || ' [' || CASE WHEN any_value(family) = '' THEN 'low' ELSE 'high' END || ']: ' || string_agg(t."column", ', ' ORDER BY t."column") AS text
+SELECT CAST(r.rank AS INTEGER) AS rank, r."table", 'table ' || r."table" || ' [' || CASE WHEN any_value(family) = '' OR bool_or(exact) THEN 'low' ELSE 'high' END || ']: ' || string_agg(t."column", ', ' ORDER BY t."column") AS text
 FROM ranked r JOIN told t ON r."table" = t."table" AND (r.rank <= 3 OR t.k <= 2) WHERE r.rank <= 10 GROUP BY 1, 2""")

@@ -174,3 +174,35 @@ def test_records_say_that_rows_are_missing(spark):
 
     held = tables.records(spark.range(5), limit=3)
     assert (held["row_count"], held["truncated"], len(held["rows"])) == (3, True, 3) and not tables.records(spark.range(3), limit=3)["truncated"]
+
+
+def test_last_frame_of_a_long_conversation(spark):
+    """One message holds nearly all rows; each chart gets the last frame that isn't empty, whatever ranges cut the order."""
+    import random
+
+    from sparkloom.operators import logs
+
+    rnd = random.Random(2)
+    frames = [("m" if k % 9 else f"n{k % 5}", k, [{"a": str(k)}] * rnd.randrange(3)) for k in rnd.sample(range(4000), 900)] + [(None, 3, [{"a": "x"}])]
+    charts = [(rnd.choice(["m", "m", "m", "n1", "n2", "gone", None]), rnd.randrange(4000)) for _ in range(300)] + [("m", 0), ("m", 0)]
+    data = spark.createDataFrame(frames, "message string, place long, rows array<map<string,string>>")
+    found = logs.rehydrate(spark.createDataFrame(charts, "message string, place long"), data).collect()
+
+    def want(message, place):
+        own = [(k, rows) for m, k, rows in frames if m is not None and m == message and k <= place and rows]
+        return max(own)[1] if own else None
+
+    assert len(found) == len(charts)
+    assert all(r["rows"] == want(r["message"], r["place"]) for r in found)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 17])
+def test_values_carried_along_an_order(spark, ranges):
+    from sparkloom.functions.ordered import last_before
+
+    rows = [(k, i, i if (i * 7 + len(k or "")) % 5 == 0 else None, "x") for k in ("a", "bb", None) for i in range(60)]
+    found = last_before(spark.createDataFrame(rows, "k string, i long, v long, other string"), ["k"], ["i"], "v", ranges).collect()
+    want = {}
+    for k, i, v, _ in rows:
+        want[k, i] = v if v is not None else want.get((k, i - 1))
+    assert {(r["k"], r["i"]): r["v"] for r in found} == want and len(found) == len(rows)
