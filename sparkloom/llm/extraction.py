@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
-UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video map select textarea button".split())
+UNSEEN = frozenset("head script style noscript template iframe svg map select textarea button annotation annotation-xml".split())
 #: Elements that hold what surrounds an article.
 AROUND = frozenset("nav footer aside form menu dialog".split())
 #: Elements with raw content, which goes on up to their own end.
@@ -24,12 +24,21 @@ _IMPLIED = frozenset("p li option tr td th dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run inside a block; any other element ends a block.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Words in a class, id or role that name such surroundings.
 AROUND_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that name reader comments; what is named so is left out whatever it holds but main.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Those of the words that no wrapper of an article has.
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner consent cookie cookies gdpr newsletter popup promo promoted sponsor sponsored".split())
+#: Parts that go with such a word in one name, before it or behind it. Other compounds name a subject.
+COMPANIONS = frozenset(
+    "area aria articles bar block body bottom box button buttons center class column container content count entry feed form global group head header holder icon icons inner item items label left link links list listing local main message module outer page panel placeholder pod post posts primary reading region right row section secondary site slot stories strip tab thread title top unit user widget widgets wrap wrapper zone".split()
+)
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be been but by can do for from had has have he her his how i if in into is it its more no not of on one or our out she so some that the their them then there they this to up was we were what when which who will with would you your "
@@ -64,23 +73,36 @@ class Block:
     link_density: float
     stop_density: float
     in_article: bool
+    named: int = -1  # the outermost element around it that only its name tells to be surroundings
     kind: str = field(default="")
 
 
-def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in UNSEEN or tag in AROUND or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("body", "html", "main", "article"):
-        return False
-    if _HINT.search(attributes) and _hidden(attributes):
-        return True
+def _named(attributes: str, words: frozenset) -> bool:
+    """Whether a class, id or role is one of the words, or a compound of one with its usual companions, or with numbers."""
     for m in _NAMES.finditer(attributes):
-        tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower().split()
-        if any(re.split(r"[_\-:]", t, maxsplit=1)[0] in AROUND_WORDS for t in tokens):
-            return True
+        for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower().split():
+            parts = [x for x in re.split(r"[_\-:]+", token) if x]
+            own = sum(x in words for x in parts)
+            if own and (parts[0] in words or parts[-1] in words) and all(x in words or x in COMPANIONS or x in AROUND_WORDS or x.isdigit() for x in parts):
+                return True
     return False
 
 
+def _surrounds(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element is left out: tag (its kind, or it is hidden), comment or name (of a class, id or role); else ""."""
+    if tag in UNSEEN or tag in AROUND or tag == "header" and not in_article:
+        return "tag"
+    if not attributes or tag in ("body", "html", "main"):
+        return ""
+    if _HINT.search(attributes) and _hidden(attributes):
+        return "" if tag == "article" else "tag"
+    if _named(attributes, COMMENT_WORDS):
+        return "comment"
+    if tag == "article" or not _named(attributes, AROUND_WORDS):
+        return ""
+    return "tag" if _named(attributes, NEVER_WORDS) else "name"
+
+
 def _hidden(attributes: str) -> bool:
     """Whether an element's attributes hide it: hidden, aria-hidden="true" or a style with display: none."""
     for m in _ATTRIBUTE.finditer(attributes):
@@ -162,7 +184,7 @@ def _holders(page: str) -> dict[int, str]:
                 continue
             if tag in _IMPLIED and stack and stack[-1][0] == tag:
                 opened[stack.pop()[0]] -= 1
-            if tag in ("article", "main"):
+            if tag == "main" or tag == "article" and not _named(attributes, COMMENT_WORDS):
                 for _, k in reversed(stack):
                     if found.get(k) in (tag, "main"):
                         break
@@ -178,11 +200,14 @@ def _holders(page: str) -> dict[int, str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in page order, without what stands in elements that surround an article."""
+    """The page's blocks of text in page order, without what stands in elements that surround an article.
+
+    Blocks in elements that only their name tells to be such are marked with the outermost one."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it is left out, whether it is an article
     parts: list[tuple[str, bool]] = []
     left_out = articles = links = 0
+    named, depth = -1, -1  # the outermost element left out by name, and its place on the stack
     holders: dict[int, str] | None = None
 
     def end() -> None:
@@ -191,7 +216,7 @@ def blocks(page: str) -> list[Block]:
             linked = len(" ".join(entities.unescape("".join(x for x, a in parts if a)).split()))
             words = _WORD.findall(text.lower())
             stops = sum(w in STOP_WORDS for w in words)
-            found.append(Block(text, linked / len(text), stops / len(words) if words else 0.0, articles > 0))
+            found.append(Block(text, linked / len(text), stops / len(words) if words else 0.0, articles > 0, named))
         parts.clear()
 
     tags, opened, at = _Tags(page), Counter(), 0
@@ -226,10 +251,17 @@ def blocks(page: str) -> list[Block]:
                 opened[stack.pop()[0]] -= 1
                 left_out -= stack_left
                 articles -= stack_article
-            out, article = _surrounds(tag, attributes, articles > 0), tag in ("article", "main")
-            if out and not left_out and tag not in UNSEEN:  # an article in an aside is not the page's
+                if len(stack) <= depth:
+                    named, depth = -1, -1
+            why = _surrounds(tag, attributes, articles > 0)
+            out, article = why != "", tag == "main" or tag == "article" and why != "comment"
+            if out and not left_out and tag not in UNSEEN:  # an article in an aside, or among comments, is not the page's
                 holders = _holders(page) if holders is None else holders
-                out = holders.get(start) not in (("main",) if tag in ("nav", "aside", "footer", "menu") else ("main", "article"))
+                out = holders.get(start) not in (("main",) if tag in ("nav", "aside", "footer", "menu") or why == "comment" else ("main", "article"))
+            if out and why == "name":
+                out = False  # its blocks are marked
+                if named < 0:
+                    named, depth = start, len(stack)
             stack.append((tag, out, article))
             opened[tag] += 1
             left_out += out
@@ -242,6 +274,8 @@ def blocks(page: str) -> list[Block]:
                 left_out -= out
                 articles -= article
                 links -= was == "a"
+                if len(stack) <= depth:
+                    named, depth = -1, -1
                 if was == tag:
                     break
     if not left_out:
@@ -256,8 +290,10 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
     good; elsewhere it needs many stop words. The rest, mostly short, is undecided. Second pass: an undecided block takes
     the label of the nearest decided block; between a good and a bad one as near it is good inside an article only.
 
-    Where articles hold most of the text that the first pass finds good, only their blocks count. Where it finds none,
-    length and link density decide: blocks with few links that are long enough or in an article are good, or else all with few links.
+    Blocks of elements that only their name tells to be surroundings go, but for an element that holds three quarters of
+    the text that the first pass finds good, on a page without an article elsewhere: its name tells a subject, or the whole page. Where articles hold most of that text, only
+    their blocks count. Where there is none, length and link density decide: blocks with few links that are long enough or
+    in an article are good, or else all with few links.
     """
     for b in found:
         long, some = len(b.text) >= rules.long_chars, b.stop_density >= rules.few_stop_words
@@ -269,6 +305,12 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             b.kind = "good"
         elif not b.in_article and long and not some:
             b.kind = "bad"
+    good = Counter()
+    for b in found:
+        good[b.named] += len(b.text) * (b.kind == "good")
+    most = max(good, key=lambda k: (good[k], -k), default=-1)
+    wraps = 4 * good[most] > 3 * sum(good.values()) and not any(b.in_article and b.named != most for b in found)
+    found = [b for b in found if b.named < 0 or wraps and b.named == most]
     if not any(b.kind == "good" for b in found):
         few = [b for b in found if b.link_density <= rules.max_link_density]
         for b in [b for b in few if b.in_article or len(b.text) >= rules.short_chars] or few:

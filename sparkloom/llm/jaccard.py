@@ -121,13 +121,13 @@ def _by_fragment(flat: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tup
 def _shared(table: pa.Table) -> pa.Table:
     """Of one fragment: per part of sets, how many n-grams of each of its sets are in a different set too.
 
-    Sets are told apart by 32 bits here. What came twice with the same n-grams is one set that several tasks sent.
+    Sets are told apart by the 64 bits of their first key. What came twice is one set that several tasks sent.
     """
-    owners = [np.frombuffer(x, dtype="<u4") for x in table.column("owners").to_pylist()]
+    owners = [np.frombuffer(x, dtype="<i8") for x in table.column("owners").to_pylist()]
     owner, count = np.concatenate(owners), np.concatenate(list(map(unpack, table.column("counts").to_pylist())))
     flat = np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("grams").to_pylist()])
     starts = np.cumsum(count) - count
-    _, once = np.unique(mix((owner.astype(np.uint64) << np.uint64(32)) + flat[starts]) + count.astype(np.uint64), return_index=True)
+    _, once = np.unique(owner, return_index=True)
     kept = np.zeros(len(owner), dtype=bool)
     kept[once] = True
     found, times = np.unique(flat[np.repeat(kept, count)], return_counts=True)
@@ -145,11 +145,11 @@ def _alive(percent: int):
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("owners", "sums", "keys"))))
         key, size = next((np.frombuffer(keys, dtype="<i8"), unpack(sums)) for _, sums, keys in rows if keys is not None)
-        names, where = np.unique(key.astype(np.uint32), return_inverse=True)
+        names, where = np.unique(key, return_inverse=True)
         total = np.zeros(len(names), dtype=np.int64)
         for owners, sums, keys in rows:
             if keys is None and owners:
-                total[np.searchsorted(names, np.frombuffer(owners, dtype="<u4"))] += unpack(sums)
+                total[np.searchsorted(names, np.frombuffer(owners, dtype="<i8"))] += unpack(sums)
         return pa.table({"k1": pa.array(key[100 * total[where] >= percent * size])})
 
     return run
@@ -390,7 +390,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     3. Lists with several components are searched for further pairs. Sizes and parity bitmaps, which bound the overlap
        from above, leave few. All pairs left are verified: partial overlaps are counted in each fragment and summed.
     Sets that are in one component are not compared further, so a large group of near copies costs a row for each. The
-    result loses no link and makes none: only the hashes of n-grams (64 bits) and of sets (128 bits) stand for words.
+    result loses no link and makes none: only hashes stand for words, of n-grams (64 bits) and of sets (128 bits; step 1 tells
+    sets apart by 64 of these).
 
     Null, empty and wordless texts have no n-grams and link with nothing. Rows that repeat a doc_id are compared each, by
     their own texts. Rows without doc_id get no component. An empty table gives no rows.
@@ -427,7 +428,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out = [{"part": name, "fragment": -1, "keys": key.tobytes(), "counts": pack(size)}]
                 for f, held, own, count in _by_fragment(flat, owner, bits):
                     short = ((held << np.uint64(bits)) >> np.uint64(32)).astype("<u4")  # the fragment is known by its upper bits
-                    out.append({"part": name, "fragment": f, "owners": key[own].astype("<u4").tobytes(), "counts": pack(count), "grams": short.tobytes()})
+                    out.append({"part": name, "fragment": f, "owners": key[own].tobytes(), "counts": pack(count), "grams": short.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     both = written(source.mapInArrow(cut, kinds), "sets")

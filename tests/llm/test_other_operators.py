@@ -195,3 +195,55 @@ def test_oracles_name_columns_of_their_queries(spark):
     want = sorted(con.execute(sql["op3_exact_top_k"]).fetchall())
     got = QUERIES["op3_exact_top_k"](spark, SF).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["social-science", "search-engines-explained", "promotion-of-health", "menu-recipes", "notice-of-decision"])
+def test_names_of_subjects_are_no_surroundings(name):
+    for own in (f'class="{name}"', f'id="{name}"', 'id="ad-hoc-analysis"'):
+        assert extraction.main_text(f"<body><nav><a href=x>Home</a></nav><div {own}><p>{TEXT}</p></div></body>") == TEXT.strip()
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "sidebar", "sidebar-right", "site-footer", "main-nav", "cookie-notice", "ad", "ad-1", "adBanner", "related-posts", "social-share", "menu-item"])
+def test_names_of_surroundings(name):
+    body = f"<div><p>{TEXT} {TEXT}</p></div>"
+    assert extraction.main_text(f'<body>{body}<div class="{name}"><p>{TEXT}</p></div></body>') == f"{TEXT} {TEXT}".strip()
+
+
+def test_an_element_with_most_of_the_text_stays():
+    assert extraction.main_text(f'<body><div>Home</div><div class="sidebar"><p>{TEXT}</p></div></body>').endswith(TEXT.strip())
+    assert extraction.main_text(f'<body><article><p>Short one.</p></article><div class="sidebar"><p>{TEXT}</p></div></body>') == "Short one."
+    assert TEXT not in extraction.main_text(f'<body><div>Home</div><div class="ad"><p>{TEXT}</p></div></body>')
+
+
+@pytest.mark.parametrize("comments", [
+    '<section id="comments"><article class="comment"><p>{}</p></article></section>', '<section class="comments-area"><article><p>{}</p></article></section>',
+    '<article class="comment"><p>{}</p></article>', '<div class="respond"><p>{}</p></div>', '<ol class="comment-list"><li><article><p>{}</p></article></li></ol>'])
+def test_comments_are_left_out(comments):
+    said = comments.format(TEXT + " says a reader")
+    for page in (f"<main><p>{TEXT}</p></main>{said}", f"<article><p>{TEXT}</p></article>{said}", f"<div><p>{TEXT}</p></div>{said}", f"<article><p>{TEXT}</p>{said}</article>"):
+        assert extraction.main_text(f"<body>{page}</body>") == TEXT.strip()
+
+
+def test_formulas_and_fallbacks_stay():
+    formula = "<math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a+b</annotation></math>"
+    assert extraction.main_text(f"<body><article><p>Here {formula} stands. {TEXT}</p></article></body>") == f"Here a+b stands. {TEXT}".strip()
+    assert "A table of trees." in extraction.main_text(f"<body><article><p>{TEXT}</p><object data=x><p>A table of trees.</p></object><p>{TEXT}</p></article></body>")
+
+
+def test_pages_of_parts(spark):
+    """Pages put together from the parts of given pages: what is known to be the article comes out, and nothing else."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect() if r["html"]]
+    menus, articles, feet = ([m[0] for p in pages if (m := re.search(rf"<{t}>.*?</{t}>", p, re.S))] for t in ("nav", "article", "footer"))
+    plain = lambda x: extraction.main_text(f"<body>{x}</body>")
+    for k, own in enumerate(articles):
+        menu, foot = menus[k % len(menus)], feet[-1 - k % len(feet)]
+        other = re.sub("article>", "div>", articles[k - 1])
+        for page in (f"{menu}{own}{foot}", f'<div class="page-wrapper">{menu}<div class="content">{own}</div><div class="comments">{other}</div>{foot}</div>', f'{menu}<aside>{other}</aside>{own}<div class="related-posts">{other}</div>'):
+            assert plain(page) == plain(own) != ""
+
+
+def test_no_pages(spark):
+    none = extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]

@@ -112,6 +112,20 @@ def test_groups_of_text_ids(spark):
     assert {(r["doc_id"], r["component_id"]) for r in found} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
+@pytest.mark.parametrize("second", [7, (5 << 32) + 7, -1])
+def test_sets_with_like_names_are_two(second):
+    """Two sets of 100 n-grams that differ in one share 99 each, whatever of their names is equal; one sent twice shares none."""
+    import pyarrow as pa
+
+    first, grams = (3 << 32) + 7, np.arange(100, 200)
+    both = [(first, grams), (second, np.r_[grams[:-1], 500])]
+    row = lambda part, name, g: {"part": part, "owners": np.array([name], dtype="<i8").tobytes(), "counts": jaccard.pack(np.array([100])), "grams": g.astype("<u4").tobytes()}
+    found = jaccard._shared(pa.Table.from_pylist([row(k, *x) for k, x in enumerate(both)]))
+    assert [jaccard.unpack(x).tolist() for x in found.column("sums").to_pylist()] == [[99], [99]]
+    twice = jaccard._shared(pa.Table.from_pylist([row(k, *both[0]) for k in range(2)]))
+    assert [len(x) for x in twice.column("owners").to_pylist()] == [0, 0]
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(5)
     for n in [*range(1, 40), 150, 400, 2000]:
