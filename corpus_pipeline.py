@@ -24,19 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
-def _in_files(docs: DataFrame) -> DataFrame:
-    """docs, if each scan of it gives its rows the same places, as a table of files does; else a written copy."""
-    plan = docs._jdf.queryExecution().analyzed()
-    return docs if plan.getClass().getSimpleName() == "LogicalRelation" else written(docs.select(*COLUMNS), "documents")
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the least doc_id, one without doc_id last. Five words and a similarity of 0.8.
 
-    Rows are told apart by their place in the files, which each scan gives alike, so those that share or lack a doc_id are
-    compared too. Texts without words have nothing to compare and stay.
+    Rows are numbered once, in a table that is written, so those that share or lack a doc_id are compared too, and a number
+    is the same row's whatever executors read it. Texts without words have nothing to compare and stay.
     """
-    rows = _in_files(docs).select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard.jaccard_groups(rows.select("_row", "text"), doc_id="_row", rule=jaccard.Rule(n=5, percent=80)).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_row")
     kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first).select("_row")
