@@ -178,6 +178,33 @@ def test_pipeline_stages(spark):
     assert ends.filter("n <> m + 1").count() == 0 and ends.count() == mixed.count()
 
 
+def test_near_copies_whatever_the_splits_of_a_scan(spark, tmp_path):
+    """The number of cores changes between the scans: the same rows stay."""
+    text = lambda k: " ".join(f"w{(k * 7 + i) % 997}" for i in range(40))
+    rows = [(None if k % 3 else k, text(k // 4), "en", "s", 1) for k in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).write.parquet(path)
+    kept = []
+    for before, after in (("1", "16"), ("16", "1")):
+        spark.conf.set("spark.sql.files.minPartitionNum", before)
+        found = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), SF)
+        spark.conf.set("spark.sql.files.minPartitionNum", after)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", after)
+        kept.append(sorted((r["text"], r["doc_id"] or -1) for r in found.collect()))
+    for name in ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism"):
+        spark.conf.unset(name)
+    assert kept[0] == kept[1] and [t for t, _ in kept[0]] == sorted({r[1] for r in rows})
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+
+
 def test_near_copies_leave_one_row_of_a_group(spark):
     base = " ".join(f"word{k}" for k in range(60))
     rows = [(3, base), (3, base), (None, f"{base} end"), (2, base), (None, "other words that stand alone in here"), (None, "other words that stand alone in here"), (9, "x y z"), (9, "a b c"), (5, None), (5, None)]
