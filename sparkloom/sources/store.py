@@ -1,4 +1,4 @@
-"""The shared folder for checkpoints."""
+"""The shared folder, for checkpoints and what a job writes for itself."""
 
 from __future__ import annotations
 
@@ -13,3 +13,9 @@ def ensure_checkpoint(spark: SparkSession) -> None:
         if not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see."""
+    ensure_checkpoint(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
