@@ -12,6 +12,8 @@ from ..functions.sqltext import plain
 
 #: Verbs that no text may hold as a word.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "COMMENT", "MERGE")
+#: Groups of built-in functions that no text may call: they run code, read the session or its files, or raise errors.
+OUTSIDE = frozenset(("misc_funcs", "table_funcs"))
 #: Beginnings of the names of system tables.
 SYSTEM = ("pg_", "information_schema", "mysql.", "performance_schema")
 
@@ -74,6 +76,30 @@ def _relations(plan) -> list[str]:
     return sorted(set(names))
 
 
+def _functions(spark: SparkSession, plan, allowed: set[str]) -> list[str]:
+    """Functions that a plan may not call: what is no built-in, those of the groups OUTSIDE, and table functions other than
+    generators, which only spread given values. allowed: names that may be called all the same."""
+    jvm = spark._jvm
+    builtin, name = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin(), jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+
+    def group(parts: list[str]) -> str:
+        info = builtin.lookupFunction(name(parts[-1])) if len(parts) == 1 else None
+        return info.get().getGroup() if info is not None and info.isDefined() else "none"
+
+    called = {}
+    for e in _expressions(plan):
+        if _kind(e) in ("UnresolvedFunction", "UnresolvedGenerator"):
+            own = _each(e.nameParts()) if _kind(e) == "UnresolvedFunction" else e.name().unquotedString().split(".")
+            called[".".join(own)] = group(own)
+    wrong = {n for n, g in called.items() if g == "none" or g in OUTSIDE}
+    for node in _nodes(plan):
+        if "TableValuedFunction" in _kind(node):
+            own = _each(node.name())
+            if group(own) != "generator_funcs":
+                wrong.add(".".join(own))
+    return sorted(n for n in wrong if n.lower() not in {a.lower() for a in allowed})
+
+
 def _own_names(plan) -> set[str]:
     """Names of common table expressions."""
     return {_each(n.cteRelations())[i]._1().lower() for n in _nodes(plan) if _kind(n) == "UnresolvedWith" for i in range(n.cteRelations().size())}
@@ -168,14 +194,15 @@ class Ban:
         return bool(re.search(self.question, re.sub(r"\s+", "", question))) and (bool(used) and used <= own if self.alone else bool(used & own))
 
 
-def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candidates: set[str] | None = None, half_open: set[str] = frozenset(), wildcards: bool = False, question: str = "", bans: tuple[Ban, ...] = ()) -> Findings:
+def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candidates: set[str] | None = None, half_open: set[str] = frozenset(), wildcards: bool = False, question: str = "", bans: tuple[Ban, ...] = (), functions: set[str] = frozenset()) -> Findings:
     """Findings on a text. The text that was checked runs unchanged; findings hold its normal form.
 
     tables: names that may be read (default: the session's views). candidates: tables that the question was about; others
     give a warning. half_open: time columns whose ranges must end with <, so no <= and no BETWEEN. wildcards: whether * may
     stand for columns; count(*) always may. Multiplication is no wildcard here, as it is read from the parsed plan. tables
     may be given with their schemas: a name without one that two schemas have is ambiguous. bans: business rules that hold
-    for the question.
+    for the question. functions: names that may be called beside Spark's plain built-ins: none that runs code, reads the
+    session or its files, none that a user has registered, and no table function that makes rows of its own.
     """
     text = plain(sql)
     found = Findings(text)
@@ -206,6 +233,7 @@ def check(spark: SparkSession, sql: str, tables: set[str] | None = None, candida
             found.errors.append(f"unknown table: {n}")
         elif len(full) > 1 and low not in known:
             found.errors.append(f"ambiguous table: {n}")
+    found.errors += [f"function not allowed: {n}" for n in _functions(spark, plan, set(functions))]
     if not wildcards and _stars(plan):
         found.errors.append("* is not allowed")
     found.errors += [f"time range of {c} must be half-open" for c in sorted(_closed_ranges(plan, set(half_open)))]

@@ -73,3 +73,24 @@ def test_business_rules(spark):
     assert guard.check(spark, "SELECT id FROM t", question="trace it", bans=bans).errors == ["traces need more than t"]
     assert guard.check(spark, "SELECT t.id FROM t JOIN u ON t.id = u.id", question="trace it", bans=bans).passed
     assert guard.check(spark, "SELECT id FROM u", question="which ones", bans=bans).passed
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') AS x FROM t", "SELECT reflect('java.lang.System', 'nanoTime') AS x FROM t", "SELECT id FROM range(5)", "SELECT id FROM t WHERE id IN (SELECT id FROM range(5))",
+    "SELECT input_file_name() AS x FROM t", "SELECT current_user() AS x FROM t", "SELECT id FROM t WHERE raise_error('x') IS NULL", "SELECT mine(id) AS x FROM t", "SELECT max(reflect('java.lang.System', 'nanoTime')) AS x FROM t",
+    "SELECT id FROM t ORDER BY try_reflect('java.lang.System', 'nanoTime')", "SELECT word FROM sql_keywords() k(word, reserved)", "WITH c AS (SELECT version() AS v FROM t) SELECT v FROM c", "SELECT db.f(id) AS x FROM t"])
+def test_functions_that_reach_outside(spark, sql):
+    spark.udf.register("mine", lambda x: x)
+    assert [e for e in guard.check(spark, sql).errors if e.startswith("function not allowed")], guard.check(spark, sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT avg(id) AS a, count(*) AS n, round(max(value), 3) AS m FROM t", "SELECT coalesce(id, 0) AS a, date_trunc('day', current_date()) AS d FROM t", "SELECT x FROM t LATERAL VIEW explode(array(id, value)) v AS x",
+    "SELECT v.x FROM t, LATERAL explode(array(t.id, t.value)) v(x)", "SELECT CASE WHEN id BETWEEN 1 AND 3 THEN 'a' ELSE lower('B') END AS c FROM t", "SELECT id FROM t WHERE id IN (SELECT id FROM u WHERE abs(id) > 0)", "SELECT row_number() OVER (ORDER BY id) AS r FROM t"])
+def test_plain_functions(spark, sql):
+    assert guard.check(spark, sql).passed, guard.check(spark, sql).errors
+
+
+def test_functions_that_are_allowed_by_name(spark):
+    spark.udf.register("mine", lambda x: x)
+    assert guard.check(spark, "SELECT mine(id) AS x FROM t", functions={"MINE"}).passed
