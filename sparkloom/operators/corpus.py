@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import register
+from ..sources.store import shared_folder
 from ..sources.tables import table
+from ..sources.vectors import VectorStore
 
 #: States of a candidate and those that may follow.
 STATES = {
@@ -286,9 +290,21 @@ def _memory(s, d):
     return similar(e.filter("vec_id <> 7"), query, 10, 0.1).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-register("K1_memory_search", _memory, """
+MEMORY_SQL = """
 WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id = 7), c AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.e) AS cosine FROM embeddings, q WHERE vec_id <> 7)
-SELECT vec_id, round(cosine, 6) AS cosine FROM c WHERE cosine >= 0.1 ORDER BY c.cosine DESC, vec_id LIMIT 10""")
+SELECT vec_id, round(cosine, 6) AS cosine FROM c WHERE cosine >= 0.1 ORDER BY c.cosine DESC, vec_id LIMIT 10"""
+register("K1_memory_search", _memory, MEMORY_SQL)
+
+
+def _stored(s, d):
+    """The same search through a store of all vectors: the cells, codes and vectors that may count, and exactly."""
+    e = table(s, d, "embeddings")
+    query = e.filter("vec_id = 7").select("embedding").first()[0]  # one vector
+    store = VectorStore.create(e.filter("vec_id <> 7"), f"{shared_folder(s)}/sparkloom-vectors/{uuid.uuid4().hex}")
+    return store.search(query, 10, 0.1).select(F.col("key").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
+register("K1_stored_search", _stored, MEMORY_SQL)
 register("K2_examples", lambda s, d: table(s, d, "part").filter("p_type = 'SMALL'").orderBy(F.col("p_name") != "blue bolt", F.desc("p_retailprice"), "p_partkey").limit(5).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' ORDER BY p_name <> 'blue bolt', p_retailprice DESC, p_partkey LIMIT 5")
 register("K3_record_id", lambda s, d: table(s, d, "part").select("p_partkey", record_id(F.lit("src"), F.col("p_brand"), F.col("p_name")).alias("id")), "SELECT p_partkey, concat('b5-', sha256(concat('src|', p_brand, '|', p_name))) AS id FROM part")
 _secrets = lambda s, d: table(s, d, "part").select(
