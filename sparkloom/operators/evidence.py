@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import register
+from ..sources.store import ensure_checkpoint
 from ..sources.tables import table
 from .scoring import _EDGES, _profiles, duplicates, groups, mirrors, obsolete, pairs, score
 
@@ -63,11 +64,13 @@ def proposals(profiles: DataFrame) -> DataFrame:
 
     Each table is scored and decided by itself. In a group, active backups of other members stand by first; of the active
     ones left, those that duplicate a better scored one do too. A hint tells members whose data is older than that of
-    their group; it changes nothing. Needs what score, pairs, duplicates, mirrors and obsolete need."""
-    scored, edges = score(profiles), pairs(profiles)
+    their group; it changes nothing. Needs what score, pairs, duplicates, mirrors and obsolete need. Scores and edges are made
+    once, and cut from what they came from."""
+    ensure_checkpoint(profiles.sparkSession)
+    scored, edges = score(profiles).checkpoint(), pairs(profiles).checkpoint()
     roots = groups(edges)
     rooted = scored.join(roots, "table", "left")
-    within = mirrors(profiles, edges).join(roots.toDF("mirror", "_a"), "mirror").join(roots.toDF("of", "_b"), "of").filter("_a = _b")
+    within = mirrors(scored, edges).join(roots.toDF("mirror", "_a"), "mirror").join(roots.toDF("of", "_b"), "of").filter("_a = _b")
     mirrored = within.join(scored.select(F.col("table").alias("mirror"), "decision"), "mirror").filter("decision = 'active'").select(F.col("mirror").alias("table")).distinct().withColumn("_mirror", F.lit(True))
     left = rooted.filter("decision = 'active' AND root IS NOT NULL").join(mirrored, "table", "left_anti")
     twice = duplicates(left).join(roots.toDF("kept", "_a"), "kept").join(roots.toDF("dropped", "_b"), "dropped").filter("_a = _b").select(F.col("dropped").alias("table")).distinct().withColumn("_twice", F.lit(True))

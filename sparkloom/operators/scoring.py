@@ -13,6 +13,10 @@ from ..sources.tables import table
 TIME_ROLES = ("事实表", "日志表")
 #: Marks of backups, as parts of a name in Chinese and as words of it in English.
 BACKUP_PARTS, BACKUP_WORDS = ("历史", "备份", "临时", "旧"), ("old", "backup", "copy", "tmp", "bak")
+#: Parts of names that tell what a table is for, or of what time its rows are.
+ROLE_MARKS = ("info", "records", "standard", "threshold", "waterlevel", "setting", "year", "month", "day", "hour")
+#: The least volume points of a plain time series of a business, and the least length of a group's name.
+VOLUME_FLOOR, NAME_LENGTH = 12.0, 6
 ACTIVE_SCORE, PENDING_SCORE, GROUP_CONFIDENCE, ACTIVE_CONFIDENCE = 80.0, 60.0, 0.55, 0.55
 
 
@@ -43,14 +47,19 @@ def score(profiles: DataFrame) -> DataFrame:
 
     Needs: table, role, queryable, rows, sampled, latest, days, primary_key, unique_key, duplicate_ratio (null: unknown),
     commented (whether the table is), comment_ratio, mostly_null (share of columns), failed, skipped, non_business.
-    A table of no time role is scored as neutral where time would count.
+    A table of no time role is scored as neutral where time would count. May have: strong (whether columns and name tell a
+    time series of the business) and sharded (whether it is a part of a numbered family): a strong series with rows that is
+    no shard, no backup, and was read without failure has VOLUME_FLOOR points of volume at least.
     """
     p = F.col
     timed, keyed = p("role").isin(*TIME_ROLES), p("primary_key") | p("unique_key")
+    may = lambda c: F.coalesce(p(c), F.lit(False)) if c in profiles.columns else F.lit(False)
+    floor = timed & may("strong") & (p("sampled") > 0) & (F.coalesce("rows", F.lit(1)) >= 1) & (p("non_business") < 0.6) & ~may("sharded") & ~backup(p("table")) & ~p("failed") & ~p("skipped")
+    lifted = (lambda x: F.when(floor, F.greatest(x, F.lit(VOLUME_FLOOR))).otherwise(x)) if "strong" in profiles.columns else (lambda x: x)
     parts = [
         bands(p("queryable"), [(8, 25), (5, 20), (3, 14), (1, 8)], 0),
         F.when(~timed | p("latest").isNotNull(), 20.0).otherwise(5.0),
-        F.when(p("rows").isNull(), F.when(p("sampled") > 0, F.when(timed, 4.0).otherwise(12.0)).otherwise(0.0)).when(~timed, F.when(p("rows") >= 1, 15.0).otherwise(0.0)).otherwise(volume_points(p("rows"))),
+        lifted(F.when(p("rows").isNull(), F.when(p("sampled") > 0, F.when(timed, 4.0).otherwise(12.0)).otherwise(0.0)).when(~timed, F.when(p("rows") >= 1, 15.0).otherwise(0.0)).otherwise(volume_points(p("rows")))),
         F.when(~timed, 10.0).when(p("days").isNull(), 0.0).otherwise(coverage_points(p("days"))),
         F.when(p("primary_key"), 5.0).otherwise(0.0) + F.when(p("unique_key"), 2.0).otherwise(0.0) + F.when(p("duplicate_ratio").isNull(), 0.0).when(p("duplicate_ratio") == 0, 3.0).otherwise(1.0),
         F.when(p("commented"), 5.0).otherwise(0.0) + F.round(5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("comment_ratio", F.lit(0.0)))), 2),
@@ -151,32 +160,53 @@ def pairs(profiles: DataFrame) -> DataFrame:
 
     A strong edge needs a jaccard of .35, or one of .15 between equal normal names: candidates share a rare column.
     """
-    p = profiles.select("table", F.array_distinct("columns").alias("columns"), "time_column", normal_name(F.col("table")).alias("_x")).filter(F.size("columns") > 0)
-    near = _sharing(p, 35).unionByName(_sharing(p.filter("_x <> ''"), 15, "_x")).distinct()
-    left = p.select(F.col("table").alias("a"), F.col("columns").alias("ca"), F.col("time_column").alias("ta"))
-    right = p.select(F.col("table").alias("b"), F.col("columns").alias("cb"), F.col("time_column").alias("tb"))
+    p = profiles.select("table", F.array_distinct("columns").alias("columns"), normal_name(F.col("time_column")).alias("_t"), normal_name(F.col("table")).alias("_x")).filter(F.size("columns") > 0)
+    near = _sharing(p.select("table", "columns"), 35).unionByName(_sharing(p.filter("_x <> ''").select("table", "columns", "_x"), 15, "_x")).distinct()
+    # names are made once a table, before the joins
+    left = p.select(F.col("table").alias("a"), F.col("columns").alias("ca"), F.col("_t").alias("ta"), F.col("_x").alias("xa"))
+    right = p.select(F.col("table").alias("b"), F.col("columns").alias("cb"), F.col("_t").alias("tb"), F.col("_x").alias("xb"))
     both = near.join(left, "a").join(right, "b")
-    time = F.when(F.coalesce(F.col("ta"), F.lit("")) == "", 0.0).when(F.coalesce(F.col("tb"), F.lit("")) == "", 0.0).when(normal_name(F.col("ta")) == normal_name(F.col("tb")), 1.0).otherwise(0.3)
-    scored = both.select("a", "b", name_similarity(F.col("a"), F.col("b")).alias("n"), jaccard(F.col("ca"), F.col("cb")).alias("jaccard"), time.alias("t"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    time = F.when(blank("ta") | blank("tb"), 0.0).when(F.col("ta") == F.col("tb"), 1.0).otherwise(0.3)
+    scored = both.select("a", "b", _likeness(F.col("xa"), F.col("xb")).alias("n"), jaccard(F.col("ca"), F.col("cb")).alias("jaccard"), time.alias("t"))
     strong = ((F.col("n") == 1) & (F.col("jaccard") >= 0.15)) | ((F.col("n") >= 0.7) & (F.col("jaccard") >= 0.35)) | ((F.col("jaccard") >= 0.7) & (F.col("t") >= 0.3))
     confidence = F.round(F.least(F.lit(1.0), 0.4 * F.col("n") + 0.4 * F.col("jaccard") + 0.2 * F.col("t")), 3)
     return scored.filter(strong).select("a", "b", confidence.alias("confidence"), F.round("jaccard", 6).alias("jaccard")).filter(F.col("confidence") >= GROUP_CONFIDENCE)
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """table, root: the least name that edges lead to. Labels spread until they rest; each round is cut from the last."""
+    """table, root: the least name that edges lead to.
+
+    Each round hooks every root to the least root that one of its tables has met, then lets it jump to where that one is
+    hooked, so a chain of tables takes rounds by the logarithm of its length. Each round is cut from the last.
+    """
     ensure_checkpoint(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.select(F.col("a").alias("table")).distinct().withColumn("root", F.col("table"))
     while True:
-        near = both.join(label, F.col("b") == F.col("table")).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(near, F.col("table") == F.col("a")).select("table", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")).checkpoint()
+        met = both.join(label, F.col("b") == F.col("table")).groupBy("a").agg(F.min("root").alias("met"))
+        seen = label.join(met, F.col("table") == F.col("a")).select("table", "root", F.least("root", "met").alias("met"))
+        hook = seen.groupBy("root").agg(F.min("met").alias("to"))
+        jump = hook.join(hook.select(F.col("root").alias("to"), F.col("to").alias("further")), "to", "left").select("root", F.coalesce("further", "to").alias("to"))
+        new = label.join(jump, "root").select("table", F.col("to").alias("root"), (F.col("to") < F.col("root")).alias("moved")).checkpoint()
         label = new.select("table", "root")
         if not new.filter("moved").take(1):
-            both.unpersist()
             return label
 
 
+def summaries(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, name, members, confidence, jaccard of each group: the least of its edges', and the beginning that all members'
+    normal names have in common, or the root's normal name where that is shorter than NAME_LENGTH.
+
+    What the least and the greatest name have in common, all have; so no group is gathered."""
+    named = roots.withColumn("_x", normal_name(F.col("table")))
+    ends = named.groupBy("root").agg(F.count("*").alias("members"), F.min("_x").alias("low"), F.max("_x").alias("high"), F.min_by("_x", "table").alias("first"))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low"))), lambda i: (F.substring(F.col("low"), F.lit(1), i) == F.substring(F.col("high"), F.lit(1), i)) & (i <= F.length("low"))))
+    weakest = edges.join(roots.withColumnRenamed("table", "a"), "a").groupBy("root").agg(F.min("confidence").alias("confidence"), F.min("jaccard").alias("jaccard"))
+    name = F.when(same >= NAME_LENGTH, F.substring(F.col("low"), F.lit(1), same)).otherwise(F.coalesce(F.nullif("first", F.lit("")), F.col("root")))
+    return ends.select("root", name.alias("name"), "members").join(weakest, "root")
+
+
 def shards(profiles: DataFrame) -> DataFrame:
     """Tables of a numbered family of two or more with one structure, beside a table without number: table, entry."""
     numbered = profiles.select("table", "fingerprint", F.regexp_extract("table", r"^(.+?)_(\d+)$", 1).alias("family")).filter("family <> ''")
@@ -185,12 +215,18 @@ def shards(profiles: DataFrame) -> DataFrame:
     return numbered.join(alike, ["family", "fingerprint"]).join(entry, F.col("entry") == F.col("family")).select("table", "entry")
 
 
+def role_marks(name: Column) -> Column:
+    """Which of ROLE_MARKS a name holds."""
+    return F.filter(F.array(*map(F.lit, ROLE_MARKS)), lambda m: F.contains(F.lower(name), m))
+
+
 def duplicates(profiles: DataFrame) -> DataFrame:
-    """Pairs with one structure and one sample whose row counts differ by a tenth at most: the better scored is kept."""
+    """Pairs with one structure and one sample whose row counts differ by a tenth at most: the better scored is kept. Names
+    that both tell a role, and not the same one, make no pair."""
     step = F.when(F.col("rows") == 0, -9).when(F.col("rows") > 0, F.floor(F.ln("rows") / 0.11))  # counts within a tenth are a step apart at most
-    p = profiles.filter("sampled > 0").withColumn("step", step)
+    p = profiles.filter("sampled > 0").withColumns({"step": step, "marks": role_marks(F.col("table"))})
     a, b = p.alias("a"), p.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).alias("b")
-    near = F.abs(F.col("a.rows") - F.col("b.rows")) <= 0.1 * F.greatest("a.rows", "b.rows")
+    near = (F.abs(F.col("a.rows") - F.col("b.rows")) <= 0.1 * F.greatest("a.rows", "b.rows")) & ((F.size("a.marks") == 0) | (F.size("b.marks") == 0) | (F.col("a.marks") == F.col("b.marks")))
     both = a.join(b, (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.data_fingerprint") == F.col("b.data_fingerprint")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.table") < F.col("b.table"))).filter(near)
     first = F.col("a.score") >= F.col("b.score")
     return both.select(F.when(first, F.col("a.table")).otherwise(F.col("b.table")).alias("kept"), F.when(first, F.col("b.table")).otherwise(F.col("a.table")).alias("dropped"))
@@ -308,3 +344,23 @@ register("T22_review_merge", lambda s, d: merge_reviews(score(_profiles(s, d)).f
 h AS (SELECT t, 'active' AS decision, k % 2 = 0 AS by_person FROM p WHERE k % 3 <> 0)
 SELECT coalesce(m.t, h.t) AS "table", CASE WHEN proposed IS NULL THEN 'missing' WHEN decision IS NULL THEN 'new' ELSE 'present' END AS state, proposed, CASE WHEN by_person THEN decision ELSE coalesce(proposed, decision) END AS effective FROM m FULL JOIN h ON m.t = h.t""")
 register("T23_decision_counts", lambda s, d: score(_profiles(s, d)).groupBy("decision").agg(F.count("*").alias("n")), _PROFILES + "SELECT CASE WHEN skipped OR failed THEN 'pending' WHEN nb THEN 'standby' WHEN sampled = 0 AND coalesce(rows, 0) = 0 THEN 'standby' WHEN score >= 80 AND confidence >= 0.55 AND NOT critical THEN 'active' WHEN score >= 60 THEN 'pending' ELSE 'standby' END AS decision, count(*) AS n FROM s GROUP BY 1")
+
+_strong = lambda s, d: _profiles(s, d).withColumns({"strong": F.col("p_partkey") % 2 == 0, "sharded": F.col("p_partkey") % 7 == 0})
+register("T3_volume_floor", lambda s, d: score(_strong(s, d)).join(score(_profiles(s, d)).select("table", F.col("score").alias("plain")), "table").select("table", F.round(F.col("score") - F.col("plain"), 2).alias("more")), _PROFILES + """
+, v AS (SELECT *, CASE WHEN rows IS NULL THEN CASE WHEN sampled > 0 THEN 4 ELSE 0 END WHEN rows >= 100000 THEN 15 WHEN rows >= 10000 THEN 13 WHEN rows >= 1000 THEN 10 WHEN rows >= 100 THEN 7 WHEN rows >= 1 THEN 4 ELSE 0 END AS volume,
+  timed AND k % 2 = 0 AND sampled > 0 AND coalesce(rows, 1) >= 1 AND NOT nb AND k % 7 <> 0 AND k % 9 <> 1 AND NOT failed AND NOT skipped AS lifted FROM s),
+u AS (SELECT *, CASE WHEN queryable >= 8 THEN 25 WHEN queryable >= 5 THEN 20 WHEN queryable >= 3 THEN 14 WHEN queryable >= 1 THEN 8 ELSE 0 END + CASE WHEN fresh THEN 20 ELSE 5 END + CASE WHEN NOT fresh THEN 0 WHEN days >= 365 THEN 10 WHEN days >= 90 THEN 8 WHEN days >= 30 THEN 6 WHEN days >= 7 THEN 4 ELSE 2 END
+  + CASE WHEN pk THEN 5 ELSE 0 END + CASE WHEN uk THEN 2 ELSE 0 END + CASE WHEN dup IS NULL THEN 0 WHEN dup = 0 THEN 3 ELSE 1 END + CASE WHEN k % 3 <> 1 THEN 5 ELSE 0 END + round(5 * (p_size / 50)::DOUBLE, 2) + CASE WHEN fresh THEN 5 ELSE 0 END + CASE WHEN pk OR uk THEN 5 ELSE 0 END
+  - CASE WHEN k % 100 >= 60 THEN 15 WHEN k % 100 >= 40 THEN 10 WHEN k % 100 >= 20 THEN 5 ELSE 0 END - CASE WHEN queryable = 0 THEN 30 WHEN NOT fresh THEN 10 ELSE 0 END AS other FROM v)
+SELECT t AS "table", CASE WHEN lifted THEN round(round(greatest(0, least(100, other + greatest(volume, 12))), 2) - score, 2) ELSE 0 END::DOUBLE AS more FROM u""")
+register("T15_group_names", lambda s, d: summaries(e := pairs(_profiles(s, d)), groups(e)), _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
+, ed AS (SELECT a, b FROM strong WHERE confidence >= 0.55 UNION SELECT b, a FROM strong WHERE confidence >= 0.55), walk AS (SELECT a AS t, a AS r FROM ed UNION SELECT w.t, ed.b FROM walk w JOIN ed ON w.r = ed.a), roots AS (SELECT t, min(r) AS root FROM walk GROUP BY t)
+, m AS (SELECT root, list(n.n ORDER BY n.t) AS names, count(*) AS members FROM roots JOIN n USING (t) GROUP BY root)
+, w AS (SELECT root, min(confidence) AS confidence, min(jaccard) AS jaccard FROM strong JOIN roots ON a = t WHERE confidence >= 0.55 GROUP BY root)
+, l AS (SELECT *, len(list_filter(range(1, length(names[1]) + 1), lambda i: len(list_distinct(list_transform(names, lambda x: x[1:i]))) = 1)) AS same FROM m)
+SELECT root, CASE WHEN same >= 6 THEN names[1][1:same] WHEN names[1] <> '' THEN names[1] ELSE root END AS name, members, confidence, jaccard FROM l JOIN w USING (root)""")
+_marked = lambda s, d: _profiles(s, d).withColumn("table", F.concat("table", F.element_at(F.array(*map(F.lit, ("_day", "_hour", "", "_day", "_x"))), (F.col("p_partkey") % 5 + 1).cast("int"))))
+register("T17_roles", lambda s, d: duplicates(score(_marked(s, d))), _PROFILES + """
+, b AS (SELECT *, concat(p_brand, k % 2) AS fp, t || ['_day', '_hour', '', '_day', '_x'][k % 5 + 1] AS name, [1, 2, 0, 1, 0][k % 5 + 1] AS mark, round(greatest(0, score), 2) AS sc FROM s WHERE sampled > 0)
+SELECT CASE WHEN x.score >= y.score THEN x.name ELSE y.name END AS kept, CASE WHEN x.score >= y.score THEN y.name ELSE x.name END AS dropped FROM b x JOIN b y ON x.fp = y.fp AND x.name < y.name
+WHERE abs(x.rows - y.rows) <= 0.1::DOUBLE * greatest(x.rows, y.rows) AND (x.mark = 0 OR y.mark = 0 OR x.mark = y.mark)""")

@@ -206,3 +206,22 @@ def test_values_carried_along_an_order(spark, ranges):
     for k, i, v, _ in rows:
         want[k, i] = v if v is not None else want.get((k, i - 1))
     assert {(r["k"], r["i"]): r["v"] for r in found} == want and len(found) == len(rows)
+
+
+def test_groups_of_long_chains_take_few_rounds(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    names = [f"t{i:04d}" for i in range(300)]
+    chain = names[:200]
+    rnd.shuffle(chain)
+    edges = [(min(x), max(x)) for x in zip(chain, chain[1:])] + [(names[250], names[251]), (names[260], names[270]), (names[251], names[260])]
+    found = {r["table"]: r["root"] for r in scoring.groups(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {found[x] for x in chain} == {min(chain)} and found[names[270]] == names[250] and len(found) == 204
+
+
+def test_group_names_are_common_beginnings(spark):
+    rows = [("t_waterquality_a", "t_waterquality_a"), ("t_waterquality_b", "t_waterquality_a"), ("tb_waterlevel", "t_waterquality_a"), ("x_1", "x_1"), ("y_2", "x_1"), ("waterquality", "waterquality"), ("waterqualities", "waterquality")]
+    edges = [("t_waterquality_a", "t_waterquality_b", 0.9, 0.5), ("t_waterquality_b", "tb_waterlevel", 0.6, 0.7), ("x_1", "y_2", 1.0, 1.0), ("waterquality", "waterqualities", 0.8, 0.4)]
+    found = {r["root"]: (r["name"], r["members"], r["confidence"], r["jaccard"]) for r in scoring.summaries(spark.createDataFrame(edges, "a string, b string, confidence double, jaccard double"), spark.createDataFrame(rows, "table string, root string")).collect()}
+    assert found == {"t_waterquality_a": ("waterqualitya", 3, 0.6, 0.5), "x_1": ("x", 2, 1.0, 1.0), "waterquality": ("waterqualit", 2, 0.8, 0.4)}
