@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,17 +94,32 @@ def snapshot_id(report: dict, prefix: str = "wqr-") -> str:
     return prefix + hashlib.sha256(canonical(report).encode()).hexdigest()[:32]
 
 
-def write_snapshot(spark: SparkSession, report: dict, folder: str) -> str:
-    """Writes a report under its content's id; one that is there already must be equal."""
-    name = snapshot_id(report)
-    path = f"{folder.rstrip('/')}/{name}"
-    text = canonical(report)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        if spark.read.text(path, wholetext=True).first()[0].strip() != text:
-            raise ValueError(f"{name} exists with other content")
-        return name
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+def write_snapshot(spark: SparkSession, report: dict, folder: str, name: str | None = None) -> str:
+    """Writes a report under its content's id, or a name; one that is there already must be equal, else ValueError.
+
+    It is written aside and then renamed, which a file system does for one of several writers only: so there is one file
+    set, whole, whoever comes first. A writer that fails leaves nothing under the name, and removes what it wrote aside.
+    """
+    name = name or snapshot_id(report)
+    root, text = folder.rstrip("/"), canonical(report)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda x: hadoop.Path(f"{root}/{x}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fs = at(name).getFileSystem(conf)
+    aside = f"_{name}-{uuid.uuid4().hex}"
+    try:
+        if not fs.exists(at(name)):
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/{aside}")
+            context = hadoop.FileContext.getFileContext(fs.getUri(), conf)
+            try:
+                context.rename(at(aside), at(name), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName() and not fs.exists(at(name)):
+                    raise  # else another writer was first
+    finally:
+        fs.delete(at(aside), True)
+    if spark.read.text(f"{root}/{name}", wholetext=True).first()[0].rstrip("\n") != text:
+        raise ValueError(f"{name} exists with other content")
     return name
 
 
