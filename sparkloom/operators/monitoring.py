@@ -169,8 +169,20 @@ def _configured(s, d):
 
 _CONFIGURED = "WITH c AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) "
 register("W3_frequencies", _configured, _CONFIGURED + "SELECT event_id AS station_id, k AS code, 'pH' AS name, CASE k % 3 WHEN 0 THEN 4 WHEN 1 THEN 48 ELSE 744 END AS hours, concat('m', k + 1, '_value') AS reading FROM c")
-register("W4_slots", lambda s, d: s.createDataFrame([(h,) for h in (-1, 0, 1, 4, 5, 24, 700)], "hours int").select("hours", F.size(slots(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02 03:00:00").cast("timestamp"), F.col("hours"))).alias("n")),
-         "SELECT h::INTEGER AS hours, CAST(CASE WHEN h <= 0 THEN 0 WHEN h >= 672 THEN 1 ELSE ceil(27.0 / h) END AS INTEGER) AS n FROM (VALUES (-1), (0), (1), (4), (5), (24), (700)) AS t(h)")
+_FREQUENCIES = (-1, 0, 1, 4, 5, 24, 700)
+
+
+def _slotted(s: SparkSession, d: str) -> DataFrame:
+    """An order's expected times from its day on, for some hours, at one of seven frequencies."""
+    start, hours = F.col("o_orderdate").cast("timestamp"), F.element_at(F.array(*map(F.lit, _FREQUENCIES)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    own = slots(start, start + F.make_interval(hours=(F.col("o_custkey") % 40).cast("int")), hours)
+    return table(s, d, "orders").select("o_orderkey", F.size(own).alias("n"), (F.unix_timestamp(F.element_at(F.when(F.size(own) > 0, own), -1)) - F.unix_timestamp(start)).alias("last"))
+
+
+register("W4_slots", _slotted, f"""
+WITH o AS (SELECT o_orderkey, o_custkey % 40 AS len, {list(_FREQUENCIES)}[o_orderkey % 7 + 1] AS h FROM orders),
+n AS (SELECT *, CASE WHEN h <= 0 OR len = 0 THEN 0 WHEN h >= 672 THEN 1 ELSE ceil(len / h::DOUBLE) END AS n FROM o)
+SELECT o_orderkey, CAST(n AS INTEGER) AS n, CASE WHEN n > 0 THEN CAST((n - 1) * h * 3600 AS BIGINT) END AS last FROM n""")
 
 
 def _complete(s, d):

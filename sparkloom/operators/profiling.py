@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import distinct_counts
 from ..registry import register
-from ..sources.tables import KEYS, table
+from ..sources.tables import KEYS, sample, table
 
 #: Parts of names whose values are not shown.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "private_key", "id_card", "idcard", "身份证", "手机号", "phone", "mobile", "email", "邮箱", "住址", "address")
@@ -114,10 +114,12 @@ def structure_fingerprint(metadata: DataFrame) -> DataFrame:
     return metadata.groupBy("table").agg(F.sha2(F.array_join(pairs, "|"), 256).alias("fingerprint"))
 
 
-def data_fingerprint(df: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted cells, as text, of a bounded sample; null and sensitive cells are left out."""
-    names = [f.name for f in profiled(df) if not any(w in f.name.lower() for w in SENSITIVE)]
-    cells = df.select(F.explode(F.array(*[F.col(f"`{n}`").cast("string") for n in names])).alias("v")).filter("v IS NOT NULL")
+def data_fingerprint(df: DataFrame, keys: list[str] | None = None, rows: int = 200, width: int = 40) -> DataFrame:
+    """SHA-256 of the sorted cells, as text, of the first `rows` rows by key (by all columns without one), of at most `width`
+    columns; null and sensitive cells are left out."""
+    held = sample(df, keys or [], rows, width)
+    names = [f.name for f in profiled(held) if not any(w in f.name.lower() for w in SENSITIVE)]
+    cells = held.select(F.explode(F.array(*[F.col(f"`{n}`").cast("string") for n in names])).alias("v")).filter("v IS NOT NULL")
     return cells.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "|"), 256).alias("fingerprint"))
 
 
@@ -140,11 +142,13 @@ register("P2_distinct_count", lambda s, d: columns(_holed(s, d)).select("column"
 register("P3_min_max", lambda s, d: columns(_holed(s, d)).filter("column IN ('o_orderkey', 'o_custkey')").select("column", "min", "max"), _HOLED + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM h" for c in _COLS[:2]))
 register("P4_typical_values", lambda s, d: typical_values(_holed(s, d), "o_orderpriority").unionByName(typical_values(_holed(s, d), "o_custkey")),
          _HOLED + "SELECT 'o_orderpriority' AS \"column\", string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS typical FROM h UNION ALL SELECT 'o_custkey', NULL")
-_NAMES = ("c_phone", "mail_address", "user_token", "value", "monitor_log", "code_table", "app_config", "pay_record", "river", "audit_detail")
-_names = lambda s: s.createDataFrame([(n,) for n in _NAMES], "name string")
-_VALUES = "(VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") AS t(name)"
-register("P5_sensitive", lambda s, d: _names(s).select("name", sensitive(F.col("name")).alias("sensitive")), f"SELECT name, regexp_matches(name, 'phone|address|token') AS sensitive FROM {_VALUES}")
-register("P6_role", lambda s, d: _names(s).select("name", role(F.col("name"), F.lit(None)).alias("role")), f"SELECT name, CASE WHEN name LIKE '%log%' OR name LIKE '%audit%' THEN '日志表' WHEN name LIKE '%code_table%' THEN '字典表' WHEN name LIKE '%config%' THEN '配置表' WHEN regexp_matches(name, 'record|detail|monitor') THEN '事实表' ELSE '业务表' END AS role FROM {_VALUES}")
+_ENDS = ("c_phone", "mail_address", "user_token", "value", "monitor_log", "code_table", "app_config", "pay_record", "river", "audit_detail", "Email", "")
+_named = lambda s, d: table(s, d, "part").select(
+    "p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("p_partkey") % len(_ENDS) + 1).cast("int"))).alias("name"), F.when(F.col("p_size") % 10 == 0, F.concat("p_type", F.lit(" 监测"))).alias("comment"))
+_NAMED = f"WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || '_' || {list(_ENDS)}[p_partkey % {len(_ENDS)} + 1] AS name, CASE WHEN p_size % 10 = 0 THEN p_type || ' 监测' END AS comment FROM part) "
+register("P5_sensitive", lambda s, d: _named(s, d).select("p_partkey", "name", sensitive(F.col("name")).alias("sensitive")), _NAMED + f"SELECT p_partkey, name, regexp_matches(lower(name), '{'|'.join(SENSITIVE)}') AS sensitive FROM n")
+register("P6_role", lambda s, d: _named(s, d).select("p_partkey", role(F.col("name"), F.col("comment")).alias("role")), _NAMED + "SELECT p_partkey, CASE " + " ".join(
+    f"WHEN regexp_matches(lower(concat_ws(' ', name, comment)), '{'|'.join(words)}') THEN '{label}'" for label, words in ROLES) + f" ELSE '{OTHER_ROLE}' END AS role FROM n")
 register("P7_time_column", lambda s, d: time_column(table(s, d, "orders")).select("time_column"), "SELECT 'o_orderdate' AS time_column")
 register("P8_time_coverage", lambda s, d: time_column(table(s, d, "events")).select("days"), "SELECT round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0::DOUBLE, 3) AS days FROM events")
 register("P9_duplicate_keys", lambda s, d: duplicate_key_ratio(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT round(CAST(sum(n) FILTER (n > 1) AS DOUBLE) / sum(n), 4) AS duplicate_key_ratio FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
@@ -158,7 +162,10 @@ def _own_metadata(s: SparkSession, d: str) -> DataFrame:
 
 _TYPES = "WITH m AS (SELECT table_name AS tbl, column_name AS col, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part')) "
 register("P11_structure_fingerprint", lambda s, d: structure_fingerprint(_own_metadata(s, d)), _TYPES + "SELECT tbl AS \"table\", sha256(string_agg(concat(col, '|', type), '|' ORDER BY concat(col, '|', type))) AS fingerprint FROM m GROUP BY tbl")
-register("P12_data_fingerprint", lambda s, d: data_fingerprint(table(s, d, "nation")), "SELECT sha256(string_agg(v, '|' ORDER BY v)) AS fingerprint FROM (SELECT CAST(n_nationkey AS VARCHAR) AS v FROM nation UNION ALL SELECT n_name FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation)")
+register("P12_data_fingerprint", lambda s, d: data_fingerprint(table(s, d, "nation"), ["n_nationkey"]), "SELECT sha256(string_agg(v, '|' ORDER BY v)) AS fingerprint FROM (SELECT CAST(n_nationkey AS VARCHAR) AS v FROM nation UNION ALL SELECT n_name FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation)")
+register("P12_sampled_fingerprint", lambda s, d: data_fingerprint(table(s, d, "customer").drop("c_acctbal"), ["c_custkey"], 50).withColumn("table", F.lit("customer")), """
+WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 50), v AS (SELECT unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment]) AS v FROM c)
+SELECT sha256(string_agg(v, '|' ORDER BY v)) AS fingerprint, 'customer' AS "table" FROM v""")
 register("P13_grain", lambda s, d: _own_metadata(s, d).filter("primary_key").groupBy("table").agg(F.array_join(F.array_sort(F.collect_list("column")), " + ").alias("grain")),
          "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('supplier', 's_suppkey'), ('part', 'p_partkey')) AS t(\"table\", grain)")
 register("P14_queryable_columns", lambda s, d: queryable(_own_metadata(s, d)).groupBy("table").agg(F.count("*").alias("n")), _TYPES + "SELECT tbl AS \"table\", count(*) AS n FROM m GROUP BY tbl")
