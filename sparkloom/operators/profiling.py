@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import distinct_counts
 from ..registry import register
+from ..sources import footers
 from ..sources.tables import KEYS, sample, table
 
 #: Parts of names whose values are not shown.
@@ -171,3 +172,8 @@ register("P13_grain", lambda s, d: _own_metadata(s, d).filter("primary_key").gro
 register("P14_queryable_columns", lambda s, d: queryable(_own_metadata(s, d)).groupBy("table").agg(F.count("*").alias("n")), _TYPES + "SELECT tbl AS \"table\", count(*) AS n FROM m GROUP BY tbl")
 register("P16_comment_ratio", lambda s, d: _own_metadata(s, d).withColumn("comment", F.when(F.col("place") % 2 == 0, "said")).groupBy("table").agg(F.round(F.avg(F.col("comment").isNotNull().cast("int")), 4).alias("ratio")),
          _TYPES + "SELECT tbl AS \"table\", round(ceil(count(*) / 2.0) / count(*), 4)::DOUBLE AS ratio FROM m GROUP BY tbl")
+
+_FOOTED = {"orders": ("o_orderkey", "o_custkey", "o_totalprice"), "customer": ("c_custkey", "c_nationkey", "c_acctbal"), "lineitem": ("l_orderkey", "l_linenumber", "l_discount"), "part": ("p_partkey", "p_size"), "labels": ("doc_id", "toxic")}
+register("S7_footer_statistics", lambda s, d: footers.statistics(s, {t: f"{d}/{t}.parquet" for t in _FOOTED}, keys=lambda t: KEYS[t]).filter(" OR ".join(f"(`table` = '{t}' AND `column` IN {cs})" for t, cs in _FOOTED.items())).select(
+    "table", "column", "rows", "nulls", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "primary_key"), " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, {c in KEYS.get(t, ())} AS primary_key FROM {t}" for t, cs in _FOOTED.items() for c in cs))
