@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import percent
 from ..registry import register
+from ..sources.stations import StationRepository
+from ..sources.store import shared_folder
 from ..sources.tables import table
-from .monitoring import _GRADED, _daily, _graded, distribution, islands, normal_grade, ordinal, ranges, slots
+from .monitoring import _GRADED, GRADES, _daily, _graded, distribution, islands, normal_grade, ordinal, ranges, slots
 
 #: What is said of a station's day.
 NOT_SET, NOT_MEASURED, NORMAL, DISABLED = "待配置", "未监测", "正常", "未启用"
@@ -158,3 +162,24 @@ register("W19_valid_stations", lambda s, d: valid_station_rate(monthly_completen
 SELECT count(*) AS stations, count(*) FILTER (station_id % 7 > 0) AS enabled, count(*) FILTER (station_id % 7 > 0 AND valid > 0) AS valid, round_even(100.0::DOUBLE * count(*) FILTER (station_id % 7 > 0 AND valid > 0) / count(*), 2) AS rate FROM v""")
 register("W18_lake_grades", lambda s, d: subset_distribution(_daily(s, d), _stations(s, d), F.col("water_type") == "lake").select("grade", "n"),
          _GRADED + "SELECT v.g AS grade, count(x.grade_) AS n FROM (VALUES ('Ⅰ'), ('Ⅱ'), ('Ⅲ'), ('Ⅳ'), ('Ⅴ'), ('劣Ⅴ')) AS v(g) LEFT JOIN daily x ON x.grade_ = v.g AND x.station_id % 5 = 0 GROUP BY v.g")
+
+
+def _repository(s: SparkSession, d: str) -> StationRepository:
+    """Events as hourly readings, spread over six months; a twentieth is marked as deleted."""
+    own, k = StationRepository(s, f"{shared_folder(s)}/sparkloom-stations/{uuid.uuid4().hex}"), F.col("event_id")
+    time = F.col("ts").cast("timestamp") + F.make_interval(months=(k % 6).cast("int"))
+    own.write("hourly", table(s, d, "events").select(k.alias("id"), F.col("user_id").alias("station_id"), time.alias("monitor_time"), F.lit("ok").alias("status"), F.element_at(F.array(*map(F.lit, GRADES)), (k % 6 + 1).cast("int")).alias("water_quality_level"),
+                                                     F.when(k % 20 == 0, "1").otherwise("0").alias("del_flag"), F.col("value").alias("m1_value"), F.lit(0.0).alias("m2_value")))
+    return own
+
+
+def _period_readings(s: SparkSession, d: str) -> DataFrame:
+    spans = "VALUES ('spring', TIMESTAMP'2024-03-10', TIMESTAMP'2024-05-05 12:00:00'), ('june', TIMESTAMP'2024-06-01', TIMESTAMP'2024-06-08') AS t(period, start, end)"
+    found = _repository(s, d).readings_of("hourly", s.sql(f"SELECT * FROM {spans}"), [0])
+    return found.groupBy("period", "station_id", "water_quality_level").agg(F.count("*").alias("n"), F.max("m1_value").alias("most"), F.min("id").alias("first"))
+
+
+register("S14_period_readings", _period_readings, f"""
+WITH h AS (SELECT event_id AS id, user_id AS station_id, ts + to_months(CAST(event_id % 6 AS INTEGER)) AS t, {list(GRADES)}[event_id % 6 + 1] AS water_quality_level, value FROM events WHERE event_id % 20 <> 0),
+p AS (SELECT * FROM (VALUES ('spring', TIMESTAMP '2024-03-10', TIMESTAMP '2024-05-05 12:00:00'), ('june', TIMESTAMP '2024-06-01', TIMESTAMP '2024-06-08')) AS t(period, a, b))
+SELECT period, station_id, water_quality_level, count(*) AS n, max(value) AS most, min(id) AS first FROM h JOIN p ON t >= a AND t < b GROUP BY 1, 2, 3""")
