@@ -57,3 +57,10 @@ def distinct_counts(df: DataFrame, columns: list[str], skip_blank: bool = False)
 
     cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns]))).filter("value IS NOT NULL")
     return cells.distinct().groupBy("column").agg(F.count("*").alias("distinct"))
+
+
+def at_most(df: DataFrame, rows: int, what: str) -> DataFrame:
+    """df, if it has that many rows at most; else ValueError. Few rows more are read to know."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"{what}: more than {rows} rows")
+    return df

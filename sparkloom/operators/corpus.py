@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import at_most
 from ..registry import register
 from ..sources.store import shared_folder
 from ..sources.tables import table
 from ..sources.vectors import VectorStore
 
+#: Terms that texts are searched for, at most: they are broadcast.
+TERMS = 100_000
 #: States of a candidate and those that may follow.
 STATES = {
     "staged": ("judging", "needs_review", "reject", "pass"), "judging": ("pass", "needs_review", "reject", "staged"), "pass": ("publish_pending", "superseded"),
@@ -200,7 +203,7 @@ def source_points(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Points of each source for each text: 5 for a text that names it, and 4 and 2 for each hit, 6 at most, of its aliases.
 
     terms: source, kind (name or alias), term: a bounded table of rules, so it is broadcast."""
-    hits = texts.join(F.broadcast(terms), F.contains(F.lower("text"), F.col("term")))
+    hits = texts.join(F.broadcast(at_most(terms, TERMS, "terms")), F.contains(F.lower("text"), F.col("term")))
     got = hits.groupBy("id", "source").agg(F.count_if(F.col("kind") == "name").alias("names"), F.count_if(F.col("kind") == "alias").alias("aliases"))
     return got.select("id", "source", (5 * F.col("names") + F.when(F.col("aliases") > 0, 4 + F.least(F.lit(6), 2 * F.col("aliases"))).otherwise(0)).cast("long").alias("points"))
 

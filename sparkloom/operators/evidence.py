@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import at_most
 from ..registry import register
 from ..sources.store import ensure_checkpoint
 from ..sources.tables import table
@@ -18,6 +19,8 @@ OBSERVED_WORDS = ("monitor", "monitoring", "sampling", "sample", "measure", "mea
 OBSERVED_PARTS = ("监测时间", "采样时间", "观测时间", "数据时间", "记录时间", "测量时间", "监测日期", "采样日期", "观测日期")
 #: Confidence of two kinds of evidence and of one, and what tables with business words reach at most.
 BOTH, ONE, COUNTERED = 0.95, 0.55, 0.75
+#: Words of a taxonomy, at most: they are broadcast.
+WORDS = 10_000
 
 
 def name_words(name: Column) -> Column:
@@ -45,13 +48,13 @@ def non_business(tables: DataFrame, taxonomy: DataFrame, counter: list[str]) ->
     """table, role, confidence: the best sign that a table holds no business data; role "" and 0 without one.
 
     tables: table, comment, columns (array). taxonomy: place, role, cap, kind (name or column), word; a bounded table of
-    rules, broadcast. Names and two columns give BOTH, one of these ONE; roles of a cap up to COUNTERED need both and reach
+    rules, broadcast, of WORDS at most. Names and two columns give BOTH, one of these ONE; roles of a cap up to COUNTERED need both and reach
     their cap. Words of `counter` keep the confidence at COUNTERED. Ties go to the first role.
     """
     text = F.lower(F.concat_ws(" ", "table", F.coalesce("comment", F.lit(""))))
     t = tables.select("table", text.alias("_text"), F.transform("columns", lambda c: F.lower(c)).alias("_columns"), F.greatest(*[F.contains(text, F.lit(w)) for w in counter], F.lit(False)).alias("_counter"))
     met = F.when(F.col("kind") == "name", F.contains("_text", F.col("word"))).otherwise(F.exists("_columns", lambda c: F.contains(c, F.col("word"))))
-    hits = t.join(F.broadcast(taxonomy), met).groupBy("table", "_counter", "role").agg(F.min("place").alias("place"), F.max("cap").alias("cap"), F.count_if(F.col("kind") == "name").alias("names"), F.count_if(F.col("kind") == "column").alias("columns"))
+    hits = t.join(F.broadcast(at_most(taxonomy, WORDS, "a taxonomy's words")), met).groupBy("table", "_counter", "role").agg(F.min("place").alias("place"), F.max("cap").alias("cap"), F.count_if(F.col("kind") == "name").alias("names"), F.count_if(F.col("kind") == "column").alias("columns"))
     both, some = (F.col("names") > 0) & (F.col("columns") >= 2), (F.col("names") > 0) | (F.col("columns") >= 2)
     sure = F.when(F.col("cap") <= COUNTERED, F.when(both, F.col("cap")).otherwise(0.0)).when(both, F.least(F.lit(BOTH), F.col("cap"))).when(some, ONE).otherwise(0.0)
     rated = hits.withColumn("confidence", F.when(F.col("_counter"), F.least(sure, F.lit(COUNTERED))).otherwise(sure)).filter("confidence > 0")

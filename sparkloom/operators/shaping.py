@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import is_blank, to_number
+from ..functions.values import at_most, is_blank, to_number
 from ..registry import register
 from ..sources.tables import table
 
+#: What is still a chart: slices of a pie, entities of a chart of several, and times of each.
+SLICES, SERIES, POINTS = 10_000, 10_000, 100_000
+
 
 def clean(df: DataFrame, *columns: str) -> DataFrame:
     """Rows without a blank in any of the columns."""
@@ -41,9 +44,9 @@ def shares(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pie(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Slices, the largest first, with their place and the total."""
-    total = df.agg(F.sum(y).alias("total"))  # one row; the places of a pie's slices are a chart's size
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(y), x))).join(F.broadcast(total)).select(x, y, "place", "total")
+    """Slices, the largest first, with their place and the total. More than SLICES are no pie: ValueError."""
+    total = df.agg(F.sum(y).alias("total"))  # one row
+    return at_most(df, SLICES, "a pie's slices").withColumn("place", F.row_number().over(Window.orderBy(F.desc(y), x))).join(F.broadcast(total)).select(x, y, "place", "total")
 
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -95,10 +98,12 @@ def combo(df: DataFrame, x: str, bar: str, line: str | None = None) -> DataFrame
 
 
 def series(df: DataFrame, entity: str, time: str, value: str, order: str) -> DataFrame:
-    """Every entity at every time; of several rows of a cell the last in `order` counts, missing cells are null."""
+    """Every entity at every time; of several rows of a cell the last in `order` counts, missing cells are null.
+
+    More than SERIES entities or POINTS times are no chart: ValueError."""
     cells = df.groupBy(entity, time).agg(F.max_by(value, order).alias(value))
-    names, times = cells.select(entity).distinct(), cells.select(time).distinct()
-    # a chart's entities times its times: the picture itself. Spark chooses by their sizes which of them travels
+    names, times = at_most(cells.select(entity).distinct(), SERIES, "a chart's entities"), at_most(cells.select(time).distinct(), POINTS, "a chart's times")
+    # a chart's entities times its times: the picture itself, of a size that was checked
     return names.crossJoin(times).join(cells, [entity, time], "left")
 
 
