@@ -17,7 +17,7 @@ from .common import discard, in_filter, member_filter, pack, unpack, written
 from .components import connected
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-_CACHE = 250_000
+_CACHE = 100_000
 #: Sets, and n-grams of sets, that are sent as one part.
 PART_SETS, PART_GRAMS = 2_000, 1_000_000
 #: N-grams of a fragment of the order.
