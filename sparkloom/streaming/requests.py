@@ -41,11 +41,7 @@ class _Queue(StatefulProcessor):
                     new.append((int(at.timestamp() * 1000), KINDS.index(kind), int(place), kind, body))
         if new:
             self.waiting.appendList(new)
-            for at in {x[0] for x in new}:
-                self.handle.registerTimer(at + 1)
-            for at in {x[0] for x in new if x[3] == "start"}:
-                self.handle.registerTimer(at + self.deadline + 1)
-                self.handle.registerTimer(at + self.deadline + self.kept + 1)
+            self.handle.registerTimer(min(x[0] for x in new) + 1)  # what waits goes out together
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -74,6 +70,9 @@ class _Queue(StatefulProcessor):
                 continue
             if began is None:
                 began = at
+                for due in (at + self.deadline + 1, at + self.deadline + self.kept + 1):
+                    if due > now:
+                        self.handle.registerTimer(due)
             elif kind == "cancel":
                 ended = True
             elif kind == "done":
@@ -85,6 +84,7 @@ class _Queue(StatefulProcessor):
         rest = [x for x in held if x[0] >= now]
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] + 1)
         else:
             self.waiting.clear()
         if began is None or now > began + self.deadline + self.kept:
