@@ -80,6 +80,7 @@ class ReadOnlySession:
         timer.daemon = True
         self.running[tag] = sql
         context.addJobTag(tag)
+        context.setInterruptOnCancel(True)  # a task ends where it next looks
         timer.start()
         facts = Facts(sql, "ok", 0.0)
         try:
@@ -96,5 +97,6 @@ class ReadOnlySession:
             self.running.pop(tag, None)
             timer.cancel()
             context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
             facts.seconds = time.monotonic() - began
         return facts
