@@ -72,13 +72,14 @@ def proposals(profiles: DataFrame) -> DataFrame:
     ensure_checkpoint(profiles.sparkSession)
     scored, edges = score(profiles).checkpoint(), pairs(profiles).checkpoint()
     roots = groups(edges)
-    rooted = scored.join(roots, "table", "left")
-    within = mirrors(scored, edges).join(roots.toDF("mirror", "_a"), "mirror").join(roots.toDF("of", "_b"), "of").filter("_a = _b")
-    mirrored = within.join(scored.select(F.col("table").alias("mirror"), "decision"), "mirror").filter("decision = 'active'").select(F.col("mirror").alias("table")).distinct().withColumn("_mirror", F.lit(True))
-    left = rooted.filter("decision = 'active' AND root IS NOT NULL").join(mirrored, "table", "left_anti")
-    twice = duplicates(left).join(roots.toDF("kept", "_a"), "kept").join(roots.toDF("dropped", "_b"), "dropped").filter("_a = _b").select(F.col("dropped").alias("table")).distinct().withColumn("_twice", F.lit(True))
-    old = obsolete(rooted.filter("root IS NOT NULL")).select("table").distinct().withColumn("_old", F.lit(True))
-    both = rooted.join(mirrored, "table", "left").join(twice, "table", "left").join(old, "table", "left")
+    rooted = scored.hint("merge").join(roots, "table", "left")
+    grouped = rooted.filter("root IS NOT NULL")  # a group's tables meet one another only
+    within = mirrors(grouped, edges, "root").select(F.col("mirror").alias("table")).distinct()
+    mirrored = within.join(scored.filter("decision = 'active'").select("table").hint("merge"), "table").withColumn("_mirror", F.lit(True)).checkpoint()
+    left = grouped.filter("decision = 'active'").join(mirrored.hint("merge"), "table", "left_anti")
+    twice = duplicates(left, "root").select(F.col("dropped").alias("table")).distinct().withColumn("_twice", F.lit(True))
+    old = obsolete(grouped).select("table").distinct().withColumn("_old", F.lit(True))
+    both = rooted.join(mirrored.hint("merge"), "table", "left").join(twice.hint("merge"), "table", "left").join(old.hint("merge"), "table", "left")
     reason = F.when(F.col("_mirror"), "backup").when(F.col("_twice"), "duplicate").otherwise("")
     return both.select("table", "score", "decision", F.when(reason != "", "standby").otherwise(F.col("decision")).alias("proposed"), reason.alias("reason"), F.coalesce("_old", F.lit(False)).alias("hint"), "root")
 
