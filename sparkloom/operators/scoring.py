@@ -17,6 +17,8 @@ BACKUP_PARTS, BACKUP_WORDS = ("历史", "备份", "临时", "旧"), ("old", "bac
 ROLE_MARKS = ("info", "records", "standard", "threshold", "waterlevel", "setting", "year", "month", "day", "hour")
 #: The least volume points of a plain time series of a business, and the least length of a group's name.
 VOLUME_FLOOR, NAME_LENGTH = 12.0, 6
+#: Parts that a structure's backups are dealt into, to be met by its other tables.
+MIRROR_PARTS = 16
 ACTIVE_SCORE, PENDING_SCORE, GROUP_CONFIDENCE, ACTIVE_CONFIDENCE = 80.0, 60.0, 0.55, 0.55
 
 
@@ -129,8 +131,8 @@ def similar_names(tables: DataFrame) -> DataFrame:
     named = tables.select("table", normal_name(F.col("table")).alias("x")).filter("x <> ''")
     names = named.select("x").distinct().withColumn("l", F.length("x"))
     grams = names.filter("l >= 4").select("x", "l", F.explode(F.expr("array_distinct(transform(sequence(1, l - 3), i -> substring(x, i, 4)))")).alias("g"))
-    rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("x", "l").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    held = rarest.select(F.col("x").alias("y"), F.col("l").alias("ly"), "g").join(grams, "g").filter("ly < l AND contains(x, y)").select("y", "x")
+    rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")).hint("merge"), "g").groupBy("x", "l").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    held = rarest.select(F.col("x").alias("y"), F.col("l").alias("ly"), "g").join(grams.hint("merge"), "g").filter("ly < l AND contains(x, y)").select("y", "x")
     # part i of t + 1 of a name of length l starts at i * l div (t + 1)
     at, end = "(i * l div (t + 1))", "((i + 1) * l div (t + 1))"
     short = names.withColumn("t", F.explode(F.expr(f"sequence({_edits('l')}, greatest(2, l div 3))"))).withColumn("i", F.explode(F.expr("sequence(0, t)")))
@@ -140,12 +142,12 @@ def similar_names(tables: DataFrame) -> DataFrame:
     parts = f"CASE WHEN {end} = {at} THEN array('') WHEN {low} <= {high} THEN array_distinct(transform(sequence({low}, {high}), p -> substring(x, int(p) + 1, int({end} - {at})))) END"
     long = long.select("x", "l", "t", "i", F.explode(F.expr(parts)).alias("part"))
     keys, n = ["l", "t", "i", "part"], int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many candidates: not to be coalesced
-    near = short.repartition(n, *keys).join(long.repartition(n, *keys), keys).filter("x <> y AND levenshtein(x, y, t) >= 0").select("y", "x")
+    near = short.repartition(n, *keys).join(long.repartition(n, *keys).hint("merge"), keys).filter("x <> y AND levenshtein(x, y, t) >= 0").select("y", "x")
     sides = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     scored = held.unionByName(near).select(*sides, _likeness(F.col("x"), F.col("y")).alias("n")).filter("n > 0").distinct()
     a, b = named.select(F.col("table").alias("a"), "x"), named.select(F.col("table").alias("b"), F.col("x").alias("y"))
-    other = scored.join(a, "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
-    return a.join(b, (F.col("x") == F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("n")).unionByName(other)
+    other = scored.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
+    return a.join(b.hint("merge"), (F.col("x") == F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("n")).unionByName(other)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -238,27 +240,46 @@ def role_marks(name: Column) -> Column:
     return F.filter(F.array(*map(F.lit, ROLE_MARKS)), lambda m: F.contains(F.lower(name), m))
 
 
-def duplicates(profiles: DataFrame) -> DataFrame:
-    """Pairs with one structure and one sample whose row counts differ by a tenth at most: the better scored is kept. Names
-    that both tell a role, and not the same one, make no pair."""
-    step = F.when(F.col("rows") == 0, -9).when(F.col("rows") > 0, F.floor(F.ln("rows") / 0.11))  # counts within a tenth are a step apart at most
-    p = profiles.filter("sampled > 0").withColumns({"step": step, "marks": role_marks(F.col("table"))})
-    a, b = p.alias("a"), p.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).alias("b")
-    near = (F.abs(F.col("a.rows") - F.col("b.rows")) <= 0.1 * F.greatest("a.rows", "b.rows")) & ((F.size("a.marks") == 0) | (F.size("b.marks") == 0) | (F.col("a.marks") == F.col("b.marks")))
-    both = a.join(b, (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.data_fingerprint") == F.col("b.data_fingerprint")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.table") < F.col("b.table"))).filter(near)
-    first = F.col("a.score") >= F.col("b.score")
+def duplicates(profiles: DataFrame, *within: str) -> DataFrame:
+    """Pairs with one structure and one sample (and equal columns `within`) whose row counts differ by a tenth at most: the
+    better scored is kept. Names that both tell a role, and not the same one, make no pair.
+
+    Counts within a tenth are a step apart at most, so the table with fewer rows meets those of its step and of the next.
+    """
+    step = F.when(F.col("rows") == 0, -9).when(F.col("rows") > 0, F.floor(F.ln("rows") / 0.11))
+    keys = ["fingerprint", "data_fingerprint", *within, "step"]
+    marks = F.array_join(role_marks(F.col("table")), ",")
+    p = profiles.filter("sampled > 0").select("table", "rows", "score", *keys[:-1], step.alias("step"), marks.alias("marks"))
+    low = _dealt(p, *keys).alias("a")
+    high = _dealt(p.withColumn("step", F.explode(F.array("step", F.col("step") - 1))), *keys).hint("merge").alias("b")
+    order = ((F.col("a.rows") < F.col("b.rows")) & (F.col("a.table") != F.col("b.table"))) | ((F.col("a.rows") == F.col("b.rows")) & (F.col("a.table") < F.col("b.table")))
+    near = (F.col("b.rows") - F.col("a.rows") <= 0.1 * F.col("b.rows")) & ((F.col("a.marks") == "") | (F.col("b.marks") == "") | (F.col("a.marks") == F.col("b.marks")))
+    both = low.join(high, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], near, order])
+    better = lambda x, y: F.coalesce(F.col(f"{x}.score") >= F.col(f"{y}.score"), F.lit(False))
+    first = F.when(F.col("a.table") < F.col("b.table"), better("a", "b")).otherwise(~better("b", "a"))  # of equal scores, the lesser name
     return both.select(F.when(first, F.col("a.table")).otherwise(F.col("b.table")).alias("kept"), F.when(first, F.col("b.table")).otherwise(F.col("a.table")).alias("dropped"))
 
 
-def mirrors(profiles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Backups of other tables: those marked as such, with the structure of one that is not, or nine tenths of its columns."""
-    marks = profiles.select("table", "fingerprint", backup(F.col("table")).alias("backup"))
+def mirrors(profiles: DataFrame, edges: DataFrame, *within: str) -> DataFrame:
+    """Backups of other tables (of equal columns `within`): those marked as such, with the structure of one that is not, or
+    nine tenths of its columns. The pairs of one structure are many, so they are made once and not gathered again."""
+    marks = profiles.select("table", "fingerprint", *within, backup(F.col("table")).alias("backup")).distinct()
     a, b = marks.filter("backup").alias("a"), marks.filter("NOT backup").alias("b")
-    same = a.join(b, F.col("a.fingerprint") == F.col("b.fingerprint")).select(F.col("a.table").alias("mirror"), F.col("b.table").alias("of"))
+    alike = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("fingerprint", *within)]
+    # a structure's backups are dealt out, and each part meets all of its other tables
+    part = F.sequence(F.lit(0), F.lit(MIRROR_PARTS - 1))
+    left = _dealt(marks.filter("backup").withColumn("part", F.pmod(F.xxhash64("table"), F.lit(MIRROR_PARTS)).cast("int")), "fingerprint", *within, "part").alias("a")
+    right = _dealt(marks.filter("NOT backup").withColumn("part", F.explode(part)), "fingerprint", *within, "part").hint("merge").alias("b")
+    if within:  # groups are small
+        left, right = a, b.hint("merge")
+    same = left.join(right, [*alike, *([] if within else [F.col("a.part") == F.col("b.part")])]).select(F.col("a.table").alias("mirror"), F.col("b.table").alias("of"))
     near = edges.filter("jaccard >= 0.9")
-    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    close = near.join(a.select(F.col("table").alias("a")), "a").join(b.select(F.col("table").alias("b")), "b").select(F.col("a").alias("mirror"), F.col("b").alias("of"))
-    return same.unionByName(close).distinct()
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().alias("e")
+    close = near.join(a.hint("merge"), F.col("e.a") == F.col("a.table")).join(b.hint("merge"), F.col("e.b") == F.col("b.table"))
+    close = close.filter(~F.coalesce(alike[0], F.lit(False)))
+    for k in alike[1:]:
+        close = close.filter(k)
+    return same.unionByName(close.select(F.col("a.table").alias("mirror"), F.col("b.table").alias("of")))
 
 
 def obsolete(profiles: DataFrame, days: int = 365) -> DataFrame:
@@ -334,7 +355,13 @@ def _grouped(s, d):
 register("T14_components", _grouped, _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
 , ed AS (SELECT a, b FROM strong WHERE confidence >= 0.55 UNION SELECT b, a FROM strong WHERE confidence >= 0.55), walk AS (SELECT a AS t, a AS r FROM ed UNION SELECT w.t, ed.b FROM walk w JOIN ed ON w.r = ed.a)
 SELECT t AS "table", min(r) AS root FROM walk GROUP BY t""")
-register("T15_group_summary", lambda s, d: pairs(_profiles(s, d)).join(_grouped(s, d).withColumnRenamed("table", "a"), "a").groupBy("root").agg(F.min("confidence").alias("confidence"), F.min("jaccard").alias("jaccard"), F.count("*").alias("edges")),
+def _edges(s, d):
+    """Edges that are made once, for what reads them again."""
+    ensure_checkpoint(s)
+    return pairs(_profiles(s, d)).checkpoint()
+
+
+register("T15_group_summary", lambda s, d: (e := _edges(s, d)).join(groups(e).withColumnRenamed("table", "a"), "a").groupBy("root").agg(F.min("confidence").alias("confidence"), F.min("jaccard").alias("jaccard"), F.count("*").alias("edges")),
          _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
 , ed AS (SELECT a, b FROM strong WHERE confidence >= 0.55 UNION SELECT b, a FROM strong WHERE confidence >= 0.55), walk AS (SELECT a AS t, a AS r FROM ed UNION SELECT w.t, ed.b FROM walk w JOIN ed ON w.r = ed.a), roots AS (SELECT t, min(r) AS root FROM walk GROUP BY t)
 SELECT root, min(confidence) AS confidence, min(jaccard) AS jaccard, count(*) AS edges FROM strong JOIN roots ON a = t WHERE confidence >= 0.55 GROUP BY root""")
@@ -371,7 +398,7 @@ u AS (SELECT *, CASE WHEN queryable >= 8 THEN 25 WHEN queryable >= 5 THEN 20 WHE
   + CASE WHEN pk THEN 5 ELSE 0 END + CASE WHEN uk THEN 2 ELSE 0 END + CASE WHEN dup IS NULL THEN 0 WHEN dup = 0 THEN 3 ELSE 1 END + CASE WHEN k % 3 <> 1 THEN 5 ELSE 0 END + round(5 * (p_size / 50)::DOUBLE, 2) + CASE WHEN fresh THEN 5 ELSE 0 END + CASE WHEN pk OR uk THEN 5 ELSE 0 END
   - CASE WHEN k % 100 >= 60 THEN 15 WHEN k % 100 >= 40 THEN 10 WHEN k % 100 >= 20 THEN 5 ELSE 0 END - CASE WHEN queryable = 0 THEN 30 WHEN NOT fresh THEN 10 ELSE 0 END AS other FROM v)
 SELECT t AS "table", CASE WHEN lifted THEN round(round(greatest(0, least(100, other + greatest(volume, 12))), 2) - score, 2) ELSE 0 END::DOUBLE AS more FROM u""")
-register("T15_group_names", lambda s, d: summaries(e := pairs(_profiles(s, d)), groups(e)), _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
+register("T15_group_names", lambda s, d: summaries(e := _edges(s, d), groups(e)), _EDGES.replace("WITH q AS", "WITH RECURSIVE q AS", 1) + """
 , ed AS (SELECT a, b FROM strong WHERE confidence >= 0.55 UNION SELECT b, a FROM strong WHERE confidence >= 0.55), walk AS (SELECT a AS t, a AS r FROM ed UNION SELECT w.t, ed.b FROM walk w JOIN ed ON w.r = ed.a), roots AS (SELECT t, min(r) AS root FROM walk GROUP BY t)
 , m AS (SELECT root, list(n.n ORDER BY n.t) AS names, count(*) AS members FROM roots JOIN n USING (t) GROUP BY root)
 , w AS (SELECT root, min(confidence) AS confidence, min(jaccard) AS jaccard FROM strong JOIN roots ON a = t WHERE confidence >= 0.55 GROUP BY root)
