@@ -20,7 +20,8 @@ def _tokens(sql: Column) -> Column:
 def normal_text(sql: Column) -> Column:
     """A text without comments and without a last semicolon, its blanks collapsed; what is quoted stays as it is."""
     joined = F.trim(F.array_join(F.transform(_tokens(sql), lambda t: F.when(t.rlike(_BLANK), F.lit(" ")).otherwise(t)), ""))
-    return F.when(F.endswith(joined, F.lit(";")), F.rtrim(F.substring(joined, F.lit(1), F.length(joined) - 1))).otherwise(joined)
+    # made once: as it stands, it would be made again for each use
+    return F.get(F.transform(F.array(joined), lambda t: F.when(F.endswith(t, F.lit(";")), F.rtrim(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)), 0)
 
 
 def statements(sql: Column) -> Column:

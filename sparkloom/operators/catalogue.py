@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,16 +70,27 @@ def _bare(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r'^["`\[]+|["`\]]+$', "")
 
 
+def _held(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), the value being made once: as it stands, each use within a function of arrays would make it again."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def ddl_keys(sql: Column) -> Column:
     """What a CREATE TABLE text says, or null: table, columns (name, type), primary_key, indexes (name, unique, columns).
 
     Comments are left out first. Keys may stand beside a column or as clauses of their own; CREATE INDEX texts behind the
     table's count too. Names lose their quotes and schemas."""
-    text = normal_text(sql)
+    return _held(normal_text(sql), _keys_of)
+
+
+def _keys_of(text: Column) -> Column:
     head = r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?([^\s(]+)\s*\((.*?)\)\s*(?:;|\z|comment|engine|using)"
-    body = F.regexp_extract(text, head, 2)
     # commas within brackets or quotes part nothing
-    parts = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)((?:'(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*'|\([^()]*\))*\)|[^,'()])+)"), F.lit(1)), lambda x: F.trim(x))
+    parts = F.transform(F.regexp_extract_all(F.regexp_extract(text, head, 2), F.lit(r"(?s)((?:'(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*'|\([^()]*\))*\)|[^,'()])+)"), F.lit(1)), lambda x: F.trim(x))
+    return F.when(text.rlike(head), _held(parts, lambda parts: _keys_of_parts(text, head, parts)))
+
+
+def _keys_of_parts(text: Column, head: str, parts: Column) -> Column:
     clause = r"(?i)^(?:constraint\s+\S+\s+)?(?:primary\s+key|unique(?:\s+(?:key|index))?|key|index|foreign\s+key|check)\b"
     names = lambda x: F.transform(F.split(x, ","), lambda n: _bare(F.regexp_replace(F.trim(n), r"(?i)\s+(asc|desc)$|\(\d+\)", "")))
     own = F.filter(parts, lambda x: ~x.rlike(clause) & (x != ""))
@@ -88,7 +101,7 @@ def ddl_keys(sql: Column) -> Column:
         _bare(F.coalesce(F.nullif(F.regexp_extract(x, r"(?i)^constraint\s+(\S+)", 1), F.lit("")), F.regexp_extract(x, r"(?i)^(?:unique\s+)?(?:key|index)\s+([^\s(]+)", 1))).alias("name"), x.rlike(r"(?i)^(?:constraint\s+\S+\s+)?unique").alias("unique"), names(F.regexp_extract(x, r"\(([^()]*(?:\(\d+\)[^()]*)*)\)", 1)).alias("columns")))
     after = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)(create\s+(?:unique\s+)?index\s+[^;]*)"), F.lit(1)), lambda x: F.struct(
         _bare(F.regexp_extract(x, r"(?i)index\s+(?:if\s+not\s+exists\s+)?(\S+)", 1)).alias("name"), x.rlike(r"(?i)^create\s+unique").alias("unique"), names(F.regexp_extract(x, r"\(([^()]*(?:\(\d+\)[^()]*)*)\)", 1)).alias("columns")))
-    return F.when(text.rlike(head), F.struct(_bare(F.substring_index(_bare(F.regexp_extract(text, head, 1)), ".", -1)).alias("table"), columns.alias("columns"), F.concat(primary, keyed).alias("primary_key"), F.concat(inner, after).alias("indexes")))
+    return F.struct(_bare(F.substring_index(_bare(F.regexp_extract(text, head, 1)), ".", -1)).alias("table"), columns.alias("columns"), F.concat(primary, keyed).alias("primary_key"), F.concat(inner, after).alias("indexes"))
 
 
 def _catalogue(s: SparkSession, d: str) -> DataFrame:
