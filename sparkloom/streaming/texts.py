@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
+
+from . import buckets
 
 #: What opens an annotation, and what closes it.
 OPENERS, CLOSER = ("<!-- chart_spec:", "<!-- chart_type:"), "-->"
@@ -18,6 +22,10 @@ _OPENED = re.compile(_OPEN)
 #: The end of a text that may go on to be an opener, longest first.
 _BEGUN = re.compile("(?:" + "|".join(re.escape(x) for x in sorted({o[:k] for o in OPENERS for k in range(1, len(o))}, key=len, reverse=True)) + r")\Z")
 
+_TEXTS = pa.schema({"stream": pa.string(), "place": pa.int64(), "held": pa.string(), "inside": pa.bool_()})
+_EARLY = pa.schema({"stream": pa.string(), "place": pa.int64(), "chunk": pa.string(), "last": pa.bool_()})
+_NONE = object()
+
 
 def shown(text: Column) -> Column:
     """A whole text without annotations; one that isn't closed goes on to the end."""
@@ -40,41 +48,33 @@ def feed(held: str, inside: bool, chunk: str, last: bool = False) -> tuple[str,
     return text, "", False
 
 
-class _Filter(StatefulProcessor):
-    """One text: chunks go on in the order of their places; those that come early wait."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "place long, held string, inside boolean")
-        self.early = handle.getMapState("early", "place long", "chunk string, last boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        place, held, inside = self.state.get() if self.state.exists() else (0, "", False)
-        if place < 0:  # ended
-            yield pd.DataFrame()
-            return
-        new = {int(p): (c or "", bool(e)) for part in rows for p, c, e in zip(part["place"], part["chunk"], part["last"])}
-        out = []
-        while place >= 0:
-            if place in new:
-                chunk, last = new.pop(place)
-            elif self.early.containsKey((place,)):
-                chunk, last = self.early.getValue((place,))
-                self.early.removeKey((place,))
-            else:
-                break
+def _filter(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The texts of a bucket: chunks go on in the order of their places; those that come early wait."""
+    known, early = buckets.load(state, _TEXTS, _EARLY)
+    rows = buckets.joined(early, parts)
+    # of a place that comes again the first counts
+    frame = pd.DataFrame({"stream": rows["stream"].to_pandas(), "place": rows["place"].to_numpy(), "row": np.arange(rows.num_rows)}).sort_values(["stream", "place", "row"])
+    rows = rows.take(pa.array(frame.drop_duplicates(["stream", "place"])["row"].to_numpy()))
+    at, place, held, inside, out, waits = _NONE, 0, "", False, [], []
+    for k, (stream, p, chunk, last) in enumerate(zip(*buckets.values(rows))):
+        if stream != at:
+            if at is not _NONE:
+                known[at] = place, held, inside
+            at, (place, held, inside) = stream, known.get(stream, (0, "", False))
+        if place < 0 or p < place:  # ended, or shown
+            continue
+        if p > place:
+            waits.append(k)
+            continue
+        text = chunk
+        if held or inside or "<" in chunk:
             text, held, inside = feed(held, inside, chunk, last)
-            out.append((key[0], place, text))
-            place = -1 if last else place + 1
-        for p, x in new.items():
-            if place >= 0 and p > place:
-                self.early.updateValue((p,), x)
-        if place < 0:
-            self.early.clear()
-        self.state.update((place, held, inside))
-        yield pd.DataFrame(out, columns=["stream", "place", "text"])
-
-    def close(self) -> None:
-        pass
+        out.append((stream, place, text))
+        place = -1 if last else place + 1
+    if at is not _NONE:
+        known[at] = place, held, inside
+    buckets.save(state, known, _TEXTS, rows.take(pa.array(waits, pa.int64())))
+    yield pd.DataFrame(out, columns=["stream", "place", "text"])
 
 
 def shown_chunks(chunks: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def shown_chunks(chunks: DataFrame) -> DataFrame:
 
     chunks: stream (string), place (from 0, without gaps), chunk, last (whether the text ends). A null chunk is empty; a
     place that comes again, and what comes after the end, go. Joined in order, the texts are shown() of the whole text,
-    however it is cut. Of a text that has ended a mark stays. Needs the RocksDB state store.
+    however it is cut. Of a text that has ended a mark stays. State is kept by buckets of texts.
     """
-    rows = chunks.select("stream", F.col("place").cast("long").alias("place"), "chunk", F.coalesce("last", F.lit(False)).alias("last"))
-    return rows.groupBy("stream").transformWithStateInPandas(_Filter(), "stream string, place long, text string", "Append", "None")
+    rows = chunks.select(buckets.bucket(F.col("stream")).alias("bucket"), "stream", F.col("place").cast("long").alias("place"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"))
+    return rows.groupBy("bucket").applyInPandasWithState(_filter, "stream string, place long, text string", buckets.STATE, "append", "NoTimeout")
