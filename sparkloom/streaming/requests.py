@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
+
+from . import buckets
 
 #: Kinds of rows, in the order in which rows of one time count. What a request sends begins with start and ends with done
 #: or cancel; an unknown kind is nothing that it sends.
@@ -16,85 +20,65 @@ KINDS = ("start", "event", "chunk", "error", "done", "cancel")
 DEADLINE = 120
 #: Seconds after its deadline for which an id is known to have ended; an id isn't used again sooner.
 KEPT = 86_400
-SHAPE = "request string, seq int, time timestamp, kind string, body string"
+_REQUESTS = pa.schema({"request": pa.string(), "began": pa.int64(), "seq": pa.int64(), "ended": pa.bool_()})
+_WAITING = pa.schema({"request": pa.string(), "at": pa.int64(), "rank": pa.int32(), "place": pa.int64(), "body": pa.string()})
+_NONE = object()
 
 
-class _Queue(StatefulProcessor):
-    """One request: rows wait until the watermark has passed them, then go out in order.
+def _queue(deadline: int, kept: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The requests of a bucket: rows wait until the watermark has passed them, then go out in order. Times in milliseconds.
 
-    State is what waits, and how far the request is. It goes when the request has ended and was kept for a while.
+    State is what waits, and how far each request that has begun is. That goes when it was kept for a while.
     """
 
-    def __init__(self, deadline: int, kept: int):
-        self.deadline, self.kept = deadline * 1000, kept * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "time long, rank int, place long, kind string, body string")
-        self.progress = handle.getValueState("progress", "began long, seq int, ended boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for part in rows:
-            for at, place, kind, body in zip(part["time"], part["place"], part["kind"], part["body"]):
-                if kind in KINDS:
-                    new.append((int(at.timestamp() * 1000), KINDS.index(kind), int(place), kind, body))
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(x[0] for x in new) + 1)  # what waits goes out together
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        ready = [x for x in held if x[0] < now]
-        began, seq, ended = self.progress.get() if self.progress.exists() else (None, 0, False)
-        out = []
-
-        def send(at: int, kind: str, body: str | None) -> None:
-            nonlocal seq
-            seq += 1
-            out.append((key[0], seq, pd.Timestamp(at, unit="ms"), kind, body))
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        known, held = buckets.load(state, _REQUESTS, _WAITING)
+        rows = buckets.joined(held, (p[p["rank"] >= 0] for p in parts))
+        ready, rest = rows.filter(pc.less(rows["at"], now)), rows.filter(pc.greater_equal(rows["at"], now))
+        order = ready.to_pandas().sort_values(["request", "at", "rank", "place"], kind="stable").index
+        out, name, began, seq, ended = [], _NONE, -1, 0, False
 
         def overdue(at: int) -> None:
             """The deadline, if it stands before a time."""
-            nonlocal ended
-            if began is not None and not ended and at >= began + self.deadline:
-                send(began + self.deadline, "timed_out", None)
-                send(began + self.deadline, "completed", None)
-                ended = True
-
-        for at, _, _, kind, body in ready:
+            nonlocal seq, ended
+            if began is not None and not ended and at >= began + deadline:
+                out.extend(((name, seq + 1, began + deadline, "timed_out", None), (name, seq + 2, began + deadline, "completed", None)))
+                seq, ended = seq + 2, True
+
+        for request, at, rank, place, body in zip(*buckets.values(ready.take(pa.array(order.to_numpy())))):
+            if request != name:
+                if name is not _NONE and began is not None:
+                    known[name] = began, seq, ended
+                name, (began, seq, ended) = request, known.get(request, (None, 0, False))
             overdue(at)
+            kind = KINDS[rank]
             if ended or began is None and kind != "start":
                 continue
             if began is None:
                 began = at
-                for due in (at + self.deadline + 1, at + self.deadline + self.kept + 1):
-                    if due > now:
-                        self.handle.registerTimer(due)
             elif kind == "cancel":
                 ended = True
-            elif kind == "done":
-                send(at, "completed", None)
-                ended = True
             elif kind != "start":
-                send(at, kind, body)
-        overdue(now)
-        rest = [x for x in held if x[0] >= now]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] + 1)
-        else:
-            self.waiting.clear()
-        if began is None or now > began + self.deadline + self.kept:
-            self.progress.clear()
-        else:
-            self.progress.update((began, seq, ended))
-        yield pd.DataFrame(out, columns=["request", "seq", "time", "kind", "body"])
-
-    def close(self) -> None:
-        pass
+                seq += 1
+                ended = kind == "done"
+                out.append((request, seq, at, "completed" if ended else kind, None if ended else body))
+        if name is not _NONE and began is not None:
+            known[name] = began, seq, ended
+        left = {}
+        for name, (began, seq, ended) in known.items():
+            overdue(now)
+            if now <= began + deadline + kept:
+                left[name] = began, seq, ended
+        buckets.save(state, left, _REQUESTS, rest)
+        # the next time at which a row, a deadline or an end has passed: the bucket is called once the watermark is beyond it
+        due = [pc.min(rest["at"]).as_py()] if rest.num_rows else []
+        due += [b + deadline + kept if e else b + deadline - 1 for b, _, e in left.values()]
+        if due:
+            state.setTimeoutTimestamp(min(due))
+        yield pd.DataFrame(out, columns=["request", "seq", "at", "kind", "body"])
+
+    return step
 
 
 def answers(stream: DataFrame, deadline: int = DEADLINE, late: str = "10 seconds", kept: int = KEPT) -> DataFrame:
@@ -104,10 +88,14 @@ def answers(stream: DataFrame, deadline: int = DEADLINE, late: str = "10 seconds
     request begins with its start; what stands before that, and starts after it, go. event, chunk and error go out as they
     are, done as completed. At the deadline a request that has not ended gives timed_out and completed. Nothing comes after
     the end, nor after a cancel, which gives no row itself. An id's state goes `kept` seconds after its deadline; it isn't
-    used again sooner. Times are in milliseconds. Needs the RocksDB state store.
+    used again sooner. Times are in milliseconds. State is kept by buckets of requests.
     """
     timed = stream.select("request", F.date_trunc("millisecond", "time").alias("time"), "place", "kind", "body").withWatermark("time", late)
-    return timed.groupBy("request").transformWithStateInPandas(_Queue(deadline, kept), SHAPE, "Append", "eventTime")
+    # an unknown kind is rank -1 and goes in the step: a filter here would be pushed below the watermark, which its time moves
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)).cast("int") - 1
+    rows = timed.select(buckets.bucket(F.col("request")).alias("bucket"), "time", "request", F.unix_millis("time").alias("at"), rank.alias("rank"), "place", "body")
+    sent = rows.groupBy("bucket").applyInPandasWithState(_queue(deadline * 1000, kept * 1000), "request string, seq int, at long, kind string, body string", buckets.STATE, "append", "EventTimeTimeout")
+    return sent.select("request", "seq", F.timestamp_millis("at").alias("time"), "kind", "body")
 
 
 def answered(rows: DataFrame, deadline: int = DEADLINE) -> DataFrame:

@@ -104,6 +104,27 @@ def test_texts_share_the_rows_of_their_state(spark, tmp_path):
     assert 0 < state_rows(chunks, texts.shown_chunks, str(tmp_path)) <= 256
 
 
+def test_requests_share_the_rows_of_their_state(spark, tmp_path):
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = session.range(3000).selectExpr("concat('r', id) AS request", "timestamp_seconds(1700000000 + id % 9) AS time", "0L AS place", "'start' AS kind", "'' AS body")
+    assert 0 < state_rows(rows, requests.answers, str(tmp_path)) <= 256
+
+
+def test_requests_end_once_and_unknown_kinds_move_the_time(spark, tmp_path):
+    """Ends and deadlines that pass in batches of their own; rows of an ended request and of none; a null id and body."""
+    at = lambda s, *x: (x[0], T0 + dt.timedelta(seconds=s), *x[1:])
+    batches = [[at(0, "a", 0, "start", None), at(1, "a", 1, "chunk", None), at(1, "b", 0, "start", "x"), at(2, None, 0, "start", "x")], [at(40, "z", 0, "odd", None)], [at(41, "b", 1, "done", "x"), at(42, "b", 2, "chunk", "x"), at(42, "c", 0, "chunk", "none")],
+               [at(300, "z", 0, "odd", None)], [at(300, "a", 3, "chunk", "late"), at(301, "b", 3, "start", "again")], [at(9000, "z", 0, "odd", None)]]
+    counts, parts = [], [spark.createDataFrame(b, SHAPE) for b in batches]
+    for part in parts:
+        found = through_stream([part], requests.answers, str(tmp_path / "s"))
+        counts.append(found.count())
+    rows = {r: [(x["seq"], (x["time"] - T0).total_seconds(), x["kind"], x["body"]) for x in sorted(found.collect(), key=lambda x: x["seq"]) if x["request"] == r] for r in ("a", "b", "c", None)}
+    assert rows == {"a": [(1, 1.0, "chunk", None), (2, 120.0, "timed_out", None), (3, 120.0, "completed", None)], "b": [(1, 41.0, "completed", None)], "c": [], None: [(1, 122.0, "timed_out", None), (2, 122.0, "completed", None)]}
+    assert counts == [0, 1, 1, 6, 6, 6]
+
+
 def test_chunks_wait_over_batches_and_the_first_of_a_place_counts(spark, tmp_path):
     frame = lambda *x: spark.createDataFrame(x, "stream string, place int, chunk string, last boolean")
     parts = [frame(("a", 2, "!", True), ("b", 0, None, None), (None, 1, "null", True)), frame(("a", 2, "other", False), ("a", 1, "<!-- chart_type: x", False)), frame(("a", 0, "q<", None), ("b", 1, "<!-", True), (None, 0, "-", False)), frame(("a", 1, "late", False))]
