@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,37 +13,48 @@ from ..plans.planner import RECOMMENDED, VARIANTS
 from ..registry import register
 from ..sources.tables import table
 
-_RULES = T.StructType([T.StructField(*x) for x in (("place", T.IntegerType()), ("chart", T.StringType()), ("variant", T.StringType()), ("transform", T.StringType()), ("archetype", T.StringType()), ("suits", T.DoubleType()), ("needs", T.IntegerType()))])
-_CONDITIONS = T.StructType([T.StructField(*x) for x in (("place", T.IntegerType()), ("trait", T.StringType()), ("low", T.DoubleType()), ("high", T.DoubleType()), ("flag", T.BooleanType()), ("text", T.StringType()))])
+_RULES = T.StructType([T.StructField(*x) for x in (("place", T.IntegerType()), ("chart", T.StringType()), ("variant", T.StringType()), ("transform", T.StringType()), ("archetype", T.StringType()), ("suits", T.DoubleType()), ("needs", T.ArrayType(T.LongType())))])
+_CONDITIONS = T.StructType([T.StructField(*x) for x in (("trait", T.StringType()), ("low", T.DoubleType()), ("high", T.DoubleType()), ("want_flag", T.BooleanType()), ("want_text", T.StringType()), ("word", T.IntegerType()), ("bit", T.LongType()))])
+#: Fixed value: conditions to a word of bits.
+_BITS = 62
+
+
+def _condition(trait: str, need) -> tuple:
+    low, high = (tuple(None if x is None else float(x) for x in need)) if isinstance(need, tuple) else (None, None)
+    return trait, low, high, need if isinstance(need, bool) else None, need if isinstance(need, str) else None
 
 
-def rules(spark: SparkSession, variants=VARIANTS) -> tuple[DataFrame, DataFrame]:
-    """The planner's variants as rows, one for each archetype, and their conditions as rows: a range, a flag or a text."""
-    rows = [(i, v.chart, v.name, v.transform, a, x, len(v.needs)) for i, v in enumerate(variants) for a, x in v.suits.items()]
-    conditions = []
+def rules(spark: SparkSession, variants=VARIANTS) -> tuple[DataFrame, DataFrame, int]:
+    """The planner's variants as rows, one for each archetype, with the bits of their conditions; their different conditions
+    as rows, a range, a flag or a text, with a bit each; and the words that the bits take."""
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(_condition(*x) for v in variants for x in v.needs.items()))}
+    words = 1 + max(0, len(numbers) - 1) // _BITS
+    rows = []
     for i, v in enumerate(variants):
-        for trait, need in v.needs.items():
-            low, high = (tuple(None if x is None else float(x) for x in need)) if isinstance(need, tuple) else (None, None)
-            conditions.append((i, trait, low, high, need if isinstance(need, bool) else None, need if isinstance(need, str) else None))
-    return spark.createDataFrame(rows, _RULES), spark.createDataFrame(conditions, _CONDITIONS)
+        needs = [0] * words
+        for n in (numbers[_condition(*x)] for x in v.needs.items()):
+            needs[n // _BITS] |= 1 << n % _BITS
+        rows += [(i, v.chart, v.name, v.transform, a, x, needs) for a, x in v.suits.items()]
+    return spark.createDataFrame(rows, _RULES), spark.createDataFrame([(*c, n // _BITS, 1 << n % _BITS) for c, n in numbers.items()], _CONDITIONS), words
 
 
 def core_plans(results: DataFrame, traits: DataFrame, variants=VARIANTS) -> DataFrame:
     """result, rank, chart, variant, transform, suitability, recommended of every variant that fits a result, best first.
 
     results: result, archetype, wanted (a type that was asked for, or null). traits: result, trait, number, flag, text; a
-    trait that isn't there meets no condition. Rules are few: their conditions are joined to the traits, met ones counted,
-    and a rule holds when it has as many as it needs. A million results are a join and a count; nothing is on the driver.
+    trait that isn't there meets no condition. Rules are few: their conditions are joined to the traits, the bits of met ones
+    put together for each result, and a rule holds when its own are among them. A million results are two joins and one row
+    each between them; nothing is on the driver.
     """
-    rule, condition = rules(results.sparkSession, variants)
+    rule, condition, words = rules(results.sparkSession, variants)
     number = F.when(~F.isnan("number") & (F.abs("number") < float("inf")), F.col("number"))
     between = F.when(F.col("low").isNull() & F.col("high").isNull(), F.lit(None)).otherwise(number.isNotNull() & (number >= F.coalesce("low", number)) & (number <= F.coalesce("high", number)))
     met = F.coalesce(between, F.col("flag") == F.col("want_flag"), F.col("text") == F.col("want_text"), F.lit(False))
     # as many rows as the planner has rules and conditions
-    asked = condition.withColumnRenamed("flag", "want_flag").withColumnRenamed("text", "want_text")
-    held = traits.join(F.broadcast(asked), "trait").filter(met).groupBy("result", "place").agg(F.count_distinct("trait").alias("met"))
-    suited = results.join(F.broadcast(rule), "archetype")
-    fits = suited.join(held, ["result", "place"], "left").filter(F.coalesce("met", F.lit(0)) == F.col("needs"))
+    bits = [F.bit_or(F.when(F.col("word") == w, F.col("bit"))).alias(f"met{w}") for w in range(words)]
+    held = traits.join(F.broadcast(condition), "trait").filter(met).groupBy("result").agg(*bits)
+    suited = results.join(held.hint("merge"), "result", "left").join(F.broadcast(rule), "archetype")
+    fits = suited.filter(reduce(and_, [F.coalesce(f"met{w}", F.lit(0)).bitwiseAND(F.col("needs")[w]) == F.col("needs")[w] for w in range(words)]))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("suits") + F.when(F.col("chart") == F.col("wanted"), 0.1).otherwise(0.0)))
     ranked = fits.withColumn("suitability", score).withColumn("rank", F.row_number().over(Window.partitionBy("result").orderBy(F.desc("suitability"), "place")))
     return ranked.select("result", "rank", "chart", "variant", "transform", "suitability", ((F.col("rank") == 1) & (F.col("suitability") >= RECOMMENDED)).alias("recommended"))
