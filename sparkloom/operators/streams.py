@@ -78,8 +78,9 @@ def _chunks(s: SparkSession, d: str) -> list[DataFrame]:
     """Each turn of a conversation cut into chunks of 7 characters; every other chunk comes first."""
     c = table(s, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     c = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream"), F.expr(_annotated("text", "(conv_id + turn)")).alias("text"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 7)).cast("int")
-    cut = c.select("stream", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 7 + 1, F.lit(7)))).alias("place", "chunk"))
+    # one pass over a text, where a substring for each place would begin at its start again
+    pieces = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0)))
+    cut = c.select("stream", pieces.alias("pieces")).select("stream", F.size("pieces").alias("n"), F.posexplode("pieces").alias("place", "chunk"))
     rows = cut.select("stream", F.col("place").cast("long").alias("place"), "chunk", (F.col("place") == F.col("n") - 1).alias("last"))
     return [rows.filter("place % 2 = 0"), rows.filter("place % 2 = 1")]
 

@@ -60,21 +60,20 @@ def _filter(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if stream != at:
             if at is not _NONE:
                 known[at] = place, held, inside
-            at, (place, held, inside) = stream, known.get(stream, (0, "", False))
-        if place < 0 or p < place:  # ended, or shown
+            at, (place, held, inside), shows = stream, known.get(stream, (0, "", False)), []
+            out.append((stream, place, shows))
+        if p != place or place < 0:
+            if p > place >= 0:  # neither shown nor ended
+                waits.append(k)
             continue
-        if p > place:
-            waits.append(k)
-            continue
-        text = chunk
         if held or inside or "<" in chunk:
-            text, held, inside = feed(held, inside, chunk, last)
-        out.append((stream, place, text))
+            chunk, held, inside = feed(held, inside, chunk, last)
+        shows.append(chunk)
         place = -1 if last else place + 1
     if at is not _NONE:
         known[at] = place, held, inside
     buckets.save(state, known, _TEXTS, rows.take(pa.array(waits, pa.int64())))
-    yield pd.DataFrame(out, columns=["stream", "place", "text"])
+    yield pd.DataFrame([x for x in out if x[2]], columns=["stream", "place", "shows"])
 
 
 def shown_chunks(chunks: DataFrame) -> DataFrame:
@@ -85,4 +84,6 @@ def shown_chunks(chunks: DataFrame) -> DataFrame:
     however it is cut. Of a text that has ended a mark stays. State is kept by buckets of texts.
     """
     rows = chunks.select(buckets.bucket(F.col("stream")).alias("bucket"), "stream", F.col("place").cast("long").alias("place"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"))
-    return rows.groupBy("bucket").applyInPandasWithState(_filter, "stream string, place long, text string", buckets.STATE, "append", "NoTimeout")
+    # a row for each text and batch, with what its chunks show from a place on: a row of its own for each chunk costs far more
+    found = rows.groupBy("bucket").applyInPandasWithState(_filter, "stream string, place long, shows array<string>", buckets.STATE, "append", "NoTimeout")
+    return found.select("stream", "place", F.posexplode("shows").alias("k", "text")).select("stream", (F.col("place") + F.col("k")).alias("place"), "text")
