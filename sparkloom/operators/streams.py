@@ -23,7 +23,9 @@ def through_stream(parts: list[DataFrame], run: Callable[[DataFrame], DataFrame]
     """
     spark = parts[0].sparkSession.newSession()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    spark.conf.set("spark.sql.shuffle.partitions", parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each partition has a state store to open and commit in every batch, and a task holds one bucket at a time: no more than there are cores
+    partitions = int(parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", min(partitions, spark.sparkContext.defaultParallelism))
     spark.conf.set("spark.sql.session.timeZone", parts[0].sparkSession.conf.get("spark.sql.session.timeZone"))
     folder = folder or f"{shared_folder(parts[0].sparkSession)}/sparkloom-streams/{uuid.uuid4().hex}"
     for part in parts[:stop_after]:
