@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import register
 from ..sources.store import ensure_checkpoint
 from ..sources.tables import table
+from .names import near_names
 
 #: Roles of tables that grow in time.
 TIME_ROLES = ("事实表", "日志表")
@@ -104,11 +105,6 @@ def _likeness(x: Column, y: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(both & (F.contains(x, y) | F.contains(y, x)), 0.7).when(d.between(0, 2), 0.55).when(d >= 0, 0.35).otherwise(0.0)
 
 
-def _edits(length: str) -> str:
-    """The edits that a pair may have whose longer name has this length."""
-    return f"greatest(2, {length} div 4)"
-
-
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df by keys in as many parts as a shuffle has: few bytes of a table make many rows, so parts aren't put together.
 
@@ -125,29 +121,26 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def similar_names(tables: DataFrame) -> DataFrame:
     """a, b, n: every pair of tables, a < b, whose name_similarity n is above 0. Needs: table.
 
-    Candidates are joined on equal keys: equal normal names; the shorter name's rarest four characters for names that hold
-    another; and for t edits one of t + 1 parts of the shorter name, which the longer holds unchanged near its place.
+    Names that are equal or few edits apart are sought in blocks of sorted names. Names that hold another are joined on the
+    shorter name's rarest gram, of eight characters where it has as many, else of four.
     """
     named = tables.select("table", normal_name(F.col("table")).alias("x")).filter("x <> ''")
-    names = named.select("x").distinct().withColumn("l", F.length("x"))
-    grams = names.filter("l >= 4").select("x", "l", F.explode(F.expr("array_distinct(transform(sequence(1, l - 3), i -> substring(x, i, 4)))")).alias("g"))
-    rarest = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")).hint("merge"), "g").groupBy("x", "l").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    held = rarest.select(F.col("x").alias("y"), F.col("l").alias("ly"), "g").join(grams.hint("merge"), "g").filter("ly < l AND contains(x, y)").select("y", "x")
-    # part i of t + 1 of a name of length l starts at i * l div (t + 1)
-    at, end = "(i * l div (t + 1))", "((i + 1) * l div (t + 1))"
-    short = names.withColumn("t", F.explode(F.expr(f"sequence({_edits('l')}, greatest(2, l div 3))"))).withColumn("i", F.explode(F.expr("sequence(0, t)")))
-    short = short.select(F.col("x").alias("y"), "l", "t", "i", F.expr(f"substring(x, {at} + 1, {end} - {at})").alias("part"))
-    long = names.select("x", F.col("l").alias("m"), F.expr(_edits("l")).alias("t")).withColumn("l", F.explode(F.expr("sequence(greatest(1, m - t), m)"))).withColumn("i", F.explode(F.expr("sequence(0, t)")))
-    low, high = f"greatest(0, {at} - i, {at} + (m - l) - (t - i))", f"least(m - ({end} - {at}), {at} + i, {at} + (m - l) + (t - i))"
-    parts = f"CASE WHEN {end} = {at} THEN array('') WHEN {low} <= {high} THEN array_distinct(transform(sequence({low}, {high}), p -> substring(x, int(p) + 1, int({end} - {at})))) END"
-    long = long.select("x", "l", "t", "i", F.explode(F.expr(parts)).alias("part"))
-    keys, n = ["l", "t", "i", "part"], int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many candidates: not to be coalesced
-    near = short.repartition(n, *keys).join(long.repartition(n, *keys).hint("merge"), keys).filter("x <> y AND levenshtein(x, y, t) >= 0").select("y", "x")
-    sides = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    scored = held.unionByName(near).select(*sides, _likeness(F.col("x"), F.col("y")).alias("n")).filter("n > 0").distinct()
+    held = _held(named.select("x").distinct().withColumn("l", F.length("x")).filter("l >= 4"))
     a, b = named.select(F.col("table").alias("a"), "x"), named.select(F.col("table").alias("b"), F.col("x").alias("y"))
-    other = scored.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
-    return a.join(b.hint("merge"), (F.col("x") == F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("n")).unionByName(other)
+    other = held.join(a.hint("merge"), "x").join(b.hint("merge"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.7).alias("n"))
+    return near_names(named).unionByName(other)
+
+
+def _held(names: DataFrame) -> DataFrame:
+    """y, x: every name y that another one x holds. Needs: x, l (its length)."""
+    found = None
+    for k, shorter in ((4, "l < 8"), (8, "l >= 8")):
+        grams = names.filter(f"l >= {k}").select("x", "l", F.explode(F.expr(f"array_distinct(transform(sequence(1, l - {k - 1}), i -> substring(x, i, {k})))")).alias("g"))
+        counted = grams.groupBy("g").agg(F.count("*").alias("n"))
+        rarest = grams.filter(shorter).join(counted.hint("merge"), "g").groupBy("x", "l").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+        some = rarest.select(F.col("x").alias("y"), F.col("l").alias("ly"), "g").join(grams.hint("merge"), "g").filter("ly < l AND contains(x, y)").select("y", "x")
+        found = some if found is None else found.unionByName(some)
+    return found
 
 
 def jaccard(a: Column, b: Column) -> Column:
