@@ -20,6 +20,9 @@ ROLE_MARKS = ("info", "records", "standard", "threshold", "waterlevel", "setting
 VOLUME_FLOOR, NAME_LENGTH = 12.0, 6
 #: Parts that a structure's backups are dealt into, and as many that its other tables are, each to meet all of the other side.
 MIRROR_PARTS = 4
+#: Steps of row counts that a tenth takes, and tables whose duplicates a task makes: the names of more would not fit a
+#: Parquet file's dictionary, where a pair takes few bytes.
+STEPS, DUPLICATE_TABLES = 8, 2000
 ACTIVE_SCORE, PENDING_SCORE, GROUP_CONFIDENCE, ACTIVE_CONFIDENCE = 80.0, 60.0, 0.55, 0.55
 
 
@@ -105,12 +108,12 @@ def _likeness(x: Column, y: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(both & (F.contains(x, y) | F.contains(y, x)), 0.7).when(d.between(0, 2), 0.55).when(d >= 0, 0.35).otherwise(0.0)
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+def _dealt(df: DataFrame, *keys: str, parts: int = 0) -> DataFrame:
     """df by keys in as many parts as a shuffle has: few bytes of a table make many rows, so parts aren't put together.
 
     Joins of what is made from a table are told to merge: by its file's size, Spark would send a million profiles through
     the driver to each task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -236,18 +239,22 @@ def role_marks(name: Column) -> Column:
     return F.filter(F.array(*map(F.lit, ROLE_MARKS)), lambda m: F.contains(F.lower(name), m))
 
 
-def duplicates(profiles: DataFrame, *within: str) -> DataFrame:
+def duplicates(profiles: DataFrame, *within: str, tables: int = 0) -> DataFrame:
     """Pairs with one structure and one sample (and equal columns `within`) whose row counts differ by a tenth at most: the
-    better scored is kept. Names that both tell a role, and not the same one, make no pair.
+    better scored is kept. Names that both tell a role, and not the same one, make no pair. tables: about how many there are.
 
-    Counts within a tenth are a step apart at most, so the table with fewer rows meets those of its step and of the next.
+    Counts within a tenth are STEPS steps apart at most, so the table with fewer rows meets those of its step and of the next
+    ones. Both come in order of marks and scores: what like tables are paired with is then the same, and takes few bytes.
     """
-    step = F.when(F.col("rows") == 0, -9).when(F.col("rows") > 0, F.floor(F.ln("rows") / 0.11))
+    step = F.when(F.col("rows") == 0, -100).when(F.col("rows") > 0, F.floor(F.ln("rows") / (0.11 / STEPS)).cast("int"))
     keys = ["fingerprint", "data_fingerprint", *within, "step"]
     marks = F.array_join(role_marks(F.col("table")), ",")
-    p = profiles.filter("sampled > 0").select("table", "rows", "score", *keys[:-1], step.alias("step"), marks.alias("marks"))
-    low = _dealt(p, *keys).alias("a")
-    high = _dealt(p.withColumn("step", F.explode(F.array("step", F.col("step") - 1))), *keys).hint("merge").alias("b")
+    p = profiles.filter("sampled > 0").select("table", "rows", "score", *keys[:-1], step.alias("own"), marks.alias("marks"))
+    # an order that a join does not need is taken out unless it is numbered
+    edge = (F.col("step") == F.col("own")) | (F.col("step") == F.col("own") + STEPS)  # between these, all counts are near
+    dealt = lambda df, *order: _dealt(df, *keys, parts=tables // DUPLICATE_TABLES).sortWithinPartitions(*keys, *order, "marks", "score").withColumn("at", F.monotonically_increasing_id()).filter("at >= 0")
+    low = dealt(p.withColumn("step", F.explode(F.sequence("own", F.col("own") + STEPS))).withColumn("edge", edge), "edge").alias("a")
+    high = dealt(p.withColumnRenamed("own", "step")).hint("merge").alias("b")
     order = ((F.col("a.rows") < F.col("b.rows")) & (F.col("a.table") != F.col("b.table"))) | ((F.col("a.rows") == F.col("b.rows")) & (F.col("a.table") < F.col("b.table")))
     near = (F.col("b.rows") - F.col("a.rows") <= 0.1 * F.col("b.rows")) & ((F.col("a.marks") == "") | (F.col("b.marks") == "") | (F.col("a.marks") == F.col("b.marks")))
     both = low.join(high, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], near, order])
@@ -372,7 +379,7 @@ register("T16_shards", lambda s, d: shards(_shard_rows(s, d)).distinct(), """
 WITH r AS (SELECT DISTINCT concat('f', o_custkey % 40, CASE WHEN o_orderkey % 3 > 0 THEN concat('_', o_orderkey) ELSE '' END) AS t, o_orderstatus AS fp FROM orders),
 n AS (SELECT t, fp, regexp_extract(t, '^(.+?)_([0-9]+)$', 1) AS f FROM r), ok AS (SELECT f, fp FROM n WHERE f <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT DISTINCT n.t AS "table", n.f AS entry FROM n JOIN ok ON n.f = ok.f AND n.fp = ok.fp JOIN r e ON e.t = n.f""")
-register("T17_duplicates", lambda s, d: duplicates(score(_profiles(s, d))), _PROFILES + """
+register("T17_duplicates", lambda s, d: duplicates(score(_profiles(s, d)), tables=table(s, d, "part").count()), _PROFILES + """
 , b AS (SELECT *, concat(p_brand, k % 2) AS fp FROM s WHERE sampled > 0)
 SELECT CASE WHEN x.score >= y.score THEN x.t ELSE y.t END AS kept, CASE WHEN x.score >= y.score THEN y.t ELSE x.t END AS dropped FROM b x JOIN b y ON x.fp = y.fp AND x.t < y.t WHERE abs(x.rows - y.rows) <= 0.1::DOUBLE * greatest(x.rows, y.rows)""")
 register("T18_mirrors", lambda s, d: mirrors(_profiles(s, d), pairs(_profiles(s, d), 0.9)), _EDGES + """
@@ -402,7 +409,7 @@ register("T15_group_names", lambda s, d: summaries(e := _edges(s, d), groups(e))
 , l AS (SELECT *, len(list_filter(range(1, length(names[1]) + 1), lambda i: len(list_distinct(list_transform(names, lambda x: x[1:i]))) = 1)) AS same FROM m)
 SELECT root, CASE WHEN same >= 6 THEN names[1][1:same] WHEN names[1] <> '' THEN names[1] ELSE root END AS name, members, confidence, jaccard FROM l JOIN w USING (root)""")
 _marked = lambda s, d: _profiles(s, d).withColumn("table", F.concat("table", F.element_at(F.array(*map(F.lit, ("_day", "_hour", "", "_day", "_x"))), (F.col("p_partkey") % 5 + 1).cast("int"))))
-register("T17_roles", lambda s, d: duplicates(score(_marked(s, d))), _PROFILES + """
+register("T17_roles", lambda s, d: duplicates(score(_marked(s, d)), tables=table(s, d, "part").count()), _PROFILES + """
 , b AS (SELECT *, concat(p_brand, k % 2) AS fp, t || ['_day', '_hour', '', '_day', '_x'][k % 5 + 1] AS name, [1, 2, 0, 1, 0][k % 5 + 1] AS mark, round(greatest(0, score), 2) AS sc FROM s WHERE sampled > 0)
 SELECT CASE WHEN x.score >= y.score THEN x.name ELSE y.name END AS kept, CASE WHEN x.score >= y.score THEN y.name ELSE x.name END AS dropped FROM b x JOIN b y ON x.fp = y.fp AND x.name < y.name
 WHERE abs(x.rows - y.rows) <= 0.1::DOUBLE * greatest(x.rows, y.rows) AND (x.mark = 0 OR y.mark = 0 OR x.mark = y.mark)""")
