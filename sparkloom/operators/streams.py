@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..registry import register
 from ..sources.store import shared_folder
 from ..sources.tables import table
-from ..streaming import requests, texts
+from ..streaming import buckets, requests, texts
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,7 +52,7 @@ def _requests(s: SparkSession, d: str) -> list[DataFrame]:
     return [rows.filter(early), rows.filter(~early), tick]
 
 
-register("Z1_request_events", lambda s, d: through_stream(_requests(s, d), requests.answers).select("request", "seq", F.unix_timestamp("time").alias("second"), "kind", "body"), """
+register("Z1_request_events", lambda s, d: through_stream(_requests(s, d), lambda x, n=buckets.number(table(s, d, "events").count()): requests.answers(x, count=n)).select("request", "seq", F.unix_timestamp("time").alias("second"), "kind", "body"), """
 WITH e AS (SELECT *, 'u' || user_id || '-' || date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS request, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS n FROM events),
 r AS (SELECT *, min(event_id) OVER (PARTITION BY request) AS f FROM e),
 k AS (
@@ -87,7 +87,12 @@ def _chunks(s: SparkSession, d: str) -> list[DataFrame]:
     return [rows.filter("place % 2 = 0"), rows.filter("place % 2 = 1")]
 
 
-register("Z2_shown_texts", lambda s, d: through_stream(_chunks(s, d), texts.shown_chunks).groupBy("stream").agg(
+def _text_buckets(s: SparkSession, d: str) -> int:
+    """By the chunks of all texts, an annotation apart."""
+    return buckets.number(table(s, d, "conversations").agg(F.sum(F.length("text") / 7 + 1)).first()[0] or 0)
+
+
+register("Z2_shown_texts", lambda s, d: through_stream(_chunks(s, d), lambda x, n=_text_buckets(s, d): texts.shown_chunks(x, n)).groupBy("stream").agg(
     F.count("*").alias("chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text")), f"""
 WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT concat(conv_id, '-', turn) AS stream, {_annotated("text", "(conv_id + turn)")} AS text FROM c)

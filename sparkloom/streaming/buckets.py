@@ -10,11 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-#: Buckets that keys are dealt into. A task holds one bucket at a time; a stream keeps its number from its first batch on.
-BUCKETS = 256
+#: Buckets that keys are dealt into, at least. A task holds one bucket at a time; a stream keeps its number from its first
+#: batch on, so one that expects much takes more, of ROWS rows each.
+BUCKETS, ROWS = 256, 20_000
 STATE = "keys binary, waiting binary"
 
 
+def number(rows: int) -> int:
+    """Buckets for a stream that may hold so many rows: one of them doesn't grow with the stream."""
+    return max(BUCKETS, int(rows // ROWS))
+
+
 def bucket(key: Column, buckets: int = BUCKETS) -> Column:
     """The bucket of a key."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -40,7 +46,7 @@ def save(state: GroupState, known: dict, keys: pa.Schema, held: pa.Table) -> Non
 
 def _packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
 

@@ -81,19 +81,19 @@ def _queue(deadline: int, kept: int) -> Callable[[tuple, Iterator[pd.DataFrame],
     return step
 
 
-def answers(stream: DataFrame, deadline: int = DEADLINE, late: str = "10 seconds", kept: int = KEPT) -> DataFrame:
+def answers(stream: DataFrame, deadline: int = DEADLINE, late: str = "10 seconds", kept: int = KEPT, count: int = buckets.BUCKETS) -> DataFrame:
     """Per request its ordered events: request, seq (from 1), time, kind, body.
 
     stream: request (string), time, place (long; order within a time), kind (KINDS), body. Rows may be `late` late. A
     request begins with its start; what stands before that, and starts after it, go. event, chunk and error go out as they
     are, done as completed. At the deadline a request that has not ended gives timed_out and completed. Nothing comes after
     the end, nor after a cancel, which gives no row itself. An id's state goes `kept` seconds after its deadline; it isn't
-    used again sooner. Times are in milliseconds. State is kept by buckets of requests.
+    used again sooner. Times are in milliseconds. State is kept by `count` buckets of requests.
     """
     timed = stream.select("request", F.date_trunc("millisecond", "time").alias("time"), "place", "kind", "body").withWatermark("time", late)
     # an unknown kind is rank -1 and goes in the step: a filter here would be pushed below the watermark, which its time moves
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)).cast("int") - 1
-    rows = timed.select(buckets.bucket(F.col("request")).alias("bucket"), "time", "request", F.unix_millis("time").alias("at"), rank.alias("rank"), "place", "body")
+    rows = timed.select(buckets.bucket(F.col("request"), count).alias("bucket"), "time", "request", F.unix_millis("time").alias("at"), rank.alias("rank"), "place", "body")
     sent = rows.groupBy("bucket").applyInPandasWithState(_queue(deadline * 1000, kept * 1000), "request string, seq int, at long, kind string, body string", buckets.STATE, "append", "EventTimeTimeout")
     return sent.select("request", "seq", F.timestamp_millis("at").alias("time"), "kind", "body")
 

@@ -76,14 +76,14 @@ def _filter(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame([x for x in out if x[2]], columns=["stream", "place", "shows"])
 
 
-def shown_chunks(chunks: DataFrame) -> DataFrame:
+def shown_chunks(chunks: DataFrame, count: int = buckets.BUCKETS) -> DataFrame:
     """stream, place, text: what each chunk of a text shows, once all before it have come.
 
     chunks: stream (string), place (from 0, without gaps), chunk, last (whether the text ends). A null chunk is empty; a
     place that comes again, and what comes after the end, go. Joined in order, the texts are shown() of the whole text,
-    however it is cut. Of a text that has ended a mark stays. State is kept by buckets of texts.
+    however it is cut. Of a text that has ended a mark stays. State is kept by `count` buckets of texts.
     """
-    rows = chunks.select(buckets.bucket(F.col("stream")).alias("bucket"), "stream", F.col("place").cast("long").alias("place"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"))
+    rows = chunks.select(buckets.bucket(F.col("stream"), count).alias("bucket"), "stream", F.col("place").cast("long").alias("place"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"))
     # a row for each text and batch, with what its chunks show from a place on: a row of its own for each chunk costs far more
     found = rows.groupBy("bucket").applyInPandasWithState(_filter, "stream string, place long, shows array<string>", buckets.STATE, "append", "NoTimeout")
     return found.select("stream", "place", F.posexplode("shows").alias("k", "text")).select("stream", (F.col("place") + F.col("k")).alias("place"), "text")
